@@ -31,14 +31,15 @@ def windows(text: str, steps: int = STEPS) -> np.ndarray:
 
 
 class BiGRU:
-    """Weights: ``x`` (2, 256, 3h) of input bytes with bias, ``u`` (2, h, 3h) of states, ``o`` (2h, n) and ``b`` (n) of labels; gates z, r, candidate."""
+    """Weights by gate (z, r, candidate) and direction: ``x`` (3, 2, 256, h) of input bytes with bias, ``u`` (3, 2, h, h) of states;
+    ``o`` (2h, n) and ``b`` (n) of labels. Gates are kept apart so that each step works on whole, contiguous arrays."""
 
     def __init__(self, languages: list[str], units: int = UNITS, seed: int = 0):
         rng, n = np.random.default_rng(seed), len(languages)
         self.languages, self.h = languages, units
         self.p = {
-            "x": rng.normal(0, 0.3, (2, 256, 3 * units)),
-            "u": rng.normal(0, units**-0.5, (2, units, 3 * units)),
+            "x": rng.normal(0, 0.3, (3, 2, 256, units)),
+            "u": rng.normal(0, units**-0.5, (3, 2, units, units)),
             "o": rng.normal(0, (2 * units) ** -0.5, (2 * units, n)),
             "b": np.zeros(n),
         }
@@ -47,34 +48,44 @@ class BiGRU:
     def states(self, bytes_: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (steps, 2, rows, h) after each step; direction 1 reads backwards. ``keep`` gets what backpropagation needs."""
         rows, steps = bytes_.shape
-        h, u = self.h, self.p["u"]
-        table = self.p["x"].reshape(512, 3 * h)
+        h = self.h
+        gates, cand = -self.p["x"][:2].reshape(1024, h), self.p["x"][2].reshape(512, h)
+        u_gates, u_cand = -self.p["u"][:2], self.p["u"][2]
         at = np.stack([bytes_.T, bytes_.T[::-1] + np.int64(256)], axis=1)  # steps, 2, rows
         out = np.empty((steps, 2, rows, h), np.float32)
         state = np.zeros((2, rows, h), np.float32)
-        for t in range(steps):
-            g = table[at[t]]
-            s = np.matmul(state, u)
-            zr = g[..., : 2 * h] + s[..., : 2 * h]
-            np.negative(zr, out=zr)
-            np.exp(np.minimum(zr, 60, out=zr), out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r = zr[..., :h], zr[..., h:]
-            c = np.tanh(g[..., 2 * h :] + r * s[..., 2 * h :])
-            new = c + z * (state - c)
-            if keep is not None:
-                keep.append((state, z, r, c, s[..., 2 * h :]))
-            out[t] = state = new
+        both, zr, c = np.empty((2, 2, rows), np.int64), np.empty((2, 2, rows, h), np.float32), np.empty((2, rows, h), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                both[0] = at[t]
+                np.add(at[t], 512, out=both[1])
+                if keep is not None:
+                    zr, c = np.empty_like(zr), np.empty_like(c)
+                np.take(gates, both, axis=0, out=zr, mode="clip")
+                zr += np.matmul(state, u_gates)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                s = np.matmul(state, u_cand)
+                np.take(cand, at[t], axis=0, out=c, mode="clip")
+                c += zr[1] * s
+                np.tanh(c, out=c)
+                if keep is not None:
+                    keep.append((state, zr[0], zr[1], c, s))
+                new = np.subtract(state, c, out=out[t])
+                new *= zr[0]
+                new += c
+                state = new
         return out
 
     def scores(self, states: np.ndarray) -> np.ndarray:
-        """Probabilities (steps, rows, n) of every position."""
-        h = self.h
-        v = states[:, 0] @ self.p["o"][:h] + states[::-1, 1] @ self.p["o"][h:] + self.p["b"]
-        v -= v.max(axis=-1, keepdims=True)
+        """Probabilities (steps, rows, n) of every position. States are within -1 and 1, so the exponentials can't overflow."""
+        h, n = self.h, len(self.languages)
+        v = states[:, 0] @ self.p["o"][:h]
+        v += states[::-1, 1] @ self.p["o"][h:]
+        v += self.p["b"]
         np.exp(v, out=v)
-        v /= v.sum(axis=-1, keepdims=True)
+        v /= v @ np.ones((n, n), np.float32)
         return v
 
     def gradients(self, bytes_: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -88,25 +99,32 @@ class BiGRU:
         d = prob.copy()
         d[:, np.arange(rows), labels] -= 1
         d /= rows * steps
-        back = states[::-1, 1]
-        grad = {"b": d.sum((0, 1)), "o": np.concatenate([np.einsum("trh,trn->hn", states[:, 0], d), np.einsum("trh,trn->hn", back, d)])}
+        flat = d.reshape(-1, d.shape[-1])
+        ends = [states[:, 0].reshape(-1, h), states[::-1, 1].reshape(-1, h)]
+        grad = {"b": flat.sum(0), "o": np.concatenate([x.T @ flat for x in ends])}
         out = np.stack([d @ self.p["o"][:h].T, (d @ self.p["o"][h:].T)[::-1]], axis=1)  # steps, 2, rows, h
-        gx, gu = np.zeros((512, 3 * h), np.float32), np.zeros_like(self.p["u"])
-        at = np.stack([bytes_.T, bytes_.T[::-1] + np.int64(256)], axis=1)
+        u_back = self.p["u"].transpose(0, 1, 3, 2)
+        gates = np.empty((steps, 3, 2, rows, h), np.float32)
+        gu = np.zeros_like(self.p["u"])
         carry = np.zeros((2, rows, h), np.float32)
         for t in reversed(range(steps)):
-            state, z, r, c, sc = keep[t]
+            state, z, r, c, s = keep[t]
             dn = out[t] + carry
-            dz = dn * (state - c) * z * (1 - z)
-            da = dn * (1 - z) * (1 - c * c)
-            dr = da * sc * r * (1 - r)
-            dg = np.concatenate([dz, dr, da], axis=-1)
-            ds = np.concatenate([dz, dr, da * r], axis=-1)
-            carry = dn * z + ds @ self.p["u"].transpose(0, 2, 1)
-            gu += state.transpose(0, 2, 1) @ ds
-            np.add.at(gx, at[t].ravel(), dg.reshape(-1, 3 * h))
-        grad |= {"x": gx.reshape(2, 256, 3 * h), "u": gu}
-        return loss, grad
+            own = gates[t]
+            own[0] = dn * (state - c) * z * (1 - z)
+            own[2] = dn * (1 - z) * (1 - c * c)
+            own[1] = own[2] * s * r * (1 - r)
+            to_state = own.copy()
+            to_state[2] *= r
+            carry = dn * z + (to_state @ u_back).sum(0)
+            gu += state.transpose(0, 2, 1) @ to_state
+        gx = np.empty_like(self.p["x"])
+        for way, read in enumerate((bytes_.T, bytes_.T[::-1])):
+            read = read.ravel()
+            for gate in range(3):
+                for k in range(h):
+                    gx[gate, way, :, k] = np.bincount(read, gates[:, gate, way, :, k].ravel(), 256)
+        return loss, grad | {"x": gx, "u": gu}
 
     def fit(self, rows: np.ndarray, labels: np.ndarray, rounds: int = 300, batch: int = 192, rate: float = 0.03, seed: int = 0) -> list[float]:
         """Adam on batches that hold the languages evenly; the rate falls to a tenth. The losses, one for each round."""
