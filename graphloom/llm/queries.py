@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, lang_id, mixing, packing, quality_rules, url_filter
+from . import chat_format, exact_dedup, html_extract, lang_id, line_dedup, mixing, ngram_join, packing, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("doc_row", "source", "ids")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -133,7 +141,7 @@ SELECT doc_id, size, source_size, target, (size * least(3, passes + (upto <= res
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_html_extract, op3_url_filter, op4_language_id, op5_chat_format, op6_quality_rules, op7_mixing, op8_packing]
+    own = [op1_exact_dedup, op2_html_extract, op3_url_filter, op4_language_id, op5_chat_format, op6_quality_rules, op7_mixing, op8_packing, op9_ngram_join, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
