@@ -1,0 +1 @@
+"""The workflow that this library rebuilds is batch only; there are no streaming operators."""
