@@ -1,66 +1,17 @@
-"""Helpers that several operators share: written intermediate tables and connected groups."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of the operators' contracts, as it stands inside a character class.
-SPACE = r"\x20\x09-\x0D"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..operators.groups import components, stash
 
+__all__ = ["SPACE", "components", "stash", "text_or_empty"]
 
-def stash(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table: its lineage is cut, and it outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space of the operators' contracts, as it stands inside a character class.
+SPACE = r"\x20\x09-\x0D"
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected groups of the undirected ``edges``: one row (node, component) per node, component = smallest node.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round links nodes to the smallest
-    neighbour they know of, by a grouped minimum (partially aggregated) and one join that only repeats an edge's ends,
-    so a hub with most of the nodes never meets in one group. Rounds go on until the edges stop changing, which takes
-    about the logarithm of a group's diameter; each is written to the shared folder. An empty input gives no rows;
-    self-links and repeated links are ignored; null ends are dropped.
-    """
-    known = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    known = stash(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    for _ in range(max_rounds):
-        both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.where("u <> v").distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))  # large holds u > v only
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        known = stash(small.distinct(), "edges")
-        now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    tops = known.select(F.col("v").alias("node")).distinct()
-    return known.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        tops.select("node", F.col("node").alias("component"))
-    )
