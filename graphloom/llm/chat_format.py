@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filled_id, true_id
+
 
 @dataclass(frozen=True)
 class Template:
@@ -85,7 +87,7 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     """
     template = template or Template()
     cols = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        filled_id("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"),
     )
     grouped = cols.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
@@ -98,10 +100,9 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
                 segments = list(template.segments(own))
                 rows.append((conv, len(own), template.valid([r for r, _ in own]), "".join(s for s, _ in segments), [{"text": s, "loss": bool(f)} for s, f in segments]))
             out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "valid", "formatted", "segments"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
             yield out
 
-    return grouped.mapInPandas(run, "conv_id long, n_turns long, valid boolean, formatted string, segments array<struct<text: string, loss: boolean>>")
+    return grouped.mapInPandas(run, "conv_id long, n_turns long, valid boolean, formatted string, segments array<struct<text: string, loss: boolean>>").withColumn("conv_id", true_id("conv_id"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -111,7 +112,6 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["conv_id", "valid"]].copy()
-            out["conv_id"] = out["conv_id"].astype("Int64")
             turns = [read_back(t) for t in batch["formatted"]]
             loss = ["".join(unescape(s["text"]) for s in segs if s["loss"]) for segs in batch["segments"]]
             out["n_turns"] = [len(t) for t in turns]
@@ -121,6 +121,6 @@ def digests(formatted: DataFrame) -> DataFrame:
             out["formatted_chars"] = [len(t) for t in batch["formatted"]]
             yield out
 
-    return formatted.select("conv_id", "valid", "formatted", "segments").mapInPandas(
+    return formatted.select(filled_id("conv_id"), "valid", "formatted", "segments").mapInPandas(
         run, "conv_id long, valid boolean, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    ).withColumn("conv_id", true_id("conv_id"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filled_id, true_id
+
 # Frequent function words.
 STOP_WORDS = frozenset(
     # English
@@ -172,10 +174,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["page_id", "url"]].copy()
-            out["page_id"] = out["page_id"].astype("Int64")
             out["text"] = [main_text(x) if isinstance(x, str) else "" for x in batch["html"]]
             out["n_chars"] = out["text"].str.len().astype("int64")
             yield out
 
-    cols = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return cols.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    cols = pages.select(filled_id("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return cols.mapInPandas(run, "page_id long, url string, text string, n_chars long").withColumn("page_id", true_id("page_id"))

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import filled_id, true_id
+
 #: Expected number of documents per language that the network is fitted on, at most, and windows from each of them.
 FIT_DOCS, FIT_WINDOWS = 500, 12
 #: Bytes of a window, units of each direction, windows that are worked on together.
@@ -194,7 +196,7 @@ def fit_rows(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_W
                     out.append((int(i), k, lang, raw[at : at + STEPS].ljust(STEPS)))
             yield pd.DataFrame(out, columns=["doc_id", "k", "lang", "w"])
 
-    sample = known.where(u < limit).select("doc_id", "text", "lang").mapInPandas(cut, "doc_id long, k int, lang string, w binary")
+    sample = known.where(u < limit).select(filled_id("doc_id"), "text", "lang").mapInPandas(cut, "doc_id long, k int, lang string, w binary")
     got = sorted(sample.collect())
     if not got:
         return [], np.empty((0, STEPS), np.uint8), np.empty(0, np.int64)
@@ -215,7 +217,6 @@ def identify(docs: DataFrame, model: BiGRU | None) -> DataFrame:
                 part = batch.iloc[k : k + 256]
                 texts = [t if isinstance(t, str) and LETTER.search(t) else None for t in part["text"]]
                 out = part[["doc_id", "held_out"]].copy()
-                out["doc_id"] = out["doc_id"].astype("Int64")
                 prob = model.pooled(texts) if model else np.zeros((len(texts), 1))
                 best = prob.argmax(axis=1)
                 known = [t is not None and model is not None for t in texts]
@@ -223,8 +224,8 @@ def identify(docs: DataFrame, model: BiGRU | None) -> DataFrame:
                 out["score"] = [min(1.0, float(prob[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, known))]
                 yield out
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return cols.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    cols = docs.select(filled_id("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return cols.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double").withColumn("doc_id", true_id("doc_id"))
 
 
 def language_id(docs: DataFrame, fit_docs: int = FIT_DOCS, rounds: int = 300) -> DataFrame:

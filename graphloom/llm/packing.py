@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stash
+from .common import SPACE, filled_id, stash, true_id
 
 WORD = re.compile(rf"[^{SPACE}]+")
 WINDOW = 4096
@@ -69,13 +69,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             ids = [token_ids(words, t if isinstance(t, str) else None) for t in batch["text"]]
             batch = batch[["doc_id", "source"]].copy()
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
             batch["doc_tokens"] = [len(x) // words.width for x in ids]
             batch["ids"] = ids
             batch["width"] = words.width
             yield batch
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    cols = docs.select(filled_id("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     out = cols.mapInPandas(run, "doc_id long, source string, doc_tokens long, ids binary, width long")
     return stash(out.withColumn("doc_row", F.monotonically_increasing_id()), "tokens")
 
@@ -188,12 +187,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shares: Dat
             row, doc_id, n, source, ids, width = docs[doc]
             piece = np.frombuffer(ids, f"<u{width}")[begin : begin + length].astype("<u4").tobytes()
             out.append((row, doc_id, begin, length, zlib.crc32(piece), n, (int(key[0]) << 32) + sequence, offset, source, piece if with_ids else None))
-        made = pd.DataFrame(out, columns=[x.split()[0] for x in PIECE.split(", ")])
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        return made
+        return pd.DataFrame(out, columns=[x.split()[0] for x in PIECE.split(", ")])
 
     dealt = rows.withColumn("g", group)
-    return dealt.groupBy("g").cogroup(start.groupBy("g")).applyInPandas(run, PIECE)
+    return dealt.groupBy("g").cogroup(start.groupBy("g")).applyInPandas(run, PIECE).withColumn("doc_id", true_id("doc_id"))
 
 
 def _running(sums: DataFrame, groups: int, wide: int = 1024) -> DataFrame:

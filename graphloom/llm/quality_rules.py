@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import SPACE, stash
+from .common import SPACE, filled_id, stash, true_id
 
 WORD = re.compile(rf"[^{SPACE}]+")
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -111,7 +111,7 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
     documents of their own. Texts are read whole, whatever their length. Further columns are ignored; an empty table
     gives an empty result. ``boilerplate_keys`` lists the hashes of the lines to be removed.
     """
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
+    cols = docs.select(filled_id("doc_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in STATS) + ", line_keys array<long>, line_words array<long>"
     stats = cols.mapInPandas(_measure, schema)
     stats = stash(stats.withColumn("row", F.monotonically_increasing_id()), "text-stats")
@@ -122,7 +122,7 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
     out = stats.join(lost, "row", "left")
     gone = F.coalesce("boilerplate_words", F.lit(0).cast("long"))
     return out.select(
-        "doc_id",
+        true_id("doc_id").alias("doc_id"),
         *STATS,
         gone.alias("boilerplate_words"),
         base_failed().alias("base_failed"),
