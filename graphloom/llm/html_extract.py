@@ -35,6 +35,8 @@ RAW = "script|style|noscript|template|title|textarea|select|svg|iframe|object|ma
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+# Elements that are a block themselves, rather than hold several.
+HOLDERS_NOT = frozenset("p h1 h2 h3 h4 h5 h6 caption dd dt figcaption legend option pre summary td th".split())
 # Elements that hold no main text; the last two do inside an article.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button label fieldset head".split())
 OUTER_TAGS = frozenset("header".split())
@@ -59,20 +61,22 @@ class Block:
     linked: int
     boiler: bool
     region: int  # number of the article it is in; 0: outside
+    parent: int = 0  # number of the element that holds it
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order; mended as browsers do where elements aren't closed."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, boilerplate, region
+    stack: list[tuple[str, bool, int, int]] = []  # element, boilerplate, region, number
     parts: list[str] = []
-    linked, in_link, articles = 0, False, 0
+    linked, in_link, articles, opened = 0, False, 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, any(x[1] for x in stack), stack[-1][2] if stack else 0))
+            parent = next((x[3] for x in reversed(stack) if x[0] not in HOLDERS_NOT), 0)
+            out.append(Block(text, linked, any(x[1] for x in stack), stack[-1][2] if stack else 0, parent))
         parts.clear()
         linked = 0
 
@@ -112,7 +116,8 @@ def blocks(page: str) -> list[Block]:
             if name not in ("html", "body", "article", "main") and m[4]:
                 marks = {w for x in ATTRIBUTE.finditer(m[4]) for w in re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())}
                 boiler |= bool(marks & BOILER_WORDS) or not region and bool(marks & OUTER_WORDS)
-            stack.append((name, boiler, region))
+            opened += 1
+            stack.append((name, boiler, region, opened))
     add(page[at:])
     close()
     return out
@@ -131,26 +136,27 @@ def first_pass(b: Block, has_article: bool) -> int:
 
 
 def second_pass(own: list[Block], labels: list[int]) -> list[int]:
-    """Open blocks get the label of the nearer decided neighbour of their region; where both are as near, or there is none, the region's."""
-    out = list(labels)
-    for step in (1, -1):  # distance to and label of the nearest decided block before, then after
-        near: dict[int, tuple[int, int]] = {}
-        seen = []
+    """Open blocks get the label of the nearer decided neighbour of their region, one in the same element counting as half a block nearer.
+
+    Outside of articles the page's ends count as boilerplate. Where both are as near, or there is none, the region decides.
+    """
+    found: list[dict[int, tuple[float, int]]] = []
+    for step in (1, -1):  # the nearest decided block before, then after
+        near = {0: (-1 if step == 1 else len(own), BAD, -1)}
+        seen = {}
         for k in range(len(own))[::step]:
             b = own[k]
-            if labels[k] != OPEN:
-                if not b.boiler:
-                    near[b.region] = (k, labels[k])
-            else:
-                j, label = near.get(b.region, (None, OPEN))
-                seen.append((k, len(own) if j is None else abs(k - j), label))
-        if step == 1:
-            before = {k: (d, label) for k, d, label in seen}
-        else:
-            for k, d, label in seen:
-                d0, label0 = before[k]
-                default = GOOD if own[k].region else BAD
-                out[k] = (label if label == label0 or d < d0 else label0 if d0 < d else default) or default
+            if labels[k] == OPEN:
+                j, label, parent = near.get(b.region, (None, OPEN, -1))
+                seen[k] = (float("inf") if j is None else abs(k - j) - 0.5 * (parent == b.parent), label)
+            elif not b.boiler:
+                near[b.region] = (k, labels[k], b.parent)
+        found.append(seen)
+    out = list(labels)
+    for k, (before, label) in found[0].items():
+        after, other = found[1][k]
+        out[k] = label if before < after or label == other else other if after < before else OPEN
+        out[k] = out[k] or (GOOD if own[k].region else BAD)
     return out
 
 
