@@ -10,7 +10,6 @@ running sum over groups. A group's last tokens, less than a window, are cut at p
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -20,9 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, filled_id, stash, true_id
+from .common import filled_id, stash, true_id
 
-WORD = re.compile(rf"[^{SPACE}]+")
 WINDOW = 4096
 #: Tokens of a packing group, about; a longer document makes a longer group.
 GROUP_TOKENS = 1_000_000
@@ -31,48 +29,79 @@ MIN_PIECE = 256
 #: Id after each document.
 END = 2
 #: Words whose ids a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 PIECE = "doc_row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
 class _WordIds(dict):
-    """Ids of a word as bytes. The tokenizer never joins letters across white space, so a text's ids are those of its words."""
+    """Ids of a word (UTF-8) as bytes. The tokenizer never joins letters across white space, so a text's ids are those of its words.
+
+    New words are encoded many at a time, joined by spaces, and told apart by offsets; one call for each would cost more than their ids.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.encode = tokenizer.encode
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         #: Bytes of an id: two are enough for a small vocabulary.
-        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-
-    def __missing__(self, word: str) -> bytes:
-        got = np.array(self.encode(word, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
-        if len(word) <= 64:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[word] = got
-        return got
-
-
-def token_ids(words: _WordIds, text: str | None) -> bytes:
-    """The ids of the whole text and the closing id, ``words.width`` bytes each, little-endian."""
-    return b"".join([words[w] for w in WORD.findall(text or "")]) + END.to_bytes(words.width, "little")
-
-
-def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}")
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) + len(words) > REMEMBERED:
+            self.clear()
+        new = [w for w in words if w not in self]
+        marked = b" ".join(new)
+        marks = [m for m in self.marks if m in marked]
+        alone = [w for w in new if any(m in w for m in marks)] if marks else []
+        self.update((w, self.encode(w.decode()).tobytes()) for w in alone)
+        plain = [w for w in new if w not in self] if alone else new
+        if not plain:
+            return
+        joined = b" ".join(plain).decode()
+        found = self.tokenizer.encode(joined, add_special_tokens=False)
+        ids = np.array(found.ids, dtype=f"<u{self.width}").tobytes()
+        starts = np.array([o[0] for o in found.offsets], dtype=np.int64)
+        spaces = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32)
+        cuts = (np.searchsorted(starts, spaces) * self.width).tolist()
+        self.update((w, ids[i:j]) for w, i, j in zip(plain, [0, *cuts], [*cuts, len(ids)]))
+
+
+_IDS: dict[str, _WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> _WordIds:
+    """The worker process's words, which serve all its tasks."""
+    if tokenizer_path not in _IDS:
+        _IDS[tokenizer_path] = _WordIds(tokenizer_path)
+    return _IDS[tokenizer_path]
+
+
+def token_ids(known: _WordIds, texts: list[str | None]) -> list[bytes]:
+    """The ids of the whole texts, each with the closing id, ``known.width`` bytes each, little-endian. bytes.split() splits at the contract's white space."""
+    words = [t.encode().split() if t else [] for t in texts]
+    known.learn(set().union(*words))
+    end = END.to_bytes(known.width, "little")
+    return [b"".join(map(known.__getitem__, w)) + end for w in words]
+
+
+def tokenised(docs: DataFrame, tokenizer_path: str, at_once: int = 256) -> DataFrame:
     """(doc_row, doc_id, source, doc_tokens, ids): written once, so later passes read the same rows in the same order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _WordIds(tokenizer_path)
+        known = word_ids(tokenizer_path)
         for batch in batches:
-            ids = [token_ids(words, t if isinstance(t, str) else None) for t in batch["text"]]
-            batch = batch[["doc_id", "source"]].copy()
-            batch["doc_tokens"] = [len(x) // words.width for x in ids]
-            batch["ids"] = ids
-            batch["width"] = words.width
-            yield batch
+            for k in range(0, len(batch), at_once):
+                out = batch.iloc[k : k + at_once][["doc_id", "source"]].copy()
+                ids = token_ids(known, [t if isinstance(t, str) else None for t in batch["text"].iloc[k : k + at_once]])
+                out["doc_tokens"] = [len(x) // known.width for x in ids]
+                out["ids"] = ids
+                out["width"] = known.width
+                yield out
 
     cols = docs.select(filled_id("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     out = cols.mapInPandas(run, "doc_id long, source string, doc_tokens long, ids binary, width long")

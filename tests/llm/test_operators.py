@@ -287,7 +287,7 @@ def test_word_ids_are_those_of_the_text():
 
     plain, known = Tokenizer.from_file(tokenizer_path()), packing._WordIds(tokenizer_path())
     for t in ["<|endoftext|> a<|startoftext|>b", "Don't stop it'ś x \u0301y", "\x1c a\x85b", "İstanbul ǅ ﬁ", "a\u3000b", "한글 é é", "12 345,67", "", " \n", *[r[1] for r in fixture_rows() if r[1]]]:
-        got = np.frombuffer(packing.token_ids(known, t), "<u2").tolist()
+        got = np.frombuffer(packing.token_ids(known, [t, "other words"])[0], "<u2").tolist()
         assert got == plain.encode(t, add_special_tokens=False).ids + [packing.END]
 
 
@@ -305,7 +305,7 @@ def test_packing(spark, docs, no_docs):
         assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in pieces)
         assert pieces[0]["doc_tokens"] == len(ids) // 4
         made[pieces[0]["doc_id"], ids] += 1
-    assert made == Counter((i, np.frombuffer(packing.token_ids(known, t), "<u2").astype("<u4").tobytes()) for i, t, *_ in fixture_rows())
+    assert made == Counter((i, np.frombuffer(packing.token_ids(known, [t])[0], "<u2").astype("<u4").tobytes()) for i, t, *_ in fixture_rows())
     sequences = defaultdict(list)
     for r in got:
         sequences[r["sequence_id"]].append(r)
@@ -413,7 +413,8 @@ def plain_lines(rows):
         key = " ".join(w)
         first[key] = min(first.get(key, (d, k)), (d, k))
         if key not in sims:
-            sims[key] = sum(1 << b for b in range(64) if 2 * sum(code(x) >> b & 1 for x in w) > len(w))
+            own = {code(x) for x in w}
+            sims[key] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
     keys, u = list(sims), Union()
     for a, x in enumerate(keys):
         u.find(first[x])

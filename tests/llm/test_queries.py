@@ -61,7 +61,7 @@ def test_pipeline_is_its_stages_done_plainly(spark, tmp_path):
     for r in sorted(out, key=lambda r: (r["doc_row"], r["start"])):
         pieces.setdefault((r["doc_row"], r["doc_id"]), []).append(bytes(r["ids"]))
     for (_, i), parts in pieces.items():
-        ids = np.frombuffer(packing.token_ids(words, texts[i]), "<u2").astype("<u4").tobytes()
+        ids = np.frombuffer(packing.token_ids(words, [texts[i]])[0], "<u2").astype("<u4").tobytes()
         assert b"".join(parts) == ids
         found[i] += 1
     assert found == copies
