@@ -20,55 +20,75 @@ Shingles and sets are known by 64-bit hashes, sets by their size as well.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, stash
+from .common import components, filled_id, stash, true_id
 from .quality_rules import _join_small
 
-WORD = re.compile(rf"[^{SPACE}]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The sketch has 2 ** SKETCH_BITS counters, whatever the input's size; they are collected in BLOCKS parts.
 SKETCH_BITS, BLOCKS = 20, 64
 #: Documents whose identifiers may be broadcast when texts are looked up; beyond that, texts are shuffled.
 BROADCAST_IDS = 500_000
-REMEMBERED = 500_000
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of a text; remembers the hashes of words."""
+    """Sorted distinct shingle hashes of a text.
+
+    A word's hash is a polynomial over its bytes, read off running sums over the whole text, so no word becomes a Python object.
+    """
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n = n
+        self.bytes = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        """Powers of BASE and of its inverse modulo 2 ** 64, for texts of up to ``n`` bytes."""
+        while len(self.power) < n:
+            k = len(self.power)
+            self.power = np.concatenate([self.power, self.power * np.uint64(pow(BASE, k, 1 << 64))])
+            self.inverse = np.concatenate([self.inverse, self.inverse * np.uint64(pow(BASE, -k, 1 << 64))])
+
+    def words(self, text: str) -> np.ndarray:
+        """Hashes of the words, A-Z lower-cased."""
+        raw = np.frombuffer(text.encode().lower(), np.uint8)
+        self._powers(len(raw))
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~IS_SPACE[raw]
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.bytes[raw] * self.power[: len(raw)], out=sums[1:])
+        return _mixed((sums[ends] - sums[starts]) * self.inverse[starts])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(text.translate(LOWER)) if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.n:
-            return np.array([xxhash.xxh3_64_intdigest("\x00" + " ".join(words))], np.uint64)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        m = len(words) - self.n + 1
-        out = np.zeros(m, np.uint64)
-        for k in range(self.n):
-            out *= np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            out += codes[k : k + m]
-        out *= np.uint64(0xC2B2AE3D27D4EB4F)
-        out ^= out >> np.uint64(32)
-        return np.unique(out)
+        codes = self.words(text) if text else np.empty(0, np.uint64)
+        if not len(codes):
+            return codes
+        width = min(self.n, len(codes))  # a text of fewer words is one shingle
+        m = len(codes) - width + 1
+        out = np.full(m, width, np.uint64)
+        for k in range(width):
+            out = _mixed(out + codes[k : k + m])
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+BASE = 0x9E3779B97F4A7C15
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -89,14 +109,13 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             out = batch[["doc_id"]].copy()
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.assign(size=[len(x) for x in sets], set=[_set_id(x) for x in sets], block=pd.array([None] * len(out), "Int32"), part=None)
         parts = [(k, zlib.compress(x.astype("<i8").tobytes(), 1)) for k, x in enumerate(np.split(sketch, BLOCKS)) if x.any()]
         made = pd.DataFrame(parts, columns=["block", "part"])
         none = pd.array([None] * len(made), "Int64")
         yield made.assign(doc_id=none, size=none, set=none)[["doc_id", "size", "set", "block", "part"]]
 
-    return stash(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, size long, set long, block int, part binary"), "sets")
+    return stash(docs.select(filled_id("doc_id"), "text").mapInPandas(run, "doc_id long, size long, set long, block int, part binary").withColumn("doc_id", true_id("doc_id")), "sets")
 
 
 def summed_sketch(rows: DataFrame, fan: int = 64) -> np.ndarray:
