@@ -11,7 +11,7 @@
    blocks (sets of one size, position and group) that can't link being skipped as a whole. Pairs of one group need no comparison.
    So no link between sets of different groups is lost, and the groups are those of the full join.
 
-Comparisons read whole texts. While one leader's pairs are verified in turn, the overlap with the next set is derived from the
+Pairs that the counts of their shingles by hash rule out are dropped; comparisons of the others read whole texts. While one leader's pairs are verified in turn, the overlap with the next set is derived from the
 computed overlap with a highly similar set before, by the shingles in which the two differ.
 
 Shingles and sets are known by 64-bit hashes, sets by their size as well.
@@ -33,6 +33,8 @@ from .quality_rules import _join_small
 
 #: The sketch has 2 ** SKETCH_BITS counters, whatever the input's size; they are collected in BLOCKS parts.
 SKETCH_BITS, BLOCKS = 20, 64
+#: A set's shingles are counted in 2 ** CELL_BITS cells; two sets share at most the smaller count of each.
+CELL_BITS = 6
 #: Documents whose identifiers may be broadcast when texts are looked up; beyond that, texts are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -100,7 +102,10 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def measured(docs: DataFrame, n: int) -> DataFrame:
-    """Two kinds of rows, by one pass over the texts: (doc_id, size, set) of each document, and parts (block, part) of the sketch of each task."""
+    """Two kinds of rows, by one pass over the texts: (doc_id, size, set, cells) of each document, and parts (block, part) of the sketch of each task.
+
+    ``cells`` counts a set's shingles by the first bits of their hashes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, sketch = Shingler(n), np.zeros(1 << SKETCH_BITS, np.int64)
@@ -109,13 +114,13 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             out = batch[["doc_id"]].copy()
-            yield out.assign(size=[len(x) for x in sets], set=[_set_id(x) for x in sets], block=pd.array([None] * len(out), "Int32"), part=None)
+            yield out.assign(size=[len(x) for x in sets], set=[_set_id(x) for x in sets], cells=[np.bincount((x >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.int32) for x in sets], block=pd.array([None] * len(out), "Int32"), part=None)
         parts = [(k, zlib.compress(x.astype("<i8").tobytes(), 1)) for k, x in enumerate(np.split(sketch, BLOCKS)) if x.any()]
         made = pd.DataFrame(parts, columns=["block", "part"])
         none = pd.array([None] * len(made), "Int64")
-        yield made.assign(doc_id=none, size=none, set=none)[["doc_id", "size", "set", "block", "part"]]
+        yield made.assign(doc_id=none, size=none, set=none, cells=None)[["doc_id", "size", "set", "cells", "block", "part"]]
 
-    return stash(docs.select(filled_id("doc_id"), "text").mapInPandas(run, "doc_id long, size long, set long, block int, part binary").withColumn("doc_id", true_id("doc_id")), "sets")
+    return stash(docs.select(filled_id("doc_id"), "text").mapInPandas(run, "doc_id long, size long, set long, cells array<int>, block int, part binary").withColumn("doc_id", true_id("doc_id")), "sets")
 
 
 def summed_sketch(rows: DataFrame, fan: int = 64) -> np.ndarray:
@@ -170,6 +175,14 @@ def _may_link(percent: int, size_a: str, pos_a: str, size_b: str, pos_b: str) ->
     return sizes & ((100 + percent) * left >= percent * (a + b))
 
 
+def _within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can link by the counts of their cells: an exact bound, which spares most of the others the reading of their texts."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("set").alias(side), F.col("size").alias(f"size_{side}"), F.col("cells").alias(f"cells_{side}")), side)
+    most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
+    return pairs.where(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)).select("a", "b")
+
+
 def links(overlap: int, size_a: int, size_b: int, percent: int) -> bool:
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
@@ -211,13 +224,14 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = measured(docs, n)
-    own = rows.where("part is null").select("doc_id", "size", "set")
-    sets = stash(own.where("size > 0").groupBy("set", "size").agg(F.min("doc_id").alias("first_doc")), "distinct-sets")
+    own = rows.where("part is null").select("doc_id", "size", "set", "cells")
+    sets = stash(own.where("size > 0").groupBy("set", "size").agg(F.min("doc_id").alias("first_doc"), F.first("cells").alias("cells")), "distinct-sets")
     entries = stash(index_entries(docs, n, percent, summed_sketch(rows)), "entries")
 
-    lead = F.min(F.struct("pos", "set", "size")).alias("lead")
-    lists = entries.groupBy("token").agg(lead, F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("token", "lead")
-    shared = stash(entries.join(lists, "token").distinct(), "shared-entries")
+    many = entries.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("token")
+    shared = stash(entries.join(many, "token", "left_semi").distinct(), "shared-entries")
+    lead = shared.groupBy("token").agg(F.min(F.struct("pos", "set", "size")).alias("lead"))
+    shared = stash(shared.join(lead, "token"), "led-entries")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct().join(sets, "set")
@@ -225,7 +239,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         return stash(_join_small(docs.where("text is not null"), ids, ["doc_id"], "inner", BROADCAST_IDS).select("set", "text").dropDuplicates(["set"]), "compared-texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs.distinct(), "pairs")
+        pairs = stash(_within_bound(pairs.distinct(), sets, percent), "pairs")
         return stash(verified(pairs, texts_of(pairs), n, percent), "links")
 
     first = shared.select("token", "set", "pos", "size", F.col("lead.set").alias("lead_set"), F.col("lead.pos").alias("lead_pos"), F.col("lead.size").alias("lead_size")).where("set <> lead_set")
@@ -250,11 +264,11 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     group = stash(components(found), "groups")
 
     ends = found.select(F.col("a").alias("set")).union(found.select(F.col("b").alias("set"))).groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = sets.join(group.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")).join(ends, "set", "left")
+    labelled = sets.drop("cells").join(group.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")).join(ends, "set", "left")
     labelled = stash(labelled, "labelled")
     smallest = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     answer = labelled.join(smallest, "component").select("set", "size", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = own.join(answer, ["set", "size"], "left")
+    out = own.drop("cells").join(answer, ["set", "size"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
 
 
