@@ -481,3 +481,14 @@ def test_block_keys_meet_within_the_limit(spark):
         x = d.withColumnRenamed("s", "sim").withColumn("k", line_dedup.block_keys(keep)).drop("sim")
         x = x.withColumnRenamed("o", "sim").withColumn("k2", line_dedup.block_keys(keep))
         assert x.where(~F.arrays_overlap("k", "k2")).count() == 0
+
+
+def test_line_of_very_many_words(spark):
+    """No counter of the SimHash runs over; white space of any kind parts words."""
+    from graphloom.llm import line_dedup
+
+    rows = [(1, " ".join(f"w{i}" for i in range(70_000))), (2, "a b c d e f"), (3, "A\tb  c d\x0ce f")]
+    found = line_dedup.simhashes(line_dedup.text_lines(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    by = {r["d"]: r for r in found}
+    assert by[1]["n_words"] == 70_000
+    assert by[2]["sim"] == by[3]["sim"] and by[2]["k1"] == by[3]["k1"]
