@@ -492,3 +492,31 @@ def test_line_of_very_many_words(spark):
     by = {r["d"]: r for r in found}
     assert by[1]["n_words"] == 70_000
     assert by[2]["sim"] == by[3]["sim"] and by[2]["k1"] == by[3]["k1"]
+
+
+def test_line_dedup_finds_every_pair_within_the_edit_limit(spark):
+    """Against all pairs by edit distance alone: replaced, added and removed words in short and long lines, some of few words that repeat."""
+    rng = np.random.default_rng(11)
+    lines = []
+    for k in range(60):
+        vocabulary = [f"u{j}" for j in range([4, 30, 2000][k % 3])]
+        base = rng.choice(vocabulary, int(rng.integers(4, 45))).tolist()
+        lines.append(base)
+        for _ in range(4):
+            own = list(base)
+            for _ in range(int(rng.integers(1, len(base) // 4 + 2))):
+                at = int(rng.integers(len(own)))
+                kind = rng.integers(3)
+                own[at : at + (kind != 0)] = [str(rng.choice(vocabulary))] * int(kind != 1)
+            lines.append(own or base)
+    rng.shuffle(lines)
+    lines = [x.split(" ") for x in dict.fromkeys(" ".join(x) for x in lines)]
+    u = Union()
+    for a, x in enumerate(lines):
+        u.find(a)
+        for b, y in enumerate(lines[:a]):
+            if distance(x, y) <= max(len(x), len(y)) // 5:
+                u.join(a, b)
+    want = {k for k in range(len(lines)) if u.find(k) == k}
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in line_dedup.line_dedup(df).where("n_dropped = 0").collect()} == want
