@@ -81,8 +81,9 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key = re.sub("[0-9]", "0", " ".join(own).translate(LOWER))
                 keys.append(xxhash.xxh3_64_intdigest(key) - 2**63)
                 sizes.append(len(own))
-            rows.append((len(words), sum(map(len, words)), len(text) - len(text.translate(SYMBOLS)), dup, _repeat_words(words), keys, sizes))
-        out = pd.DataFrame(rows, columns=[*STATS, "line_keys", "line_words"])
+            code = xxhash.xxh3_64_intdigest(text) - 2**63
+            rows.append((len(words), sum(map(len, words)), len(text) - len(text.translate(SYMBOLS)), dup, _repeat_words(words), code, keys, sizes))
+        out = pd.DataFrame(rows, columns=[*STATS, "text_key", "line_keys", "line_words"])
         yield pd.concat([batch[["doc_id", "host"]].reset_index(drop=True), out], axis=1)
 
 
@@ -95,8 +96,10 @@ def _join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, most
     return left.join(F.broadcast(right) if right.count() <= most else right, on, how)
 
 
-def boilerplate_lines(stats: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line) of the lines that more than ``min_docs`` documents and more than ``share`` of a host's documents hold."""
+def boilerplate_lines(stats: DataFrame, min_docs: int, share: float, by_text: bool = False) -> DataFrame:
+    """(host, line) of the lines that more than ``min_docs`` documents and more than ``share`` of a host's documents hold; ``by_text``: of its distinct texts."""
+    if by_text:  # equal texts have equal lines
+        stats = stats.groupBy("host", "text_key").agg(F.first("line_keys").alias("line_keys"))
     held = stats.select("host", F.explode(F.array_distinct("line_keys")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
     hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = stash(held.where(F.col("docs") > min_docs), "frequent-lines")
@@ -104,18 +107,19 @@ def boilerplate_lines(stats: DataFrame, min_docs: int, share: float) -> DataFram
     return stash(over.select("host", "line"), "boilerplate")
 
 
-def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED, by_text: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, the five statistics, boilerplate_words, base_failed, kept.
 
     A null text has no words, and fails the base rules; null sources form a host of their own. Repeated rows count as
-    documents of their own. Texts are read whole, whatever their length. Further columns are ignored; an empty table
+    documents of their own, as in the query's SQL; ``by_text`` counts equal texts of a host once, so that copies don't make their own lines
+    boilerplate. Texts are read whole, whatever their length. Further columns are ignored; an empty table
     gives an empty result. ``boilerplate_keys`` lists the hashes of the lines to be removed.
     """
     cols = docs.select(filled_id("doc_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in STATS) + ", line_keys array<long>, line_words array<long>"
+    schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in STATS) + ", text_key long, line_keys array<long>, line_words array<long>"
     stats = cols.mapInPandas(_measure, schema)
     stats = stash(stats.withColumn("row", F.monotonically_increasing_id()), "text-stats")
-    over = boilerplate_lines(stats, min_docs, share)
+    over = boilerplate_lines(stats, min_docs, share, by_text)
     lines = stats.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x"))
     lines = lines.select("row", "host", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
     lost = _join_small(lines, over, ["host", "line"], "inner").groupBy("row").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("line").alias("boilerplate_keys"))
@@ -145,10 +149,11 @@ def _without_lines(text: pd.Series, keys: pd.Series) -> pd.Series:
 def apply_quality_rules(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that the rules keep, with boilerplate lines removed from their texts and n_chars renewed.
 
+    Equal texts of a host count once as holders of their lines: a group of copies is left for later stages to keep one of.
     Columns and types are those of ``docs``. Rows that share a doc_id are judged alike: all stay only if the rules keep each of
     them. A null doc_id cannot be joined to its verdict, and goes.
     """
-    verdicts = quality_rules(docs, **limits).select("doc_id", "kept", "boilerplate_keys")
+    verdicts = quality_rules(docs, **{"by_text": True} | limits).select("doc_id", "kept", "boilerplate_keys")
     verdicts = verdicts.groupBy("doc_id").agg(F.min("kept").alias("__kept"), F.array_distinct(F.flatten(F.collect_set("boilerplate_keys"))).alias("__gone"))
     kept = docs.join(verdicts.where("__kept").drop("__kept"), "doc_id")
     kept = kept.withColumn("text", F.when(F.size("__gone") > 0, _without_lines("text", "__gone")).otherwise(F.col("text")))

@@ -65,3 +65,18 @@ def test_pipeline_is_its_stages_done_plainly(spark, tmp_path):
         assert b"".join(parts) == ids
         found[i] += 1
     assert found == copies
+
+
+def test_pipeline_keeps_one_of_a_large_group_of_copies(spark, tmp_path):
+    """Copies of a clean document are a third of a source's rows: the quality stage leaves them, and the join keeps one."""
+    from .test_operators import DOCS
+
+    word = lambda *at: "w" + "".join(chr(97 + x) for x in at)  # noqa: E731  (digits are all one to the rules)
+    text = lambda k: "\n".join(" ".join(word(k % 26, k // 26, i, j) for j in range(12)) for i in range(4))
+    rows = [(k, text(0 if k < 20 else k), "en", "a", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert docs.count() == 60
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in docs.collect()} == {0, *range(20, 60)}
