@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Expected number of labelled rows that the trees are fitted on, at most.
 FIT_ROWS = 20_000
@@ -15,6 +17,8 @@ UNWANTED = ("adult", "bets", "bet", "casino", "loan", "loans", "pills", "poker",
 #: How strongly a suffix's share of unwanted URLs is drawn to the share among all.
 PRIOR_ROWS = 20.0
 FEATURES = ["length", "host_length", "depth", "digits", "entropy", "params", "hyphens", "labels", "suffix1", "suffix2", "suffix3"]
+#: Suffixes whose statistics may be broadcast; beyond that, the join is shuffled.
+BROADCAST_SUFFIXES = 200_000
 
 Rules = list[tuple[str, str, str]]
 
@@ -46,7 +50,8 @@ def _suffix(k: int) -> Column:
 
 
 def with_features(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Lexical features. ``suffixes`` (suffix, share) comes from the labelled sample, so it has at most three rows for each of its rows."""
+    """Lexical features. ``suffixes`` (suffix, share), of all labelled rows but those that the trees are fitted on, is broadcast only below a checked count."""
+    few = suffixes.count() <= BROADCAST_SUFFIXES
     u, h = F.coalesce("__url", F.lit("")), F.col("__host")
     n = F.greatest(F.length(h), F.lit(1))
     part = lambda c: (F.length(h) - F.length(F.replace(h, c))) / n
@@ -65,7 +70,7 @@ def with_features(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
     )
     for k in (1, 2, 3):
         own = suffixes.select(F.col("suffix").alias(f"__s{k}"), F.col("share").alias(f"suffix{k}"))
-        out = out.withColumn(f"__s{k}", _suffix(k)).join(F.broadcast(own), f"__s{k}", "left").drop(f"__s{k}")
+        out = out.withColumn(f"__s{k}", _suffix(k)).join(F.broadcast(own) if few else own, f"__s{k}", "left").drop(f"__s{k}")
         out = out.withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(-1.0)))
     return VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(out)
 
@@ -84,28 +89,40 @@ def seed_labels(urls: DataFrame, words: tuple[str, ...] = UNWANTED) -> DataFrame
 
 
 def bounded_sample(labelled: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows, chosen by the hash of their URL; all if there are no more."""
-    n = labelled.count()
-    return labelled if n <= most else labelled.where(F.pmod(F.xxhash64("url", F.lit(7)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    """``labelled`` with weight, the labelled rows that one for fitting stands for, and fit: whether a row is one of those for fitting, chosen by a hash of host and path so that equal pages go together.
+
+    Of each label about half of its rows at most, and about ``most`` in all: a label of less than half of ``most`` rows leaves its room to the other.
+    """
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    room, part, weight = most, F.lit(0), F.lit(1.0)
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        share = min(0.5, room / (len(counts) - k) / n)
+        room -= share * n
+        part = F.when(F.col("label") == label, F.lit(int(share * (1 << 30)))).otherwise(part)
+        weight = F.when(F.col("label") == label, F.lit(1 / share)).otherwise(weight)
+    return labelled.withColumn("weight", weight).withColumn("fit", F.pmod(F.xxhash64("__host", "__path", F.lit(7)), F.lit(1 << 30)) < part)
 
 
 def url_filter(pages: DataFrame, rules: Rules, labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 10, depth: int = 3) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): (page_id, host, path, rule, verdict, score).
 
-    ``labelled`` (url, label 0 or 1) trains the trees, on a sample of about ``fit_rows`` rows at most: suffix statistics come from one half
-    of it, the trees from the other, so that the trees see statistics as good as they will meet. A rule's verdict goes before
+    ``labelled`` (url, label 0 or 1) trains the trees, on a sample of about ``fit_rows`` rows and half of each label's at most; suffix
+    statistics come from all other labelled rows, so that the trees see statistics as good as they will meet. A rule's verdict goes before
     the trees'. Null URLs, and those without ://, have empty parts, match no rule, and are judged like others. Without labelled rows of
     both kinds there are no trees, and the verdict is the only known label's, or allow. Repeated rows and null ids pass
     through; empty table: empty result. Further columns are ignored.
     """
-    sample = with_parts(bounded_sample(labelled.where("label is not null"), fit_rows)).select("url", "__url", "__host", "__path", F.col("label").cast("double").alias("label"))
-    half = F.pmod(F.xxhash64("__host", "__path"), F.lit(2))
-    fitted, kinds = sample.where(half == 1), []
+    marked = with_parts(labelled.where("label is not null")).select("url", "__url", "__host", "__path", F.col("label").cast("double").alias("label"))
+    marked = bounded_sample(marked, fit_rows)
+    fitted = stash(marked.where("fit"), "fitted-urls")
     kinds = [r[0] for r in fitted.groupBy("label").count().collect()]
+    if len(kinds) < 2:  # of few rows, the hash may choose none of a label
+        kinds = [r[0] for r in marked.groupBy("label").count().collect()]
+        fitted = marked
     rows = with_parts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"))).withColumn("__rule", matched_rule(rules))
     if len(kinds) == 2:
-        shares = suffix_shares(sample.where(half == 0)).persist()
-        model = GBTClassifier(labelCol="label", featuresCol="__features", predictionCol="__block", maxIter=trees, maxDepth=depth, seed=1).fit(with_features(fitted, shares))
+        shares = stash(suffix_shares(marked.where("not fit")), "suffixes")
+        model = GBTClassifier(labelCol="label", weightCol="weight", featuresCol="__features", predictionCol="__block", maxIter=trees, maxDepth=depth, seed=1).fit(with_features(fitted, shares))
         rows = model.transform(with_features(rows, shares))
         from pyspark.ml.functions import vector_to_array
 

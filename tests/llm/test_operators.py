@@ -152,6 +152,16 @@ def test_url_trees_on_held_out_hosts(spark):
     assert ok.agg(F.avg("ok")).first()[0] > 0.95
 
 
+def test_url_trees_know_rare_hosts_outside_of_the_sample(spark):
+    """All labelled rows count for a host's statistics, and a label of one row in 200 is in the sample for fitting."""
+    name = lambda k: "".join(chr(97 + (k * 7 // 26**j) % 26) for j in range(4))
+    rows = [(20 * k + i, f"http://{name(k)}.org/en/{i + 10}", 0) for k in range(300) for i in range(20)]
+    rows += [(9000 + 10 * k + i, f"http://{name(300 + k)}.org/en/{i + 10}", 1) for k in range(3) for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int")
+    found = url_filter.url_filter(pages.select("page_id", "url"), [], pages.select("url", "label"), fit_rows=100)
+    assert {r["page_id"] for r in found.where("verdict = 'block'").collect()} == {i for i, _, label in rows if label}
+
+
 def test_language_gradients():
     m = lang_id.BiGRU(["a", "b", "c"], 3)
     rows, y = np.random.default_rng(0).integers(0, 256, (5, 7)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
