@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Unset, it is a temporary one on a local master (tests), and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -23,7 +26,16 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: its lineage is cut, and it outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/stash/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.__dict__["stashed_at"] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables from which nothing will be read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.__dict__["stashed_at"])
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -37,7 +49,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     known = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     known = stash(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    before, mark = known, None
     for _ in range(max_rounds):
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -47,6 +59,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         known = stash(small.distinct(), "edges")
+        discard(before, large)
+        before = known
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
