@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.groups import components, stash
+from ..operators.groups import components, discard, stash
 
-__all__ = ["NO_ID", "SPACE", "components", "filled_id", "stash", "text_or_empty", "true_id"]
+__all__ = ["NO_ID", "SPACE", "components", "discard", "filled_id", "stash", "text_or_empty", "true_id"]
 
 #: White space of the operators' contracts, as it stands inside a character class.
 SPACE = r"\x20\x09-\x0D"
