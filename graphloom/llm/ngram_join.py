@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, filled_id, stash, true_id
+from .common import NO_ID, components, discard, stash
 from .quality_rules import _join_small
 
 #: The sketch has 2 ** SKETCH_BITS counters, whatever the input's size; they are collected in BLOCKS parts.
@@ -102,9 +102,9 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def measured(docs: DataFrame, n: int) -> DataFrame:
-    """Two kinds of rows, by one pass over the texts: (doc_id, size, set, cells) of each document, and parts (block, part) of the sketch of each task.
+    """Two kinds of rows, by one pass over the texts: (d, t, size, set, cells) of each document, and parts (block, part) of the sketch of each task.
 
-    ``cells`` counts a set's shingles by the first bits of their hashes.
+    d and t, the id and a hash of the text, stand for the document. ``cells`` counts a set's shingles by the first bits of their hashes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,14 +113,14 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t if isinstance(t, str) else None) for t in batch["text"]]
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            out = batch[["doc_id"]].copy()
+            out = batch[["d", "t"]].copy()
             yield out.assign(size=[len(x) for x in sets], set=[_set_id(x) for x in sets], cells=[np.bincount((x >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.int32) for x in sets], block=pd.array([None] * len(out), "Int32"), part=None)
         parts = [(k, zlib.compress(x.astype("<i8").tobytes(), 1)) for k, x in enumerate(np.split(sketch, BLOCKS)) if x.any()]
         made = pd.DataFrame(parts, columns=["block", "part"])
         none = pd.array([None] * len(made), "Int64")
-        yield made.assign(doc_id=none, size=none, set=none, cells=None)[["doc_id", "size", "set", "cells", "block", "part"]]
+        yield made.assign(d=none, t=none, size=none, set=none, cells=None)[["d", "t", "size", "set", "cells", "block", "part"]]
 
-    return stash(docs.select(filled_id("doc_id"), "text").mapInPandas(run, "doc_id long, size long, set long, cells array<int>, block int, part binary").withColumn("doc_id", true_id("doc_id")), "sets")
+    return stash(docs.select("d", "t", "text").mapInPandas(run, "d long, t long, size long, set long, cells array<int>, block int, part binary"), "sets")
 
 
 def summed_sketch(rows: DataFrame, fan: int = 64) -> np.ndarray:
@@ -213,34 +213,38 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInPandas(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): (doc_id, n_shingles, n_links, component_id).
+def _keyed(docs: DataFrame, d: str, t: str) -> DataFrame:
+    """``docs`` with the id, filled, and a hash of the text: a row's key, which null and repeated ids don't blur."""
+    return docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), t: F.xxhash64(F.col("text").cast("string"))})
 
-    Documents link when 100 * intersection >= percent * union of their sets of word n-grams (words after A-Z are lower-cased; a text
-    of fewer words is one shingle). component_id is the smallest doc_id that links lead to. Null or empty texts, and texts without
-    words, have the empty set and link with nothing. n_links counts the verified links to other sets, not those that the
-    group's leaders made needless. Rows with a null id pass through, and their group's id is the smallest other one, or null.
-    Repeated rows have equal sets, and so are in one group. Empty table: empty result. Further columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(d, t, n_shingles, n_links, component, component_id) of every row of ``docs``; ``component`` is null without words."""
+    docs = _keyed(docs, "d", "t").select("d", "t", F.col("text").cast("string").alias("text"))
     rows = measured(docs, n)
-    own = rows.where("part is null").select("doc_id", "size", "set", "cells")
-    sets = stash(own.where("size > 0").groupBy("set", "size").agg(F.min("doc_id").alias("first_doc"), F.first("cells").alias("cells")), "distinct-sets")
+    own = rows.where("part is null").select("d", "t", "size", "set", "cells")
+    first = F.min(F.struct("d", "t"))
+    sets = own.where("size > 0").groupBy("set", "size").agg(first.alias("first"), F.min(F.nullif("d", F.lit(NO_ID))).alias("first_doc"), F.first("cells").alias("cells"))
+    sets = stash(sets, "distinct-sets")
     entries = stash(index_entries(docs, n, percent, summed_sketch(rows)), "entries")
 
     many = entries.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("token")
-    shared = stash(entries.join(many, "token", "left_semi").distinct(), "shared-entries")
-    lead = shared.groupBy("token").agg(F.min(F.struct("pos", "set", "size")).alias("lead"))
-    shared = stash(shared.join(lead, "token"), "led-entries")
+    met = stash(entries.join(many, "token", "left_semi").distinct(), "shared-entries")
+    lead = met.groupBy("token").agg(F.min(F.struct("pos", "set", "size")).alias("lead"))
+    shared = stash(met.join(lead, "token"), "led-entries")
+    discard(entries, met)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct().join(sets, "set")
-        ids = stash(ids.select("set", F.col("first_doc").alias("doc_id")), "compared-sets")
-        return stash(_join_small(docs.where("text is not null"), ids, ["doc_id"], "inner", BROADCAST_IDS).select("set", "text").dropDuplicates(["set"]), "compared-texts")
+        ids = stash(ids.select("set", "first.*"), "compared-sets")
+        return stash(_join_small(docs.where("text is not null"), ids, ["d", "t"], "inner", BROADCAST_IDS).select("set", "text").dropDuplicates(["set"]), "compared-texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
         pairs = stash(_within_bound(pairs.distinct(), sets, percent), "pairs")
-        return stash(verified(pairs, texts_of(pairs), n, percent), "links")
+        texts = texts_of(pairs)
+        out = stash(verified(pairs, texts, n, percent), "links")
+        discard(pairs, texts)
+        return out
 
     first = shared.select("token", "set", "pos", "size", F.col("lead.set").alias("lead_set"), F.col("lead.pos").alias("lead_pos"), F.col("lead.size").alias("lead_size")).where("set <> lead_set")
     first = first.where(_may_link(percent, "size", "pos", "lead_size", "lead_pos"))
@@ -264,18 +268,37 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     group = stash(components(found), "groups")
 
     ends = found.select(F.col("a").alias("set")).union(found.select(F.col("b").alias("set"))).groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = sets.drop("cells").join(group.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")).join(ends, "set", "left")
+    labelled = sets.drop("cells", "first").join(group.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")).join(ends, "set", "left")
     labelled = stash(labelled, "labelled")
     smallest = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    answer = labelled.join(smallest, "component").select("set", "size", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = own.drop("cells").join(answer, ["set", "size"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
+    answer = labelled.join(smallest, "component").select("set", "size", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = stash(own.drop("cells").join(answer, ["set", "size"], "left"), "answers")
+    discard(rows, sets, shared, rest, found, group, labelled)
+    doc_id = F.nullif("d", F.lit(NO_ID))
+    return out.select("d", "t", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component", F.coalesce("component_id", doc_id).alias("component_id"))
+
+
+def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): (doc_id, n_shingles, n_links, component_id).
+
+    Documents link when 100 * intersection >= percent * union of their sets of word n-grams (words after A-Z are lower-cased; a text
+    of fewer words is one shingle). component_id is the smallest doc_id that links lead to. Null or empty texts, and texts without
+    words, have the empty set and link with nothing. n_links counts the verified links to other sets, not those that the
+    group's leaders made needless. Rows with a null id link like others; their group's id is the smallest other one, or null.
+    Rows that share an id are documents of their own, each with its text. Repeated rows have equal sets, and so are in one group.
+    Empty table: empty result. Further columns are ignored.
+    """
+    out = _grouped(docs, n, percent)
+    return out.select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "n_links", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest doc_id of each group; columns are those of ``docs``. Null ids can't be looked up, and go.
+    """Of each group the document with the smallest doc_id, null ids last; columns are those of ``docs``. Documents without words stay.
 
-    Repeated rows with that doc_id all stay, since no column tells them apart.
+    Rows that agree in id and text all stay if one of them does, since no column tells them apart.
     """
-    kept = similar_groups(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = _grouped(docs, n, percent)
+    best = rows.where("component is not null").groupBy("component").agg(F.min(F.struct((F.col("d") == NO_ID).alias("none"), "d", "t")).alias("best"))
+    kept = best.select("best.d", "best.t").union(rows.where("component is null").select("d", "t")).distinct()
+    kept = kept.select(F.col("d").alias("__d"), F.col("t").alias("__t"))
+    return _keyed(docs, "__d", "__t").join(kept, ["__d", "__t"], "left_semi").select(*docs.columns)

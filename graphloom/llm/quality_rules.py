@@ -84,7 +84,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code = xxhash.xxh3_64_intdigest(text) - 2**63
             rows.append((len(words), sum(map(len, words)), len(text) - len(text.translate(SYMBOLS)), dup, _repeat_words(words), code, keys, sizes))
         out = pd.DataFrame(rows, columns=[*STATS, "text_key", "line_keys", "line_words"])
-        yield pd.concat([batch[["doc_id", "host"]].reset_index(drop=True), out], axis=1)
+        yield pd.concat([batch[["doc_id", "host", "t"]].reset_index(drop=True), out], axis=1)
 
 
 def base_failed() -> Column:
@@ -107,16 +107,22 @@ def boilerplate_lines(stats: DataFrame, min_docs: int, share: float, by_text: bo
     return stash(over.select("host", "line"), "boilerplate")
 
 
+def _host() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+
+
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED, by_text: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, the five statistics, boilerplate_words, base_failed, kept.
 
     A null text has no words, and fails the base rules; null sources form a host of their own. Repeated rows count as
     documents of their own, as in the query's SQL; ``by_text`` counts equal texts of a host once, so that copies don't make their own lines
     boilerplate. Texts are read whole, whatever their length. Further columns are ignored; an empty table
-    gives an empty result. ``boilerplate_keys`` lists the hashes of the lines to be removed.
+    gives an empty result. ``boilerplate_keys`` lists the hashes of the lines to be removed; ``row_key`` is the
+    row's id, filled, with a hash of its text and its host.
     """
-    cols = docs.select(filled_id("doc_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in STATS) + ", text_key long, line_keys array<long>, line_words array<long>"
+    cols = docs.select(filled_id("doc_id"), _host().alias("host"), F.col("text").cast("string").alias("text"))
+    cols = cols.withColumn("t", F.xxhash64("text"))
+    schema = "doc_id long, host string, t long, " + ", ".join(f"{c} long" for c in STATS) + ", text_key long, line_keys array<long>, line_words array<long>"
     stats = cols.mapInPandas(_measure, schema)
     stats = stash(stats.withColumn("row", F.monotonically_increasing_id()), "text-stats")
     over = boilerplate_lines(stats, min_docs, share, by_text)
@@ -132,6 +138,7 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
         base_failed().alias("base_failed"),
         (~base_failed() & (gone <= depleted * F.col("n_words"))).alias("kept"),
         F.coalesce("boilerplate_keys", F.array().cast("array<long>")).alias("boilerplate_keys"),
+        F.struct("doc_id", "t", "host").alias("row_key"),
     )
 
 
@@ -150,12 +157,12 @@ def apply_quality_rules(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that the rules keep, with boilerplate lines removed from their texts and n_chars renewed.
 
     Equal texts of a host count once as holders of their lines: a group of copies is left for later stages to keep one of.
-    Columns and types are those of ``docs``. Rows that share a doc_id are judged alike: all stay only if the rules keep each of
-    them. A null doc_id cannot be joined to its verdict, and goes.
+    Columns and types are those of ``docs``. Verdicts are found again by id, text and host, so rows with null or repeated ids have their own.
     """
-    verdicts = quality_rules(docs, **{"by_text": True} | limits).select("doc_id", "kept", "boilerplate_keys")
-    verdicts = verdicts.groupBy("doc_id").agg(F.min("kept").alias("__kept"), F.array_distinct(F.flatten(F.collect_set("boilerplate_keys"))).alias("__gone"))
-    kept = docs.join(verdicts.where("__kept").drop("__kept"), "doc_id")
+    verdicts = quality_rules(docs, **{"by_text": True} | limits).where("kept").select("row_key.*", "boilerplate_keys")
+    verdicts = verdicts.groupBy(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "t", "host")]).agg(F.first("boilerplate_keys").alias("__gone"))
+    keyed = docs.withColumns({"__doc_id": filled_id("doc_id"), "__t": F.xxhash64(F.col("text").cast("string")), "__host": _host()})
+    kept = keyed.join(verdicts, ["__doc_id", "__t", "__host"])
     kept = kept.withColumn("text", F.when(F.size("__gone") > 0, _without_lines("text", "__gone")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

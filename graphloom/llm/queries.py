@@ -48,7 +48,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("boilerplate_keys")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("boilerplate_keys", "row_key")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,6 +403,27 @@ def test_ngram_join(spark, docs, n, percent):
     assert bag(ngram_join.similar_groups(df, n, percent), "doc_id", "n_shingles", "component_id") == plain_groups(rows, n, percent)
 
 
+def test_ngram_join_links_rows_with_null_and_repeated_ids(spark):
+    """Links reach over rows without an id, and each of the rows that share one is linked by its own text."""
+    base = [f"w{k}" for k in range(200)]
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(base))
+    other = " ".join(f"u{k}" for k in range(100))
+    rows = [(i, t, None, None, None) for i, t in [(9, changed()), (None, changed(3)), (5, other), (5, changed(3, 50)), (None, changed(3, 50, 100)), (3, changed(3, 50, 100, 150)), (None, "alone " * 9), (None, None), (8, other + " end")]]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, DOCS).repartition(4)
+        assert bag(ngram_join.similar_groups(df), "doc_id", "n_shingles", "component_id") == plain_groups(rows, 3, 90)
+    kept = ngram_join.keep_one_of_each(df, 3, 90)
+    assert bag(kept, "doc_id", "text") == Counter([(3, rows[5][1]), (5, other), (None, rows[6][1]), (None, None)])
+
+
+def test_quality_rules_keep_rows_without_and_with_repeated_ids(spark):
+    clean = [" ".join(f"{c}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}" for k in range(30)) for c in "pqrs"]
+    rows = [(None, clean[0], None, None, 1), (None, "bad", None, None, 1), (4, clean[1], None, "a", 1), (4, "bad", None, "a", 1), (4, clean[2], None, None, 1), (5, clean[3], None, "a", 1), (5, clean[3], None, "a", 1), (6, None, None, "a", 0)]
+    out = quality_rules.apply_quality_rules(spark.createDataFrame(rows, DOCS).withColumn("t", F.lit("clash")))
+    assert out.columns[-1] == "t"
+    assert bag(out, "doc_id", "text") == Counter([(None, clean[0]), (4, clean[1]), (4, clean[2]), (5, clean[3]), (5, clean[3])])
+
+
 def test_ngram_join_of_nothing(spark, docs, no_docs):
     assert ngram_join.similar_groups(no_docs).count() == 0
     assert bag(ngram_join.similar_groups(docs.where("text is null or trim(text) = ''")), "n_shingles") == Counter({(0,): 2})

@@ -80,3 +80,19 @@ def test_pipeline_keeps_one_of_a_large_group_of_copies(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:3]:
         docs = stage(spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in docs.collect()} == {0, *range(20, 60)}
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    """Clean rows without an id come through the first three stages; equal rows become one; an empty table gives an empty result."""
+    from .test_operators import DOCS
+
+    word = lambda *at: "w" + "".join(chr(97 + x) for x in at)
+    text = lambda k: "\n".join(" ".join(word(k, i, j) for j in range(12)) for i in range(4))
+    rows = [(None, text(0)), (None, text(1)), (3, text(2)), (3, text(3)), (4, text(4)), (4, text(4)), (5, None), (6, "")]
+    rows = [(i, t, "en", None, 1) for i, t in rows]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == [(0, text(0)), (0, text(1)), (3, text(2)), (3, text(3)), (4, text(4))]
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
