@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether shuffle files go at the end of a query; else they stay until the driver's JVM happens to collect what refers to them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Unset, it is a temporary one on a local master (tests), and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: its lineage is cut, and it outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, was = df.sparkSession, df.sparkSession.conf.get(CLEANUP, "false")
+    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    found = spark.read.schema(df.schema).parquet(path)
     found.__dict__["stashed_at"] = path
     return found
 
