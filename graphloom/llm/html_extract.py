@@ -3,12 +3,17 @@
 A page is cut into blocks at block-level tags. The first pass labels blocks by container, link density, length and
 stop-word density; short blocks, and long ones of an article that the words don't decide, stay open. The second pass gives
 an open block the label of its nearest decided neighbours within its region (an article, or what is outside of articles).
+
+What is outside of articles goes only if the articles hold at least as many words of good blocks; else they are mere parts
+of the page, such as cards of a list, and only blocks of their own merit stay. Stop words are those of four languages.
+Text in other scripts than Latin is decided by its length and links alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,13 +50,22 @@ BOILER_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent notice notices banner popup modal comment comments reply replies respond disqus share sharing social related newsletter subscribe signup login form pagination pager widget".split()
 )
 OUTER_WORDS = frozenset("header masthead top".split())
+# Those of them that name a subject as well, as in share-price. In an article, long blocks there decide themselves.
+SUBJECT_WORDS = frozenset("share sharing social related form pager login promotion widget".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A quote counts in a tag only after an equals sign; elsewhere it is a character like others.
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?/][^>]*>", re.S | re.I
+)
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LINK = re.compile(r"(?<![\w-])href\s*=", re.I)
+OTHER_SCRIPT = re.compile(r"[^\x00-\u02af\u1e00-\u2bff]+")
 EDGE = re.compile(r"^\W+|\W+$")
 
 #: Link density above which a block is boilerplate, words from which a block can decide itself, stop-word densities.
 MAX_LINKS, LONG, STOPS_GOOD, STOPS_BAD = 0.5, 10, 0.15, 0.05
+#: Letters that count as a word in other scripts than Latin, some of which have no spaces.
+LETTERS_A_WORD = 4
 GOOD, BAD, OPEN = 1, -1, 0
 
 
@@ -62,30 +76,64 @@ class Block:
     boiler: bool
     region: int  # number of the article it is in; 0: outside
     parent: int = 0  # number of the element that holds it
+    subject: bool = False  # within boilerplate only by a word that may name a subject
+
+
+@dataclass
+class Element:
+    name: str
+    boiler: bool  # its own marks, or those of an element around it
+    region: int
+    parent: int  # number of the nearest element, itself included, that may hold several blocks
+    subject: bool
+
+
+OUTSIDE = Element("", False, 0, 0, False)
+
+
+def marks_of(name: str, attributes: str, region: int) -> tuple[bool, bool]:
+    """Whether an element's tag and words mark boilerplate, and whether they may name a subject in place of it."""
+    sure, subject = name in BOILER_TAGS or not region and name in OUTER_TAGS, False
+    if attributes and name not in ("html", "body", "article", "main"):
+        words = {w for x in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())}
+        sure |= bool(words & (BOILER_WORDS - SUBJECT_WORDS)) or not region and bool(words & OUTER_WORDS)
+        subject = bool(words & SUBJECT_WORDS)
+    return sure, subject
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks that have text, in order; mended as browsers do where elements aren't closed."""
+    """The page's blocks that have text, in order; mended as browsers do where elements aren't closed.
+
+    A link goes on over the blocks in it, until its end, the next link, or the end of the element in which it began.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, boilerplate, region, number
+    stack: list[Element] = [OUTSIDE]
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, articles, opened = 0, False, 0, 0
+    linked, link_at, articles, opened = 0, 0, 0, 0  # link_at: depth at which the open link began; 0: none
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            parent = next((x[3] for x in reversed(stack) if x[0] not in HOLDERS_NOT), 0)
-            out.append(Block(text, linked, any(x[1] for x in stack), stack[-1][2] if stack else 0, parent))
+            e = stack[-1]
+            out.append(Block(text, linked, e.boiler or e.subject, e.region, e.parent, e.subject and not e.boiler))
         parts.clear()
         linked = 0
 
+    def leave(depth: int) -> None:
+        nonlocal link_at
+        open_names.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+        if link_at > depth:
+            link_at = 0
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
             parts.append(html.unescape(raw))
-            if in_link:
-                linked += len(parts[-1].split())
+            if link_at:
+                linked += size(parts[-1])
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -95,44 +143,69 @@ def blocks(page: str) -> list[Block]:
         if name == "br" or m[1]:
             parts.append(" ")
         elif name == "a":
-            in_link = not m[2]
+            link_at = 0 if m[2] or not LINK.search(m[4]) else len(stack)
         elif name in BLOCK:
             close()
-            in_link = False
             if m[2]:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if k is not None:
-                    del stack[k:]
+                if open_names[name]:
+                    leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
                 continue
-            if stack and stack[-1][0] == "p" or name in ("li", "td", "tr", "dd", "dt") and stack and stack[-1][0] == name:
-                stack.pop()
+            if stack[-1].name == "p" or name in ("li", "td", "tr", "dd", "dt") and stack[-1].name == name:
+                leave(len(stack) - 1)
             if name == "hr":
                 continue
-            region = stack[-1][2] if stack else 0
+            e = stack[-1]
+            region = e.region
             if name in ("article", "main") and not region:
                 articles += 1
                 region = articles
-            boiler = name in BOILER_TAGS or not region and name in OUTER_TAGS
-            if name not in ("html", "body", "article", "main") and m[4]:
-                marks = {w for x in ATTRIBUTE.finditer(m[4]) for w in re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())}
-                boiler |= bool(marks & BOILER_WORDS) or not region and bool(marks & OUTER_WORDS)
+            sure, subject = marks_of(name, m[4], region)
             opened += 1
-            stack.append((name, boiler, region, opened))
+            stack.append(Element(name, e.boiler or sure, region, e.parent if name in HOLDERS_NOT else opened, e.subject or subject))
+            open_names[name] += 1
     add(page[at:])
     close()
     return out
 
 
-def first_pass(b: Block, has_article: bool) -> int:
+def other_letters(text: str) -> int:
+    """Number of letters of other scripts, if they are most of the text; else 0."""
+    n = 0 if text.isascii() else len(text) - len(OTHER_SCRIPT.sub("", text))
+    return n if 2 * n > len(text) - text.count(" ") else 0
+
+
+def size(text: str) -> int:
+    """Number of words; in other scripts than Latin, of groups of letters."""
+    return max(len(text.split()), other_letters(text) // LETTERS_A_WORD)
+
+
+def merit(b: Block) -> tuple[int, int]:
+    """Size and label of a block by its links, length and words."""
+    n = size(b.text)
+    if b.linked > MAX_LINKS * n or b.boiler and not (b.subject and b.region):
+        return n, BAD
+    if n < LONG:
+        return n, BAD if b.boiler else OPEN
+    if other_letters(b.text):
+        return n, GOOD
     words = b.text.split()
-    if b.boiler or has_article and not b.region or b.linked > MAX_LINKS * len(words):
-        return BAD
-    if len(words) < LONG:
-        return OPEN
     stops = sum(EDGE.sub("", w).lower() in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_GOOD:
-        return GOOD
-    return BAD if stops < STOPS_BAD and not b.region else OPEN
+        return n, GOOD
+    return n, BAD if b.boiler or stops < STOPS_BAD and not b.region else OPEN
+
+
+def first_pass(own: list[Block]) -> list[int]:
+    """Labels of blocks by themselves. Articles stand for all of the main text if they hold at least as many words of good blocks as the rest."""
+    found = [merit(b) for b in own]
+    inside, outside = (sum(n for b, (n, label) in zip(own, found) if label == GOOD and (b.region > 0) == side) for side in (True, False))
+    if inside < outside:  # mere parts of the page
+        for b in own:
+            b.region = 0
+        found = [merit(b) for b in own]
+    elif any(b.region and not b.boiler for b in own):
+        return [label if b.region else BAD for b, (_, label) in zip(own, found)]
+    return [label for _, label in found]
 
 
 def second_pass(own: list[Block], labels: list[int]) -> list[int]:
@@ -165,8 +238,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     own = blocks(page)
-    has_article = any(b.region and not b.boiler for b in own)
-    labels = second_pass(own, [first_pass(b, has_article) for b in own])
+    labels = second_pass(own, first_pass(own))
     return " ".join(b.text for b, label in zip(own, labels) if label == GOOD)
 
 

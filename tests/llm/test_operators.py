@@ -95,6 +95,29 @@ ARTICLE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>if (a <
 <p>Wo 3 &lt; 4 &#233; a<br>b</p></article><aside>The side bar of the page has all of the links to the other pages.</aside><form><p>Name</p></form><footer>&copy; the end of the page and of all that was in it</footer></body>"""
 
 
+SENTENCE = "The cat is on the roof of the house and it looks at the moon."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<p title=it's>{SENTENCE}</p>", SENTENCE),  # a quote that opens nothing
+        (f"<p title=\"it's > all\" class='a\"b'>{SENTENCE}</p><p a=\">{SENTENCE}", f"{SENTENCE} {SENTENCE}"),
+        (f'<p>{SENTENCE}</p><a href="x"><div>{SENTENCE}</div></a>', SENTENCE),  # a block within a link
+        (f'<p><a href="x">And</p><p>{SENTENCE}</p>', SENTENCE),  # a link that isn't closed ends with its element
+        (f'<p><a name="x">{SENTENCE}</p>', SENTENCE),  # no link
+        (f"<div><p>{SENTENCE}</p><p>{SENTENCE}</p></div><article>Card of a list</article>", f"{SENTENCE} {SENTENCE}"),
+        (f"<div><p>{SENTENCE}</p></div><article><p>{SENTENCE}</p><p>Short</p></article>", f"{SENTENCE} Short"),
+        (f'<article><div class="share-price"><p>{SENTENCE}</p><p>Share this</p></div></article>', SENTENCE),
+        ("<p>Кошка сидит на крыше дома и долго смотрит на луну и на звёзды</p>", "Кошка сидит на крыше дома и долго смотрит на луну и на звёзды"),
+        ("<p>猫は家の屋根の上に座って、月と空の星をずっと見ていました。それから家に帰って眠りました。</p>", "猫は家の屋根の上に座って、月と空の星をずっと見ていました。それから家に帰って眠りました。"),
+        ("<div>" * 30_000 + "x" + "</p>" * 30_000, ""),  # in linear time
+    ],
+)
+def test_html_pages(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_extract(spark):
     assert html_extract.main_text(ARTICLE) == "Head <line> The cat is on the roof of the house and it looks at the moon. Short one. Bold xy Wo 3 < 4 é a b"
     plain = '<body><div>Menu</div><div><p>The cat is on the roof of the house and it looks at the moon.</p><p>So it is.</p></div><div><a href="x">the one and the other link of this page to all that is</a></div></body>'
