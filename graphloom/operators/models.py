@@ -123,11 +123,11 @@ class FeedForward:
         return np.concatenate([w1.ravel(), 0 * b1, w2, [0.0]])
 
 
-def descend(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: float, l2: float) -> dict[str, np.ndarray]:
-    """Weights of each run after full-batch gradient descent on its training rows."""
+def descend(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: float, l2: float, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Weights of each run after full-batch gradient descent on its training rows, from ``start`` if given."""
     train = runs.where("not is_test").select("run", "x", F.col("fit_y").cast("double").alias("y")).persist()
     shape = {r["run"]: (r["d"], r["n"]) for r in train.groupBy("run").agg(F.first(F.size("x")).alias("d"), F.count(F.lit(1)).alias("n")).collect()}
-    weights = {run: model.start(d) for run, (d, _) in shape.items()}
+    weights = dict(start) if start else {run: model.start(d) for run, (d, _) in shape.items()}
     for _ in range(epochs):
         now = dict(weights)
 
@@ -193,11 +193,17 @@ def probe(vectors: DataFrame, labels: DataFrame, seeds: list[int], ablations: tu
     return acc.join(sc, "run").select(parts[0].alias("ablation"), parts[1].cast("int").alias("seed"), "train_accuracy", "test_accuracy", "test_auroc", "test_auprc")
 
 
+def held_out_predictions(predicted: DataFrame, genes: DataFrame) -> DataFrame:
+    """(run, the columns of ``genes`` but id, y_true, y_prob, y_pred) of test rows. ``predicted``: ``predictions``; ``genes`` has an id."""
+    rows = predicted.where("is_test").select("run", "id", F.col("y").alias("y_true"), F.col("prob").alias("y_prob"), F.col("pred").alias("y_pred"))
+    return rows.join(genes, "id").select("run", *[c for c in genes.columns if c != "id"], "y_true", "y_prob", "y_pred")
+
+
 def loss_history(runs: DataFrame, model: Logistic | FeedForward, epochs: int, every: int, rate: float, l2: float) -> DataFrame:
     """(epoch, train_loss, test_loss), averaged over runs, after each ``every`` epochs; the penalty counts in both."""
-    rows = []
+    rows, weights = [], None
     for epoch in range(every, epochs + 1, every):
-        weights = descend(runs, model, epoch, rate, l2)
+        weights = descend(runs, model, every, rate, l2, weights)
         penalty = float(np.mean([0.5 * l2 * (model.decay(w) ** 2).sum() for w in weights.values()]))
         p = predictions(runs, model, weights).groupBy("is_test").agg(F.avg(bce(F.col("prob"), F.when(F.col("is_test"), F.col("y")).otherwise(F.col("fit_y")))).alias("l")).collect()
         got = {r["is_test"]: r["l"] + penalty for r in p}

@@ -93,8 +93,10 @@ def distance_counts(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         use = np.ones(cell.shape, bool)
         if a["blk"].iloc[0] == b["blk"].iloc[0]:
             use = a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]
-        code, n = np.unique(np.stack([kind[use], cell[use]]), axis=1, return_counts=True)
-        return pd.DataFrame({"kind": code[0], "cell": code[1], "n": n})
+        span = 2 * 10**GRID + 1  # cosine distances are from 0 to 2
+        n = np.bincount(kind[use] * span + np.clip(cell[use], 0, span - 1))
+        code = np.flatnonzero(n)
+        return pd.DataFrame({"kind": code // span, "cell": code % span, "n": n[code]})
 
     cols = ["pair", "blk", "id", "y", "v"]
     out = left.select(cols).groupBy("pair").cogroup(_renamed(right, cols).groupBy("pair_r")).applyInPandas(run, "kind int, cell long, n long")

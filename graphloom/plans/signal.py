@@ -226,9 +226,9 @@ def perm_label_shuffle(spark, sf):
     return permute.shuffle(labels(spark, sf), PERMS, SEED)
 
 
-def matched(spark, sf):
+def matched(spark, sf, g=None):
     lab = labels(spark, sf)
-    return lab.join(graph.degree_bins(lab, edges(spark, sf)).select("node", "bin"), "node")
+    return lab.join(graph.degree_bins(lab, g or edges(spark, sf)).select("node", "bin"), "node")
 
 
 @query(f"WITH {BINS}{perm('bins')} SELECT perm_idx, node, y FROM pl")
@@ -252,7 +252,7 @@ def graph_perm_pvalues(spark, sf):
     lab, g = labels(spark, sf), edges(spark, sf)
     names = ["ad_ad_edges", "enrichment", "mean_ad_neighbor_fraction"]
     cut = lambda df: df.withColumns({n: F.round(F.col(n).cast("double"), 12) for n in names})
-    perms = stash(permute.shuffle(matched(spark, sf), PERMS, SEED, "bin"), "perms")
+    perms = stash(permute.shuffle(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
     null = cut(graph.metrics(g, perms, ["perm_idx"], lcc=False))
     out = permute.null_summary(null, cut(graph.metrics(g, lab, lcc=False)), names)
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("observed", "perm_mean", "perm_std", "pvalue")])
@@ -264,7 +264,7 @@ def graph_perm_pvalues(spark, sf):
 )
 def pvalue_left_right(spark, sf):
     g = edges(spark, sf)
-    perms = stash(permute.shuffle(matched(spark, sf), PERMS, SEED, "bin"), "perms")
+    perms = stash(permute.shuffle(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
     observed = graph.edge_classes(g, labels(spark, sf)).select(F.col("ad_ad_edges").alias("o"))
     null = graph.edge_classes(g, perms, ["perm_idx"]).crossJoin(F.broadcast(observed))  # one row
     return null.agg(F.round(permute.p_right("ad_ad_edges", F.col("o")), 9).alias("p_right"), F.round(permute.p_left("ad_ad_edges", F.col("o")), 9).alias("p_left"))
