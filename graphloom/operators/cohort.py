@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_accession, normal_id
+from ..functions.text import accession_of_name, first_accession, is_positive, nan_to_null, normal_id
 from .ordered import keep_first, zscore
+from .vectors import mean_vectors
 
 
 def gene_set(genes: DataFrame, column: str) -> DataFrame:
@@ -77,3 +78,46 @@ def label_table(regions: DataFrame, cases: DataFrame, per_case: int, least_mean:
     chosen = marked.where("is_case = 1").select("gene", F.lit(1).alias("y")).union(controls)
     scores = integrated_scores(regions.join(chosen, "gene", "left_semi"))
     return chosen.join(scores, "gene").select("gene", F.when(F.col("y") == 1, "AD").otherwise("control").alias("label"), "y", "integrated_score")
+
+
+def label_schema(labels: DataFrame) -> DataFrame:
+    """``labels`` without gene_id, and y as a whole number; null where it isn't a number."""
+    out = labels.drop("gene_id")
+    return out.withColumn("y", F.col("y").cast("string").try_cast("double").try_cast("int")) if "y" in out.columns else out
+
+
+def annotation_counts(counts: DataFrame, order: str) -> DataFrame:
+    """(gene_symbol, annotation_count): of each symbol the first row, by ``order``, whose count is a number."""
+    own = counts.select(normal_id(F.col("gene_symbol")).alias("gene_symbol"), nan_to_null(F.col("annotation_count").cast("string").try_cast("double")).alias("annotation_count"), F.col(order).alias("o"))
+    return keep_first(own.where("annotation_count is not null"), ["gene_symbol"], [F.col("o")]).select("gene_symbol", "annotation_count")
+
+
+def _mapped(mapping: DataFrame, order: str) -> DataFrame:
+    return mapping.select(normal_id(F.col("gene_symbol")).alias("gene_symbol"), normal_id(F.col("uniprot_accession")).alias("uniprot_accession"), F.col(order).alias("__m"))
+
+
+def node_labels(labels: DataFrame, mapping: DataFrame | None = None, order: str = "pos") -> DataFrame:
+    """(gene_symbol, y, node): nodes are gene symbols, or with a ``mapping`` the accessions of each symbol. Of rows of one node the first by ``order`` stays,
+    a column of both tables. Symbols without an accession go."""
+    own = labels.select(normal_id(F.col("gene_symbol")).alias("gene_symbol"), F.col("y").cast("int").alias("y"), F.col(order).alias("__l"))
+    if mapping is None:
+        nodes = own.select("*", F.col("gene_symbol").alias("node"), F.lit(0).alias("__m"))
+    else:
+        nodes = own.join(_mapped(mapping, order).where("uniprot_accession <> ''"), "gene_symbol").withColumnRenamed("uniprot_accession", "node")
+    return keep_first(nodes, ["node"], [F.col("__l"), F.col("__m")]).select("gene_symbol", "y", "node")
+
+
+def gene_vectors(labels: DataFrame, mapping: DataFrame, vectors: DataFrame, order: str = "pos") -> DataFrame:
+    """(gene_symbol, label, y, uniprot_accession, v): the mean of the vectors of all of a gene's accessions.
+
+    ``labels`` (gene_symbol, label), of which a symbol's first row counts, and ``mapping`` (gene_symbol, uniprot_accession) have an ``order``; ``vectors``
+    (name, v) name their accessions. The accession shown is the first that has a vector. Genes without a vector go; if all do, it is an error.
+    """
+    own = keep_first(labels.select(normal_id(F.col("gene_symbol")).alias("gene_symbol"), "label", F.col(order).alias("o")), ["gene_symbol"], [F.col("o")])
+    own = own.select("gene_symbol", "label", F.coalesce(is_positive(F.col("label")), F.lit(0)).alias("y"))
+    named = vectors.select(accession_of_name(F.col("name")).alias("uniprot_accession"), "v")
+    rows = own.join(_mapped(mapping, order), "gene_symbol").join(named, "uniprot_accession")
+    if rows.isEmpty():
+        raise ValueError("no gene has an accession with a vector")
+    first = rows.groupBy("gene_symbol").agg(F.first("label").alias("label"), F.first("y").alias("y"), F.min_by("uniprot_accession", F.struct("__m", "uniprot_accession")).alias("uniprot_accession"))
+    return first.join(mean_vectors(rows, "gene_symbol"), "gene_symbol")

@@ -57,6 +57,30 @@ def bias_matched_set(labels: DataFrame, counts: DataFrame, seed: int, replicate:
     return wide.select("node", (F.col("k") - F.col("base") <= F.col("want")).cast("int").alias("y"))
 
 
+def baseline_labels(labels: DataFrame, baseline: str, seed: int, replicate: int, counts: DataFrame | None = None) -> DataFrame:
+    """(node, y, label, fallback_used): labels of one entry of the matrix. Without annotation counts the matched set is a random one, which fallback_used tells."""
+    fallback = baseline == "random_matched_set_plus_bias" and counts is None
+    if baseline == "observed_ad":
+        out = labels.select("node", "y")
+    elif baseline == "permute_labels":
+        out = permuted(labels, seed, replicate)
+    elif baseline == "random_matched_set" or fallback:
+        out = random_set(labels, seed, replicate)
+    elif baseline == "random_matched_set_plus_bias":
+        out = bias_matched_set(labels, counts, seed, replicate)
+    else:
+        raise ValueError(f"no baseline {baseline}")
+    return out.select("node", "y", F.when(F.col("y") == 1, "AD").otherwise("control").alias("label"), F.lit(fallback).alias("fallback_used"))
+
+
+def summary_rows(entries: DataFrame, probes: DataFrame, graph: DataFrame, significance: DataFrame, key: str = "run_id") -> DataFrame:
+    """One row for each entry of the matrix: its probe's test scores, graph metrics and hop deltas with p-values; nulls where a part is missing."""
+    scores = probes.select(key, *[F.col(f"test_{c}").alias(f"probe_test_{c}") for c in ("accuracy", "auroc", "auprc")])
+    names = {"enrichment": "ad_ad_edge_enrichment", "mean_ad_neighbor_fraction": "mean_ad_neighbor_fraction", "lcc": "ad_lcc_size", "mean_ad_shortest_path": "mean_ad_shortest_path"}
+    topology = graph.select(key, *[F.col(c).cast("double").alias(f"ppi_{n}") for c, n in names.items()])
+    return entries.join(scores, key, "left").join(topology, key, "left").join(wide_hops(significance, key), key, "left")
+
+
 def stable_hash(payload: dict) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()[:12]
 

@@ -119,12 +119,34 @@ def mean_shortest_path(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return mean.select(F.when(F.lit(n < 2), None).otherwise(F.coalesce("m", F.lit(float("inf")))).alias("mean_shortest_path"))
 
 
-def metrics(edges: DataFrame, labels: DataFrame, by: list[str] | None = None, lcc: bool = True) -> DataFrame:
-    """The metric bundle, one row for each ``by``: classes, shares, enrichment, neighbour fraction, largest component."""
-    out = enrichment(edge_classes(edges, labels, by), labels, by)
+def shortest_paths_by(edges: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mean_ad_shortest_path): as ``mean_shortest_path`` for each ``by``, all of which label the same nodes. Nodes that are positive
+    for any of them are searched from once, so this takes a row for each such node and each node that it reaches."""
+    ad = labels.where("y = 1")
+    dist = bfs(edges, ad.select("node").distinct(), labels.select("node").distinct()).where("source < node")
+    from_, to = ad.select(*by, F.col("node").alias("source")), ad.select(*by, "node")
+    means = dist.join(from_, "source").join(to, [*by, "node"]).groupBy(*by).agg(F.avg("dist").alias("m"))
+    sizes = labels.groupBy(*by).agg(F.sum("y").alias("n"))
+    return sizes.join(means, by, "left").select(*by, F.when(F.col("n") >= 2, F.coalesce("m", F.lit(float("inf")))).alias("mean_ad_shortest_path"))
+
+
+def within_graph(labels: DataFrame, edges: DataFrame, least: int = 20) -> DataFrame:
+    """The labelled nodes that the graph has; an error if there are fewer than ``least``."""
+    found = stash(labels.join(adjacency(edges).select(F.col("u").alias("node")), "node", "left_semi"), "labels")
+    if (n := found.count()) < least:
+        raise ValueError(f"only {n} labelled nodes are in the graph: check the kind of identifiers")
+    return found
+
+
+def metrics(edges: DataFrame, labels: DataFrame, by: list[str] | None = None, lcc: bool = True, paths: bool = False) -> DataFrame:
+    """The metric bundle, one row for each ``by``: numbers of nodes, classes, shares, enrichment, neighbour fraction, and if asked for, largest component and shortest path."""
+    out = enrichment(edge_classes(edges, labels, by), labels, by).withColumn("n_control", F.col("n") - F.col("n_ad"))
     nf = neighbour_fraction(edges, labels, by).groupBy(*(by or [])).agg(F.avg("ad_neighbor_fraction").alias("mean_ad_neighbor_fraction"))
     out = out.join(nf, by, "left") if by else out.crossJoin(F.broadcast(nf))
     if lcc:
         top = largest_component(edges, labels, by)
         out = out.join(top, by, "left") if by else out.crossJoin(F.broadcast(top))
+    if paths:
+        mean = shortest_paths_by(edges, labels, by) if by else mean_shortest_path(edges, labels).withColumnRenamed("mean_shortest_path", "mean_ad_shortest_path")
+        out = out.join(mean, by, "left") if by else out.crossJoin(F.broadcast(mean))
     return out

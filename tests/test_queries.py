@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from graphloom.plans import signal, tabular
+from graphloom.plans import composites, signal, tabular
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = signal.QUERIES | tabular.QUERIES, signal.SQL | tabular.SQL
+QUERIES, SQL = signal.QUERIES | tabular.QUERIES | composites.QUERIES, signal.SQL | tabular.SQL | composites.SQL
 
 
 def plain(value):
@@ -37,6 +37,6 @@ def test_same_rows(spark, sf, db, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["pca_spectrum", "pca_scores", "graph_perm_lcc", "matched_controls_greedy", "label_table", "file_manifest"])
+@pytest.mark.parametrize("name", ["pca_spectrum", "pca_scores", "graph_perm_lcc", "matched_controls_greedy", "label_table", "file_manifest", "prediction_table", "run_summary"])
 def test_without_sql(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
