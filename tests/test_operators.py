@@ -270,3 +270,52 @@ def test_writers_and_configuration(spark, tmp_path):
     assert tables.parse_ints("5,1,1") == [1, 5] and tables.missing_inputs([str(tmp_path / "no")])
     with pytest.raises(ValueError):
         tables.parse_ints("")
+
+
+def test_gene_vectors_and_node_labels(spark):
+    genes = frame(spark, [(" a", "AD", 1, 1), ("A ", "control", 0, 2), ("b", None, 0, 3), ("c", "AD", 1, 4)], "gene_symbol string, label string, y int, pos int")
+    mapping = frame(spark, [("A", "p2", 1), ("a", "p1", 2), ("B", "p1", 3), ("b", "", 4), ("c", None, 5)], "gene_symbol string, uniprot_accession string, pos int")
+    named = frame(spark, [("AF-P1-F1", [1.0, 3.0]), ("AF-P2-F1", [3.0, 5.0]), ("AF-P2-F1", [5.0, 7.0]), ("other", [9.0, 9.0])], "name string, v array<double>")
+    got = {r["gene_symbol"]: tuple(r)[1:] for r in cohort.gene_vectors(genes, mapping, named).collect()}
+    assert got == {"A": ("AD", 1, "P2", [3.0, 5.0]), "B": (None, 0, "P1", [1.0, 3.0])}
+    with pytest.raises(ValueError):
+        cohort.gene_vectors(genes, mapping, named.where("name = 'other'"))
+    assert {tuple(r) for r in cohort.node_labels(genes).collect()} == {("A", 1, "A"), ("B", 0, "B"), ("C", 1, "C")}
+    assert {tuple(r) for r in cohort.node_labels(genes, mapping).collect()} == {("A", 1, "P2"), ("A", 1, "P1")}
+
+
+def test_schema_and_counts(spark):
+    d = frame(spark, [("1", "a", "7"), ("x", "A", "3"), (None, "b", "nan"), ("2.0", "c", None)], "y string, gene_symbol string, annotation_count string").withColumn("gene_id", F.lit(1)).withColumn("pos", F.col("annotation_count"))
+    assert [r["y"] for r in cohort.label_schema(d).collect()] == [1, None, None, 2] and "gene_id" not in cohort.label_schema(d).columns
+    assert [tuple(r) for r in cohort.annotation_counts(d, "pos").collect()] == [("A", 3.0)]
+
+
+def test_paths_of_several_label_sets(spark):
+    """For each set as by itself; none with one positive, infinite where none is reached; a guard against graphs without the labelled nodes."""
+    edges = frame(spark, [("A", "B"), ("B", "C"), ("C", "D"), ("E", "F")], "src string, dst string")
+    sets = {0: "AD", 1: "ABC", 2: "A", 3: "AE"}
+    rows = [(p, n, int(n in own)) for p, own in sets.items() for n in "ABCDEF"]
+    got = {r[0]: r[1] for r in graph.shortest_paths_by(edges, frame(spark, rows, "perm_idx int, node string, y int"), ["perm_idx"]).collect()}
+    assert got == {0: 3.0, 1: pytest.approx(4 / 3), 2: None, 3: float("inf")}
+    lab = frame(spark, [("A", 1), ("X", 0)], "node string, y int")
+    assert graph.within_graph(lab, edges, 1).collect() == [("A", 1)]
+    with pytest.raises(ValueError):
+        graph.within_graph(lab, edges, 2)
+
+
+def test_baseline_without_counts_falls_back(spark):
+    lab = frame(spark, [(str(k), int(k < 3)) for k in range(9)], "node string, y int")
+    a, b = (experiment.baseline_labels(lab, n, 1, 2).orderBy("node").collect() for n in ("random_matched_set", "random_matched_set_plus_bias"))
+    assert [r[:3] for r in a] == [r[:3] for r in b] and sum(r["y"] for r in b) == 3
+    assert {r["fallback_used"] for r in a} == {False} and {r["fallback_used"] for r in b} == {True}
+    with pytest.raises(ValueError):
+        experiment.baseline_labels(lab, "other", 1, 2)
+
+
+def test_loss_history_goes_on_from_its_weights(spark):
+    rng = np.random.default_rng(0)
+    rows = [("r", k, rng.normal(size=3).tolist(), k % 2, k % 2, k % 5 == 0) for k in range(40)]
+    runs = frame(spark, rows, "run string, id long, x array<double>, y int, fit_y int, is_test boolean")
+    last = models.loss_history(runs, models.Logistic(), 6, 2, 0.5, 1e-3).collect()[-1]
+    once = models.loss_history(runs, models.Logistic(), 6, 6, 0.5, 1e-3).collect()[-1]
+    assert tuple(last) == pytest.approx(tuple(once))
