@@ -103,7 +103,9 @@ def node_labels(labels: DataFrame, mapping: DataFrame | None = None, order: str
     if mapping is None:
         nodes = own.select("*", F.col("gene_symbol").alias("node"), F.lit(0).alias("__m"))
     else:
-        nodes = own.join(_mapped(mapping, order).where("uniprot_accession <> ''"), "gene_symbol").withColumnRenamed("uniprot_accession", "node")
+        known = _mapped(mapping, order).where("uniprot_accession <> ''").groupBy("gene_symbol", "uniprot_accession").agg(F.min("__m").alias("__m"))
+        first = keep_first(own, ["gene_symbol"], [F.col("__l")])  # a symbol's other rows can't be a node's first, so the join needn't repeat them
+        nodes = first.select("gene_symbol", "y", "__l").join(known, "gene_symbol").withColumnRenamed("uniprot_accession", "node")
     return keep_first(nodes, ["node"], [F.col("__l"), F.col("__m")]).select("gene_symbol", "y", "node")
 
 
