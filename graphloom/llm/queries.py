@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, lang_id, line_dedup, mixing, ngram_join, packing, quality_rules, url_filter
+from . import chat_format, exact_dedup, html_extract, lang_id, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, secret_links, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.secret_links(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -140,10 +152,72 @@ SELECT doc_id, size, source_size, target, (size * least(3, passes + (upto <= res
 """
 
 
+def _lloyd(k: int) -> str:
+    """Assignment to the codebooks c{k}, and the codebooks of the next round."""
+    return f"""
+a{k} AS (SELECT pos, part, any_value(n) AS n, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (
+  SELECT dp.*, c.e, list_sum(list_transform(list_zip(dp.part, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM dp JOIN c{k} c USING (pos)) GROUP BY pos, part),
+s{k} AS (SELECT pos, e, i, floor(sum(n * part[i]) / sum(n))::BIGINT AS x FROM a{k}, range(1, 5) t(i) GROUP BY pos, e, i),
+c{k + 1} AS (SELECT c.pos, c.e, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN (SELECT pos, e, list(x ORDER BY i) AS c FROM s{k} GROUP BY pos, e) m USING (pos, e))"""
+
+
+OP11_SQL = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, vec_id, label, pos, q[4 * pos + 1 : 4 * pos + 4] AS part FROM k, range(0, 16) t(pos)),
+dp AS (SELECT pos, part, count(*)::BIGINT AS n FROM p GROUP BY pos, part),
+c0 AS (SELECT pos, e, part AS c FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) USING (r) WHERE e < 64),{_lloyd(0)},{_lloyd(1)},{_lloyd(2)},
+v AS (SELECT r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM p JOIN a2 USING (pos, part) GROUP BY r),
+b AS (SELECT sha256(string_agg(x, ',' ORDER BY pos, e, i)) AS codebooks_sha256 FROM (SELECT pos, e, i, c[i]::VARCHAR AS x FROM c2, range(1, 5) t(i)))
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v, b
+"""
+
+
+def _op12_sql() -> str:
+    """Matches by pattern, with their places; the links as semi joins without cells."""
+    kinds = secret_links.KINDS
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    scan = " UNION ALL ".join(
+        f"SELECT r, '{k}' AS kind, {rank} AS rank, {least} AS least, regexp_extract_all(t, {quote(p)}) AS found, regexp_extract_all(t, {quote(p)}, {g}) AS val, string_split_regex(t, {quote(p)}) AS gaps FROM d"
+        for rank, (k, (p, g, least)) in enumerate([*kinds.items(), ("break", (secret_links.BREAK, 0, 0))])
+    )
+    listed = lambda names: "(" + ", ".join(map(quote, names)) + ")"
+    near = f'o.r = w.r AND o.scope = w.scope AND o."start" <= w."end" + {secret_links.REACH} AND w."start" <= o."end" + {secret_links.REACH}'
+    partner = lambda names: f"EXISTS (SELECT 1 FROM parts o WHERE {near} AND o.kind IN {listed(names)})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({scan}),
+e AS (SELECT r, kind, rank, least, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS f, unnest(val) AS v, unnest(gaps[1:len(found)]) AS g FROM m WHERE len(found) > 0),
+u AS (SELECT r, kind, rank, f, v, least, (sum(length(g) + length(f)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS "end" FROM e),
+pl AS (
+  SELECT r, kind, rank, "end" - length(f) AS "start", "end" FROM u
+  WHERE length(v) >= least AND (kind <> 'random' OR regexp_matches(f, '[a-z]') AND regexp_matches(f, '[A-Z]') AND regexp_matches(f, '[0-9]'))),
+sc AS (SELECT *, coalesce(max(CASE WHEN kind = 'break' THEN "end" END) OVER (PARTITION BY r ORDER BY "start"), 0) AS scope FROM pl),
+sp AS (SELECT * FROM sc WHERE kind <> 'break'),
+parts AS (
+  SELECT * FROM sp w WHERE w.kind IN {listed(secret_links.STRONG)} OR NOT EXISTS (
+    SELECT 1 FROM sp o WHERE o.r = w.r AND o."start" < w."end" AND w."start" < o."end" AND (o.kind IN {listed(secret_links.STRONG)} OR w.kind = 'random' AND o.kind <> 'random'))),
+al AS (
+  SELECT r, kind, rank, "start", "end" FROM parts w WHERE w.kind IN {listed(secret_links.STRONG)}
+    OR w.kind IN ('identifier', 'endpoint') AND {partner(secret_links.SECRETS)} AND (w.kind = 'identifier' OR {partner(secret_links.IDENTIFIERS)})
+    OR w.kind IN ('secret', 'random') AND {partner(secret_links.IDENTIFIERS)}),
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', "start", ':', "end"), ',' ORDER BY "start", rank, "end") FILTER (rank < 3) AS base, string_agg(concat(kind, ':', "start", ':', "end"), ',' ORDER BY "start", rank, "end") AS spans
+  FROM al GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_html_extract, op3_url_filter, op4_language_id, op5_chat_format, op6_quality_rules, op7_mixing, op8_packing, op9_ngram_join, op10_line_dedup]
+    own = [op1_exact_dedup, op2_html_extract, op3_url_filter, op4_language_id, op5_chat_format, op6_quality_rules, op7_mixing, op8_packing, op9_ngram_join, op10_line_dedup, op11_vector_codes, op12_secret_links, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_mixing": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_secret_links": OP12_SQL}

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from graphloom.llm import queries
 
-TABLES = "documents pages conversations".split()
+TABLES = "documents pages conversations embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
