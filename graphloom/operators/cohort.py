@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import accession_of_name, first_accession, is_positive, nan_to_null, normal_id
+from .matching import matched
 from .ordered import keep_first, zscore
 from .vectors import mean_vectors
 
@@ -35,32 +35,15 @@ def integrated_scores(regions: DataFrame) -> DataFrame:
     return z.groupBy("gene").agg(F.avg(fused).alias("integrated_score"))
 
 
-def matched_greedy(features: DataFrame, per_case: int, stratum: str = "stratum") -> DataFrame:
-    """(case_id, control_id, rank): in each stratum, cases in the order of their ids take their ``per_case`` nearest controls by ``value`` that
-    no case before took; equal distances go by id. ``features``: (id, stratum, value, is_case).
-
-    Taking turns is sequential, so it runs inside of strata, and strata run side by side; a stratum has to fit in a task.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf[pdf["is_case"] == 0].sort_values("id", kind="stable").reset_index(drop=True)
-        out = []
-        for case in pdf[pdf["is_case"] == 1].sort_values("id", kind="stable").itertuples():
-            took = (pool["value"] - case.value).abs().sort_values(kind="stable").index[:per_case]
-            out += [(case.id, pool.at[i, "id"], k + 1) for k, i in enumerate(took)]
-            pool = pool.drop(took)
-        return pd.DataFrame(out, columns=["case_id", "control_id", "rank"])
-
-    return features.select("id", F.col(stratum).alias("stratum"), "value", "is_case").groupBy("stratum").applyInPandas(run, "case_id long, control_id long, rank int")
+def matched_greedy(features: DataFrame, per_case: int, stratum: str | None = "stratum") -> DataFrame:
+    """(case_id, control_id, rank): cases in the order of their ids take their ``per_case`` nearest controls by ``value`` that no case before took; equal
+    distances go by id. ``features``: (id, value, is_case), and a stratum if cases and controls have to agree in one (None: they need not)."""
+    return matched(features, per_case, stratum)
 
 
-def matched_nearest(features: DataFrame, per_case: int, stratum: str = "stratum") -> DataFrame:
+def matched_nearest(features: DataFrame, per_case: int, stratum: str | None = "stratum") -> DataFrame:
     """As ``matched_greedy``, but a control may serve several cases."""
-    cases = features.where("is_case = 1").select(F.col("id").alias("case_id"), F.col(stratum).alias("s"), F.col("value").alias("case_value"))
-    pool = features.where("is_case = 0").select(F.col("id").alias("control_id"), F.col(stratum).alias("s"), "value")
-    order = Window.partitionBy("case_id").orderBy(F.abs(F.col("value") - F.col("case_value")), "control_id")
-    ranked = cases.join(pool, "s").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= per_case).select("case_id", "control_id", "rank")
+    return matched(features, per_case, stratum, again=True)
 
 
 def crosswalk(symbols: DataFrame, mapping: DataFrame, symbol: str, accessions: str, order: str) -> DataFrame:
@@ -71,10 +54,13 @@ def crosswalk(symbols: DataFrame, mapping: DataFrame, symbol: str, accessions: s
 
 
 def label_table(regions: DataFrame, cases: DataFrame, per_case: int, least_mean: float) -> DataFrame:
-    """(gene, label, y, integrated_score) of cases and their matched controls. ``regions``: ``region_expression`` with a stratum; ``cases``: (gene)."""
-    genes = regions.groupBy("gene", "stratum").agg(F.first("global_mean").alias("value")).where(F.col("value") >= least_mean)
+    """(gene, label, y, integrated_score) of cases and their matched controls, of all genes of a mean of at least ``least_mean``. ``regions``: ``region_expression``;
+    ``cases``: (gene). It is an error if none of them is among those genes."""
+    genes = regions.groupBy("gene").agg(F.first("global_mean").alias("value")).where(F.col("value") >= least_mean)
     marked = genes.join(cases.withColumn("is_case", F.lit(1)), "gene", "left").withColumn("is_case", F.coalesce("is_case", F.lit(0)))
-    controls = matched_greedy(marked.withColumnRenamed("gene", "id"), per_case).select(F.col("control_id").alias("gene"), F.lit(0).alias("y")).distinct()
+    if marked.where("is_case = 1").isEmpty():
+        raise ValueError("none of the cases has an expression of the least mean")
+    controls = matched_greedy(marked.withColumnRenamed("gene", "id"), per_case, None).select(F.col("control_id").alias("gene"), F.lit(0).alias("y")).distinct()
     chosen = marked.where("is_case = 1").select("gene", F.lit(1).alias("y")).union(controls)
     scores = integrated_scores(regions.join(chosen, "gene", "left_semi"))
     return chosen.join(scores, "gene").select("gene", F.when(F.col("y") == 1, "AD").otherwise("control").alias("label"), "y", "integrated_score")

@@ -13,6 +13,10 @@ from .ordered import qcut, quantiles, running_sums
 from .permute import shuffle
 
 
+#: The baseline that draws from bins of annotation counts.
+ANNOTATED = "random_matched_set_plus_bias"
+
+
 def matrix(spark: SparkSession, cohorts: list[str], ablations: list[str], baselines: list[tuple[str, int]], seeds: list[int]) -> DataFrame:
     """(cohort, ablation, baseline, replicate, seed): every combination; observed_ad has one replicate."""
     rows = spark.range(1).select(
@@ -59,14 +63,14 @@ def bias_matched_set(labels: DataFrame, counts: DataFrame, seed: int, replicate:
 
 def baseline_labels(labels: DataFrame, baseline: str, seed: int, replicate: int, counts: DataFrame | None = None) -> DataFrame:
     """(node, y, label, fallback_used): labels of one entry of the matrix. Without annotation counts the matched set is a random one, which fallback_used tells."""
-    fallback = baseline == "random_matched_set_plus_bias" and counts is None
+    fallback = baseline == ANNOTATED and counts is None
     if baseline == "observed_ad":
         out = labels.select("node", "y")
     elif baseline == "permute_labels":
         out = permuted(labels, seed, replicate)
     elif baseline == "random_matched_set" or fallback:
         out = random_set(labels, seed, replicate)
-    elif baseline == "random_matched_set_plus_bias":
+    elif baseline == ANNOTATED:
         out = bias_matched_set(labels, counts, seed, replicate)
     else:
         raise ValueError(f"no baseline {baseline}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nan_to_null, normal_id
 from .groups import components, stash
-from .ordered import qcut
+from .ordered import qcut, running_sums
 
 CLASSES = ["ad_ad_edges", "ad_control_edges", "control_control_edges"]
 
@@ -67,6 +67,11 @@ def enrichment(classes: DataFrame, labels: DataFrame, by: list[str] | None = Non
     """Observed and expected shares of edges between positives, and their ratio."""
     n = labels.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_ad"))
     wide = n.join(classes, by, "left").fillna(0, CLASSES) if by else n.crossJoin(F.broadcast(classes))  # one row each
+    return shares(wide)
+
+
+def shares(wide: DataFrame) -> DataFrame:
+    """Rows of numbers (n, n_ad, the classes) with labelled_edges, expected and observed shares of edges between positives, and their ratio, enrichment."""
     total = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
     expected = F.when(F.col("n") < 2, 0.0).otherwise(F.col("n_ad") * (F.col("n_ad") - 1) / F.greatest(F.col("n") * (F.col("n") - 1), F.lit(1)))
     wide = wide.withColumns({"labelled_edges": total, "expected": expected, "observed": F.when(total == 0, 0.0).otherwise(F.col(CLASSES[0]) / F.greatest(total, F.lit(1)))})
@@ -112,22 +117,20 @@ def bfs(edges: DataFrame, sources: DataFrame, allowed: DataFrame, most_rounds: i
 
 def mean_shortest_path(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, mean_shortest_path: between positives, over labelled nodes, unreachable pairs left out; null with fewer than two positives, infinite if no pair is reachable."""
-    ad = labels.where("y = 1").select("node")
-    d = bfs(edges, ad, labels.select("node")).join(ad, "node", "left_semi").where("source < node")
-    n = ad.count()
-    mean = d.agg(F.avg("dist").alias("m"))
-    return mean.select(F.when(F.lit(n < 2), None).otherwise(F.coalesce("m", F.lit(float("inf")))).alias("mean_shortest_path"))
+    from .bits import mean_paths, of_labels
+
+    return mean_paths(edges, of_labels(labels), 1).select("mean_shortest_path")
 
 
 def shortest_paths_by(edges: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
-    """(by, mean_ad_shortest_path): as ``mean_shortest_path`` for each ``by``, all of which label the same nodes. Nodes that are positive
-    for any of them are searched from once, so this takes a row for each such node and each node that it reaches."""
-    ad = labels.where("y = 1")
-    dist = bfs(edges, ad.select("node").distinct(), labels.select("node").distinct()).where("source < node")
-    from_, to = ad.select(*by, F.col("node").alias("source")), ad.select(*by, "node")
-    means = dist.join(from_, "source").join(to, [*by, "node"]).groupBy(*by).agg(F.avg("dist").alias("m"))
-    sizes = labels.groupBy(*by).agg(F.sum("y").alias("n"))
-    return sizes.join(means, by, "left").select(*by, F.when(F.col("n") >= 2, F.coalesce("m", F.lit(float("inf")))).alias("mean_ad_shortest_path"))
+    """(by, mean_ad_shortest_path): as ``mean_shortest_path`` for each ``by``, all of which label the same nodes."""
+    from .bits import for_all, mean_paths, pack
+
+    keys = stash(running_sums(labels.select(*by).distinct(), [F.col(c) for c in by], {"idx": F.lit(1)}).withColumn("idx", F.col("idx") - 1), "keys")
+    n = keys.count()
+    members = labels.where("y = 1").join(keys, by).select("node", "idx")
+    means = mean_paths(edges, for_all(labels.select("node").distinct(), pack(members, n), n), n)
+    return keys.join(means, "idx").select(*by, F.col("mean_shortest_path").alias("mean_ad_shortest_path"))
 
 
 def within_graph(labels: DataFrame, edges: DataFrame, least: int = 20) -> DataFrame:

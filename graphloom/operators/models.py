@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
@@ -50,18 +50,21 @@ def runs_of(vectors: DataFrame, splits: DataFrame, ablations: tuple[str, ...] =
     rows = rows.join(by_id.join(mixed, "k").select("seed", "id", "shuffled"), ["seed", "id"], "left")
     out = None
     for a in ablations:
-        x = F.col("v")
-        if a == "random_embedding":
-            u = lambda k, i: (F.pmod(F.xxhash64("id", "seed", i, F.lit(k)), F.lit(1 << 40)) + 1) / ((1 << 40) + 1.0)
-            x = F.transform("v", lambda _, i: F.sqrt(-2 * F.log(u(1, i))) * F.cos(2 * np.pi * u(2, i)))
-        if a == "validation_oracle":
-            x = F.concat("v", F.array(F.col("y").cast("double")))
+        x = ablated(F.col("v"), a, F.col("id"), F.col("seed"), F.col("y"))
         fit = F.coalesce("shuffled", "y") if a == "label_shuffle" else F.col("y")
         one = rows.select(F.concat_ws(":", F.lit(a), "seed").alias("run"), "id", x.alias("x"), "y", fit.alias("fit_y"), "is_test")
         out = one if out is None else out.union(one)
     return out
 
 
+def ablated(v: Column, ablation: str, id: Column, seed: Column, y: Column | None = None) -> Column:
+    """The input of a probe: the vector, normal values by id and seed in its place, or the vector with the label."""
+    if ablation == "random_embedding":
+        u = lambda k, i: (F.pmod(F.xxhash64(id, seed, i, F.lit(k)), F.lit(1 << 40)) + 1) / ((1 << 40) + 1.0)
+        return F.transform(v, lambda _, i: F.sqrt(-2 * F.log(u(1, i))) * F.cos(2 * np.pi * u(2, i)))
+    return F.concat(v, F.array(y.cast("double"))) if ablation == "validation_oracle" else v
+
+
 def scaled(runs: DataFrame) -> DataFrame:
     """``runs`` with x standardised by the mean and population deviation of the run's training rows; a deviation of 0 counts as 1."""
     cells = runs.where("not is_test").select("run", F.posexplode("x").alias("pos", "c")).groupBy("run", "pos").agg(F.avg("c").alias("m"), F.stddev_pop("c").alias("s"))
@@ -123,8 +126,43 @@ class FeedForward:
         return np.concatenate([w1.ravel(), 0 * b1, w2, [0.0]])
 
 
+#: Bytes of a run's rows up to which one task trains it by itself. Beyond it, rows stay dealt out and each epoch adds up gradients.
+FIT_BYTES = 64 << 20
+
+
+def _small(runs: DataFrame) -> bool:
+    most = runs.groupBy("run").agg(F.sum(F.size("x").cast("long") * 8).alias("b")).agg(F.max("b")).first()[0]
+    return (most or 0) <= FIT_BYTES
+
+
+def _loss(model: Logistic | FeedForward, w: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float) -> float | None:
+    if not len(x):
+        return None
+    p = model.predict(w, x)
+    return float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean() + 0.5 * l2 * (model.decay(w) ** 2).sum())
+
+
+def trained(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: float, l2: float, every: int = 0) -> DataFrame:
+    """(run, w, history) of runs that fit in a task each: weights after the last epoch, and both losses after each ``every`` epochs (0: none)."""
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        x, test = np.stack(own["x"].to_numpy()).astype(np.float64), own["is_test"].to_numpy()
+        a, ya, b, yb = x[~test], own["fit_y"].to_numpy(np.float64)[~test], x[test], own["y"].to_numpy(np.float64)[test]
+        w, history = model.start(x.shape[1]), []
+        for epoch in range(1, epochs + 1):
+            if len(a):
+                w = w - rate * (model.gradient(w, a, ya) / len(a) + l2 * model.decay(w))
+            if every and epoch % every == 0:
+                history.append({"epoch": epoch, "train_loss": _loss(model, w, a, ya, l2), "test_loss": _loss(model, w, b, yb, l2)})
+        return pd.DataFrame({"run": [own["run"].iloc[0]], "w": [w], "history": [history]})
+
+    return runs.select("run", "x", "y", "fit_y", "is_test").groupBy("run").applyInPandas(fit, "run string, w array<double>, history array<struct<epoch int, train_loss double, test_loss double>>")
+
+
 def descend(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: float, l2: float, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Weights of each run after full-batch gradient descent on its training rows, from ``start`` if given."""
+    if start is None and _small(runs):
+        return {r["run"]: np.array(r["w"]) for r in trained(runs, model, epochs, rate, l2).select("run", "w").collect()}  # as large as the models
     train = runs.where("not is_test").select("run", "x", F.col("fit_y").cast("double").alias("y")).persist()
     shape = {r["run"]: (r["d"], r["n"]) for r in train.groupBy("run").agg(F.first(F.size("x")).alias("d"), F.count(F.lit(1)).alias("n")).collect()}
     weights = dict(start) if start else {run: model.start(d) for run, (d, _) in shape.items()}
@@ -157,27 +195,30 @@ def predictions(runs: DataFrame, model: Logistic | FeedForward, weights: dict[st
                 prob[at] = model.predict(weights[name], np.array([batch["x"].iloc[i] for i in at], dtype=float))
             yield batch.drop(columns="x").assign(prob=prob, pred=(prob >= 0.5).astype("int32"))
 
-    return runs.select("run", "id", "y", "fit_y", "is_test", "x").mapInPandas(run, "run string, id long, y int, fit_y int, is_test boolean, prob double, pred int")
+    return runs.select("run", "id", "y", "fit_y", "is_test", "x").mapInPandas(run, f"run string, id {runs.schema['id'].dataType.simpleString()}, y int, fit_y int, is_test boolean, prob double, pred int")
 
 
 def bce(p: Column, y: Column) -> Column:
     return -(y * F.log(p + 1e-12) + (1 - y) * F.log(1 - p + 1e-12))
 
 
-def scores_by(rows: DataFrame, by: str, score: str, y: str, tie: str) -> DataFrame:
-    """(by, auroc, auprc): as in ``ordered``, for every value of ``by``; its rows are ranked together, so it is for test sets."""
-    up = Window.partitionBy(by).orderBy(score)
-    same = Window.partitionBy(by, score)
-    rank = F.rank().over(up) + (F.count(F.lit(1)).over(same) - 1) / 2
-    down = Window.partitionBy(by).orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.withColumns({"__r": rank, "__tp": F.sum(y).over(down), "__k": F.count(F.lit(1)).over(down)})
-    prev = F.when(F.col("__k") > 1, (F.col("__tp") - 1) / (F.col("__k") - 1)).otherwise(1.0)
-    area = F.sum(F.when(F.col(y) == 1, (F.col("__tp") / F.col("__k") + prev) / 2))
-    p, n = F.sum(y), F.count(F.lit(1))
-    return r.groupBy(by).agg(
-        F.when((p > 0) & (n > p), (F.sum(F.when(F.col(y) == 1, F.col("__r"))) - p * (p + 1) / 2) / (p * (n - p))).alias("auroc"),
-        F.when(p > 0, area / p).alias("auprc"),
-    )
+def scores_by(rows: DataFrame, by: str | list[str], score: str, y: str, tie: str) -> DataFrame:
+    """(by, auroc, auprc): as in ``ordered``, for every value of ``by``, by running sums over all, so that no task sees all of one."""
+    by = [by] if isinstance(by, str) else by
+    keys = [F.col(c) for c in by]
+    counts = rows.groupBy(*by, score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    up = running_sums(counts, [*keys, F.col(score)], {"upto": F.col("n")})
+    total = up.groupBy(*by).agg(F.min(F.col("upto") - F.col("n")).alias("base"), F.sum("p").alias("pos"), F.sum("n").alias("all"))
+    mid = F.col("upto") - F.col("base") - (F.col("n") - 1) / 2
+    ranks = up.join(total, by).groupBy(*by).agg(F.sum(mid * F.col("p")).alias("r"))
+    down = running_sums(rows.select(*by, score, tie, F.col(y).cast("long").alias("y")), [*keys, F.col(score).desc(), F.col(tie).asc()], {"tp": F.col("y"), "k": F.lit(1)})
+    base = down.groupBy(*by).agg(F.min(F.col("tp") - F.col("y")).alias("tp0"), F.min(F.col("k") - 1).alias("k0"))
+    tp, k = F.col("tp") - F.col("tp0"), F.col("k") - F.col("k0")
+    prev = F.when(k > 1, (tp - 1) / (k - 1)).otherwise(1.0)
+    areas = down.join(base, by).where("y = 1").groupBy(*by).agg(F.sum((tp / k + prev) / 2).alias("area"))
+    p, n = F.col("pos"), F.col("all")
+    out = total.join(ranks, by).join(areas, by, "left")
+    return out.select(*by, F.when((p > 0) & (n > p), (F.col("r") - p * (p + 1) / 2) / (p * (n - p))).alias("auroc"), F.when(p > 0, F.col("area") / p).alias("auprc"))
 
 
 def probe(vectors: DataFrame, labels: DataFrame, seeds: list[int], ablations: tuple[str, ...], model: Logistic | FeedForward, epochs: int, rate: float, l2: float) -> DataFrame:
@@ -201,11 +242,14 @@ def held_out_predictions(predicted: DataFrame, genes: DataFrame) -> DataFrame:
 
 def loss_history(runs: DataFrame, model: Logistic | FeedForward, epochs: int, every: int, rate: float, l2: float) -> DataFrame:
     """(epoch, train_loss, test_loss), averaged over runs, after each ``every`` epochs; the penalty counts in both."""
-    rows, weights = [], None
+    if _small(runs):
+        points = trained(runs, model, epochs, rate, l2, every).select(F.explode("history").alias("h")).select("h.*")
+        return points.groupBy("epoch").agg(F.avg("train_loss").alias("train_loss"), F.avg("test_loss").alias("test_loss"))
+    rows, weights = [], {r["run"]: model.start(r["d"]) for r in runs.groupBy("run").agg(F.first(F.size("x")).alias("d")).collect()}
     for epoch in range(every, epochs + 1, every):
         weights = descend(runs, model, every, rate, l2, weights)
         penalty = float(np.mean([0.5 * l2 * (model.decay(w) ** 2).sum() for w in weights.values()]))
-        p = predictions(runs, model, weights).groupBy("is_test").agg(F.avg(bce(F.col("prob"), F.when(F.col("is_test"), F.col("y")).otherwise(F.col("fit_y")))).alias("l")).collect()
-        got = {r["is_test"]: r["l"] + penalty for r in p}
+        p = predictions(runs, model, weights).groupBy("run", "is_test").agg(F.avg(bce(F.col("prob"), F.when(F.col("is_test"), F.col("y")).otherwise(F.col("fit_y")))).alias("l"))
+        got = {r["is_test"]: r["l"] + penalty for r in p.groupBy("is_test").agg(F.avg("l").alias("l")).collect()}
         rows.append((epoch, got.get(False), got.get(True)))
     return runs.sparkSession.createDataFrame(rows, "epoch int, train_loss double, test_loss double")

@@ -53,6 +53,7 @@ def _renamed(right: DataFrame, names: list[str]) -> DataFrame:
 def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, sim, rank): the ``k`` other rows of the largest cosine, ties by id; fewer if there are fewer rows."""
     left, right = _block_pairs(vectors, block, False)
+    kind = vectors.schema["id"].dataType.simpleString()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "neighbour", "sim"]
@@ -66,7 +67,7 @@ def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         out = pd.DataFrame({"id": np.repeat(own, best.shape[1]), "neighbour": ids[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()})
         return out[np.isfinite(out["sim"])]
 
-    cands = left.select("pair", "id", "v").groupBy("pair").cogroup(_renamed(right, ["pair", "id", "v"]).groupBy("pair_r")).applyInPandas(run, "id long, neighbour long, sim double")
+    cands = left.select("pair", "id", "v").groupBy("pair").cogroup(_renamed(right, ["pair", "id", "v"]).groupBy("pair_r")).applyInPandas(run, f"id {kind}, neighbour {kind}, sim double")
     order = Window.partitionBy("id").orderBy(F.col("sim").desc(), F.col("neighbour"))
     return cands.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cohort, experiment, graph, models, permute
+from ..operators import bits, cohort, experiment, graph, models, permute
 from ..operators.groups import stash
 from .signal import BINS, ENR, PERMS, SEED, G, edges, emb, hops, labels, matched, perm, table
 from .tabular import SEEDS
@@ -114,10 +114,14 @@ def graph_metric_bundle(spark, sf):
 def graph_perm_components_paths(spark, sf):
     """Nulls of the largest component, right-tailed, over pairs of a score of 2, and of the shortest path, left-tailed, over all pairs."""
     g, strong = edges(spark, sf), edges(spark, sf, 2)
-    lab = labels(spark, sf).withColumn("perm_idx", F.lit(-1))
-    both = stash(permute.shuffle(matched(spark, sf, g), PERMS, SEED, "bin").unionByName(lab), "perms")
-    lcc = graph.largest_component(strong, both, ["perm_idx"])
-    paths = graph.shortest_paths_by(g, both, ["perm_idx"]).withColumn("mean_ad_shortest_path", F.round("mean_ad_shortest_path", 12))
+    lab = bits.of_labels(labels(spark, sf))
+    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
+    # The observed labels are one more set after the permutations, in a word of their own.
+    both = stash(perms.join(lab.withColumnRenamed("bits", "own"), "node").select("node", F.concat("bits", "own").alias("bits")), "sets")
+    own = bits.WORD * bits.words(PERMS)
+    number = F.when(F.col("idx") == own, -1).otherwise(F.col("idx")).alias("perm_idx")
+    lcc = bits.component_sizes(strong, both, own + 1).where(f"idx < {PERMS} or idx = {own}").select(number, "lcc")
+    paths = bits.mean_paths(g, both, own + 1).where(f"idx < {PERMS} or idx = {own}").select(number, F.round("mean_shortest_path", 12).alias("mean_ad_shortest_path"))
     out = None
     for name, df, tail in (("lcc", lcc, "right"), ("mean_ad_shortest_path", paths, "left")):
         df = stash(df, name)
@@ -143,5 +147,5 @@ def run_summary(spark, sf):
     probes = models.probe(rows.select("id", "v"), rows.select(F.col("id").alias("node"), "y"), SEEDS, ("embedding", "label_shuffle"), models.Logistic(), 15, 0.5, 1e-3)
     ids = F.broadcast(entries.select("run_id"))  # a row for each run; all share their labels
     topology = graph.metrics(g, lab, paths=True).crossJoin(ids)
-    tests = permute.hop_significance(hops(spark, sf), permute.shuffle(matched(spark, sf, g), PERMS, SEED, "bin"), PERMS).crossJoin(ids)
+    tests = permute.hop_significance(hops(spark, sf), stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms"), PERMS).crossJoin(ids)
     return experiment.summary_rows(entries, probes.join(entries.select("run_id", "ablation", "seed"), ["ablation", "seed"]), topology, tests)

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, permute, vectors
+from ..operators import bits, graph, permute, vectors
 from ..operators.groups import stash
 
-K, SEED, PERMS, HOPS = 10, 42, 20, [1, 2, 5]
+K, SEED, PERMS, HOPS = 10, 42, 100, [1, 2, 5]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,8 +252,8 @@ def graph_perm_pvalues(spark, sf):
     lab, g = labels(spark, sf), edges(spark, sf)
     names = ["ad_ad_edges", "enrichment", "mean_ad_neighbor_fraction"]
     cut = lambda df: df.withColumns({n: F.round(F.col(n).cast("double"), 12) for n in names})
-    perms = stash(permute.shuffle(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
-    null = cut(graph.metrics(g, perms, ["perm_idx"], lcc=False))
+    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
+    null = cut(bits.metrics(g, perms, PERMS, lcc=False))
     out = permute.null_summary(null, cut(graph.metrics(g, lab, lcc=False)), names)
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("observed", "perm_mean", "perm_std", "pvalue")])
 
@@ -264,17 +264,17 @@ def graph_perm_pvalues(spark, sf):
 )
 def pvalue_left_right(spark, sf):
     g = edges(spark, sf)
-    perms = stash(permute.shuffle(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
+    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
     observed = graph.edge_classes(g, labels(spark, sf)).select(F.col("ad_ad_edges").alias("o"))
-    null = graph.edge_classes(g, perms, ["perm_idx"]).crossJoin(F.broadcast(observed))  # one row
+    null = bits.metrics(g, perms, PERMS, lcc=False).crossJoin(F.broadcast(observed))  # one row
     return null.agg(F.round(permute.p_right("ad_ad_edges", F.col("o")), 9).alias("p_right"), F.round(permute.p_left("ad_ad_edges", F.col("o")), 9).alias("p_left"))
 
 
 @query()
 def graph_perm_lcc(spark, sf):
     """Largest component under each degree-matched permutation."""
-    perms = stash(permute.shuffle(matched(spark, sf), PERMS, SEED, "bin"), "perms")
-    return graph.largest_component(edges(spark, sf, 2), perms, ["perm_idx"])
+    perms = stash(bits.shuffled(matched(spark, sf), PERMS, SEED, "bin"), "perms")
+    return bits.component_sizes(edges(spark, sf, 2), perms, PERMS).withColumnRenamed("idx", "perm_idx")
 
 
 HOP = f"{NN}, {G}" + """, oad AS (SELECT DISTINCT u FROM adj JOIN lab ON node = v AND y = 1),
@@ -316,5 +316,5 @@ def hop_delta(spark, sf):
     f"SELECT k, metric, round(delta, 9) AS delta, round((count(*) FILTER (d >= delta) + 1) / {PERMS + 1}::DOUBLE, 9) AS pvalue_right FROM ob JOIN nu USING (k, metric) GROUP BY k, metric, delta"
 )
 def hop_significance(spark, sf):
-    perms = permute.shuffle(matched(spark, sf), PERMS, SEED, "bin")
+    perms = stash(bits.shuffled(matched(spark, sf), PERMS, SEED, "bin"), "perms")
     return permute.hop_significance(hops(spark, sf), perms, PERMS).select("k", "metric", F.round("delta", 9).alias("delta"), F.round("pvalue_right", 9).alias("pvalue_right"))

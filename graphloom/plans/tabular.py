@@ -76,9 +76,22 @@ def features(spark, sf) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("stratum"), F.col("p_retailprice").alias("value"), (F.col("p_brand") == "Brand#13").cast("int").alias("is_case"))
 
 
-@query()
+def greedy(ids: str, values: str) -> str:
+    """Taking turns in SQL: (case_id, control_id, rank), a step for each case. ``ids``: (id, turn) of cases in their order, ``values``: (id, v, is_case)."""
+    pick = f"(SELECT list(id ORDER BY far, id)[1:2] FROM (SELECT p.id, abs(p.v - q.v) AS far FROM {values} p, {values} q WHERE NOT p.is_case AND q.id = {{case}} AND NOT list_contains({{took}}, p.id)))"
+    return f"""turns(turn, case_id, took, own) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT t.turn + 1, c.id, list_concat(t.took, t.own), {pick.format(case="c.id", took="list_concat(t.took, t.own)")} FROM turns t JOIN {ids} c ON c.turn = t.turn + 1),
+mg AS (SELECT case_id, unnest(own) AS control_id, unnest(range(1, len(own) + 1))::INT AS rank FROM turns)"""
+
+
+@query(
+    "WITH RECURSIVE f AS (SELECT p_partkey AS id, p_retailprice AS v, p_brand = 'Brand#13' AS is_case FROM part), o AS (SELECT id, row_number() OVER (ORDER BY id) AS turn FROM f WHERE is_case), "
+    + greedy("o", "f")
+    + " SELECT case_id, control_id, rank FROM mg"
+)
 def matched_controls_greedy(spark, sf):
-    return cohort.matched_greedy(features(spark, sf), 2)
+    return cohort.matched_greedy(features(spark, sf), 2, None)
 
 
 @query(
@@ -89,12 +102,20 @@ def matched_controls_nearest(spark, sf):
     return cohort.matched_nearest(features(spark, sf), 2)
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + EXPR
+    + ", f AS (SELECT gene AS id, any_value(global_mean) AS v, any_value(p_brand) = 'Brand#13' AS is_case FROM gm JOIN part ON p_partkey = gene GROUP BY gene HAVING any_value(global_mean) >= 10), "
+    "o AS (SELECT id, row_number() OVER (ORDER BY id) AS turn FROM f WHERE is_case), "
+    + greedy("o", "f")
+    + ", ch AS (SELECT id AS gene, 1 AS y FROM f WHERE is_case UNION ALL SELECT control_id, 0 FROM mg), own AS (SELECT gm.* FROM gm WHERE gene IN (SELECT gene FROM ch)), "
+    + SCORE[len(EXPR) + 2 :].replace("FROM gm ", "FROM own ")
+    + " SELECT gene, CASE y WHEN 1 THEN 'AD' ELSE 'control' END AS label, y, round(s, 7) AS integrated_score FROM ch JOIN iscore USING (gene)"
+)
 def label_table(spark, sf):
-    """The whole cohort build: region means, matched controls within strata of part size, integrated scores."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("stratum"), "p_brand")
-    regions = expression(spark, sf).join(p, "gene")
-    return cohort.label_table(regions, p.where("p_brand = 'Brand#13'").select("gene"), 2, 10.0).withColumn("integrated_score", F.round("integrated_score", 7))
+    """The whole cohort build: region means, matched controls, integrated scores."""
+    cases = table(spark, sf, "part").where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("gene"))
+    return cohort.label_table(stash(expression(spark, sf), "expression"), cases, 2, 10.0).withColumn("integrated_score", F.round("integrated_score", 7))
 
 
 @query(
