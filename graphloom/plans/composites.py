@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bits, cohort, experiment, graph, models, permute
+from ..operators import bits, cohort, experiment, graph, matrix, models, permute, vectors
 from ..operators.groups import stash
-from .signal import BINS, ENR, PERMS, SEED, G, edges, emb, hops, labels, matched, perm, table
-from .tabular import SEEDS
+from .signal import BINS, ENR, HOPS, NN, PERMS, SEED, G, edges, emb, labels, matched, perm, table
+from .tabular import EPOCHS, L2, RATE, SEEDS
 
 QUERIES, SQL = {}, {}
 #: Number of accessions that parts are mapped to; more than there are vectors in the smallest tables, so that some have none.
@@ -132,20 +132,113 @@ def graph_perm_components_paths(spark, sf):
 
 @query()
 def prediction_table(spark, sf):
-    """Scores of the held-out rows of a logistic probe, with what is known of each."""
+    """Scores of the held-out rows of a feed-forward probe, with what is known of each."""
     rows = emb(spark, sf)
     runs = stash(models.scaled(models.runs_of(rows.select("id", "v"), models.split(rows.select(F.col("id").alias("node"), "y"), SEEDS), ("embedding",))), "runs")
-    p = models.predictions(runs, models.Logistic(), models.descend(runs, models.Logistic(), 25, 0.5, 1e-3))
+    p = models.predictions(runs, models.FeedForward(), models.descend(runs, models.FeedForward(), EPOCHS, RATE, L2))
     return models.held_out_predictions(p, rows.select("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("uniprot_accession"), "label"))
 
 
+# --- The experiment matrix: 3 ablations, 41 baseline replicates and 10 seeds
+
+MATRIX_SEEDS = list(range(42, 52))
+BASELINES = [("observed_ad", 1), ("permute_labels", 20), ("random_matched_set", 10), (experiment.ANNOTATED, 10)]
+MATRIX_ABLATIONS = ["embedding", "random_embedding", "label_shuffle"]
+
+
+def matrix_parts(spark, sf) -> tuple:
+    """Entries, their label sets, the labelled nodes with bits and degree bins, the graph, and how bits are laid out."""
+    entries = stash(experiment.run_id(experiment.matrix(spark, ["default"], MATRIX_ABLATIONS, BASELINES, MATRIX_SEEDS)), "entries")
+    sets, seeds, per = matrix.number_sets(entries)
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("node")).agg(F.count(F.lit(1)).alias("annotation_count"))
+    nodes = matrix.labelled(sets, seeds, per, labels(spark, sf), counts)
+    return entries, sets, seeds, per, nodes
+
+
+SETS = (
+    BINS
+    + f""", st AS (SELECT baseline, replicate, seed, seed * 100000 + replicate AS s FROM (VALUES {", ".join(f"('{b}', {n})" for b, n in BASELINES)}) b(baseline, n), range(0, 20) r(replicate), (SELECT unnest({MATRIX_SEEDS}) AS seed) WHERE replicate < n),
+ct AS (SELECT l_partkey::VARCHAR AS node, count(*) AS c FROM lineitem GROUP BY 1), ck AS (SELECT node, y, coalesce(c, (SELECT median(ct.c) FROM lab JOIN ct USING (node)))::DOUBLE AS c FROM lab LEFT JOIN ct USING (node)),
+cq AS (SELECT list_sort(list_distinct(quantile_cont(c, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS x FROM ck), cb AS (SELECT node, y, len(list_filter(x[2:len(x) - 1], lambda t: t < c)) AS cbin FROM ck, cq),
+dr AS (SELECT baseline, replicate, seed, node, y, CASE WHEN baseline = '{experiment.ANNOTATED}' THEN cbin ELSE 0 END AS grp, CASE baseline WHEN 'permute_labels' THEN md5(s || ':0:' || node) ELSE md5(s || ':' || node) END AS h FROM st, cb WHERE baseline <> 'observed_ad'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY baseline, replicate, seed, grp ORDER BY h, node) AS k, sum(y) OVER (PARTITION BY baseline, replicate, seed, grp) AS want FROM dr),
+ni AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM lab),
+ls AS (SELECT baseline, replicate, seed, node, y FROM st, lab WHERE baseline = 'observed_ad' UNION ALL SELECT baseline, replicate, seed, ni.node, y FROM rk JOIN ni USING (k) WHERE baseline = 'permute_labels'
+  UNION ALL SELECT baseline, replicate, seed, node, (k <= want)::INT FROM rk WHERE baseline NOT IN ('observed_ad', 'permute_labels'))"""
+)
+
+
+@query(f"WITH {SETS} SELECT baseline, replicate::INT AS replicate, seed::INT AS seed, node FROM ls WHERE y = 1")
+def matrix_label_sets(spark, sf):
+    """The positives of every label set of the matrix."""
+    _, sets, _, _, nodes = matrix_parts(spark, sf)
+    return bits.listed(nodes).join(sets, "idx").select("baseline", "replicate", "seed", "node")
+
+
+def matrix_graph(spark, sf, sets, nodes, g) -> DataFrame:
+    n = len(nodes.select("bits").first()[0]) * bits.WORD
+    return sets.join(bits.metrics(g, nodes, n, paths=True), "idx")
+
+
+TOPOLOGY = ["ad_ad_edges", "enrichment", "mean_ad_neighbor_fraction", "lcc", "mean_ad_shortest_path"]
+
+
+@query(
+    f"WITH RECURSIVE {SETS}, pos AS (SELECT baseline, replicate, seed, node FROM ls WHERE y = 1), "
+    "aa AS (SELECT a.baseline, a.replicate, a.seed, u, v FROM adj JOIN pos a ON a.node = u JOIN pos b ON b.node = v AND b.baseline = a.baseline AND b.replicate = a.replicate AND b.seed = a.seed), "
+    "rc(b, r, z, s, t) AS (SELECT baseline, replicate, seed, node, node FROM pos UNION SELECT b, r, z, s, v FROM rc JOIN aa ON u = t AND baseline = b AND replicate = r AND seed = z), "
+    + PATHS.format(ad="")
+    + ", lc AS (SELECT b AS baseline, r AS replicate, z AS seed, max(c) AS lcc FROM (SELECT b, r, z, s, count(*) AS c FROM rc GROUP BY ALL) GROUP BY ALL), "
+    "ps AS (SELECT a.baseline, a.replicate, a.seed, avg(d) AS d FROM pd JOIN pos a ON a.node = s JOIN pos b ON b.node = t AND b.baseline = a.baseline AND b.replicate = a.replicate AND b.seed = a.seed WHERE s < t GROUP BY ALL), "
+    "ec AS (SELECT baseline, replicate, seed, count(*) / 2 AS aa FROM aa GROUP BY ALL), nf AS (SELECT baseline, replicate, seed, avg(f) AS f FROM (SELECT baseline, replicate, seed, u, avg(y) AS f FROM adj JOIN ls ON ls.node = v GROUP BY ALL) GROUP BY ALL), "
+    "sz AS (SELECT count(*) AS n, (SELECT count(*) FROM g) AS m FROM lab), ad AS (SELECT baseline, replicate, seed, count(*) AS k FROM pos GROUP BY ALL) "
+    "SELECT baseline, replicate::INT AS replicate, seed::INT AS seed, coalesce(aa, 0)::BIGINT AS ad_ad_edges, round(coalesce(aa, 0) / m / (k * (k - 1) / (n * (n - 1))::DOUBLE), 9) AS enrichment, round(f, 9) AS mean_ad_neighbor_fraction, "
+    "lcc, round(d, 9) AS mean_ad_shortest_path FROM ad JOIN lc USING (baseline, replicate, seed) JOIN nf USING (baseline, replicate, seed) LEFT JOIN ec USING (baseline, replicate, seed) LEFT JOIN ps USING (baseline, replicate, seed), sz"
+)
+def matrix_topology(spark, sf):
+    """Graph metrics of every label set of the matrix, over pairs ordered together twice."""
+    _, sets, _, _, nodes = matrix_parts(spark, sf)
+    found = matrix_graph(spark, sf, sets, nodes, edges(spark, sf))
+    return found.select("baseline", "replicate", "seed", *TOPOLOGY).withColumns({c: F.round(c, 9) for c in TOPOLOGY if c not in ("ad_ad_edges", "lcc")})
+
+
+def matrix_hop_tests(spark, sf, seeds, per, nodes, g) -> DataFrame:
+    lab = labels(spark, sf)
+    binned = stash(nodes.join(graph.degree_bins(lab, g).select("node", "bin"), "node"), "binned")
+    nn = vectors.nearest(emb(spark, sf), max(HOPS)).select(F.col("id").cast("string").alias("id"), F.col("neighbour").cast("string").alias("neighbour"), "rank")
+    return matrix.hop_tests(nn, binned, g, HOPS, seeds, per, PERMS)
+
+
+@query(
+    f"WITH {NN}, {SETS}, gs AS (SELECT DISTINCT seed FROM st), pr AS (SELECT seed, k AS perm_idx, node, bin, md5(seed || ':' || k || ':' || node) AS h FROM bins, gs, range(0, {PERMS}) t(k)), "
+    "ph AS (SELECT seed, perm_idx, bin, node AS src_node, row_number() OVER (PARTITION BY seed, perm_idx, bin ORDER BY h, node) AS r FROM pr), bi AS (SELECT node, bin, row_number() OVER (PARTITION BY bin ORDER BY node) AS r FROM bins), "
+    "mv AS (SELECT seed, perm_idx, bi.node, src_node FROM ph JOIN bi USING (bin, r)), n5 AS (SELECT id::VARCHAR AS node, nb::VARCHAR AS nb, rk FROM nn WHERE rk <= 5), "
+    "oa AS (SELECT DISTINCT baseline, replicate, seed, u FROM adj JOIN ls ON node = v AND y = 1), "
+    "hk AS (SELECT l.baseline, l.replicate, l.seed, n5.node, k, avg((adj.u IS NOT NULL)::INT) AS r1, avg(l.y) AS r2, avg((oa.u IS NOT NULL)::INT) AS r3 FROM n5 JOIN (VALUES (1), (2), (5)) t(k) ON rk <= k JOIN ls l ON l.node = nb "
+    "LEFT JOIN adj ON adj.u = n5.node AND adj.v = nb LEFT JOIN oa ON oa.u = nb AND oa.baseline = l.baseline AND oa.replicate = l.replicate AND oa.seed = l.seed GROUP BY ALL), "
+    "pl AS (SELECT baseline, replicate, seed, perm_idx, mv.node, y FROM mv JOIN ls USING (seed) WHERE ls.node = src_node UNION ALL SELECT baseline, replicate, seed, -1, node, y FROM ls), "
+    "dd AS (SELECT baseline, replicate, seed, perm_idx, k, " + ", ".join(f"round(avg(r{i}) FILTER (y = 1) - avg(r{i}) FILTER (y = 0), {matrix.DECIMALS}) AS {m}" for i, m in enumerate(permute.HOP_METRICS, 1)) + " FROM pl JOIN hk USING (baseline, replicate, seed, node) GROUP BY ALL), "
+    f"ul AS (UNPIVOT dd ON {', '.join(permute.HOP_METRICS)} INTO NAME metric VALUE d) "
+    f"SELECT o.baseline, o.replicate::INT AS replicate, o.seed::INT AS seed, o.k, o.metric, round(o.d, 9) AS delta, round((count(*) FILTER (p.d >= o.d) + 1) / {PERMS + 1}::DOUBLE, 9) AS pvalue_right "
+    "FROM ul o JOIN ul p USING (baseline, replicate, seed, k, metric) WHERE o.perm_idx = -1 AND p.perm_idx >= 0 GROUP BY o.baseline, o.replicate, o.seed, o.k, o.metric, o.d"
+)
+def matrix_hops(spark, sf):
+    """Hop deltas and p-values of every label set of the matrix."""
+    _, sets, seeds, per, nodes = matrix_parts(spark, sf)
+    found = matrix_hop_tests(spark, sf, seeds, per, nodes, edges(spark, sf)).join(sets, "idx")
+    return found.select("baseline", "replicate", "seed", "k", "metric", F.round("delta", 9).alias("delta"), F.round("pvalue_right", 9).alias("pvalue_right"))
+
+
 @query()
 def run_summary(spark, sf):
-    """One row for each run of the observed labels: probe, graph and hop results."""
-    entries = stash(experiment.run_id(experiment.matrix(spark, ["default"], ["embedding", "label_shuffle"], [("observed_ad", 1)], SEEDS)), "entries")
-    rows, lab, g = emb(spark, sf), labels(spark, sf), edges(spark, sf)
-    probes = models.probe(rows.select("id", "v"), rows.select(F.col("id").alias("node"), "y"), SEEDS, ("embedding", "label_shuffle"), models.Logistic(), 15, 0.5, 1e-3)
-    ids = F.broadcast(entries.select("run_id"))  # a row for each run; all share their labels
-    topology = graph.metrics(g, lab, paths=True).crossJoin(ids)
-    tests = permute.hop_significance(hops(spark, sf), stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms"), PERMS).crossJoin(ids)
-    return experiment.summary_rows(entries, probes.join(entries.select("run_id", "ablation", "seed"), ["ablation", "seed"]), topology, tests)
+    """One row for each of the 1,230 runs of the matrix: probe, graph and hop results."""
+    entries, sets, seeds, per, nodes = matrix_parts(spark, sf)
+    g = edges(spark, sf)
+    v = emb(spark, sf).select(F.col("id").cast("string").alias("node"), "v")
+    split = stash(matrix.splits(sets, nodes, len(seeds) * per * bits.WORD), "splits")
+    probes = matrix.probes(matrix.copies(v, nodes, split, seeds, per, MATRIX_ABLATIONS), sets, seeds, per, EPOCHS, RATE, L2)
+    known = entries.join(sets, ["baseline", "replicate", "seed"])
+    part = lambda df, keys: known.select("run_id", *keys).join(df, keys).drop(*keys)
+    topology = part(matrix_graph(spark, sf, sets, nodes, g).select("idx", "enrichment", "mean_ad_neighbor_fraction", "lcc", "mean_ad_shortest_path"), ["idx"])
+    tests = part(matrix_hop_tests(spark, sf, seeds, per, nodes, g), ["idx"])
+    return experiment.summary_rows(entries.withColumn("fallback_used", F.lit(False)), part(probes, ["ablation", "idx"]), topology, tests)

@@ -15,6 +15,8 @@ from .signal import E, G, edges, emb, labels, table
 
 QUERIES, SQL = {}, {}
 SEEDS = [42, 43]
+#: Seeds, epochs, rate and penalty of the probes.
+PROBE_SEEDS, EPOCHS, RATE, L2 = list(range(42, 52)), 200, 0.05, 1e-3
 
 
 def query(sql: str | None = None):
@@ -256,38 +258,39 @@ def split_reuse(spark, sf):
     return kept.join(here, "node", "left_semi").select("seed", "node")
 
 
-def run_probe(spark, sf, ablations, model, epochs) -> DataFrame:
+def run_probe(spark, sf, ablations, model) -> DataFrame:
     lab = emb(spark, sf).select(F.col("id").alias("node"), "y")
-    return models.probe(emb(spark, sf).select("id", "v"), lab, SEEDS, ablations, model, epochs, 0.5, 1e-3)
+    return models.probe(emb(spark, sf).select("id", "v"), lab, PROBE_SEEDS, ablations, model, EPOCHS, RATE, L2)
 
 
 @query()
 def logistic_probe(spark, sf):
-    return run_probe(spark, sf, ("embedding",), models.Logistic(), 25)
+    return run_probe(spark, sf, ("embedding",), models.Logistic())
 
 
 @query()
 def ffn_probe(spark, sf):
-    return run_probe(spark, sf, ("embedding",), models.FeedForward(), 25)
+    return run_probe(spark, sf, ("embedding",), models.FeedForward())
 
 
 @query()
 def ablation_compare(spark, sf):
-    return run_probe(spark, sf, models.ABLATIONS, models.Logistic(), 15)
+    return run_probe(spark, sf, models.ABLATIONS, models.Logistic())
 
 
 @query()
 def probe_multi_seed(spark, sf):
-    p = run_probe(spark, sf, ("embedding", "random_embedding"), models.Logistic(), 10)
+    p = run_probe(spark, sf, ("embedding", "random_embedding"), models.Logistic())
     names = ["test_accuracy", "test_auroc", "test_auprc"]
     return p.groupBy("ablation").agg(*[F.avg(n).alias(f"mean_{n}") for n in names], *[F.stddev_samp(n).alias(f"std_{n}") for n in names])
 
 
 @query()
 def loss_history(spark, sf):
+    """Losses after each epoch."""
     lab = emb(spark, sf).select(F.col("id").alias("node"), "y")
-    runs = stash(models.scaled(models.runs_of(emb(spark, sf).select("id", "v"), models.split(lab, SEEDS), ("embedding",))), "runs")
-    return models.loss_history(runs, models.FeedForward(), 12, 4, 0.5, 1e-3)
+    runs = stash(models.scaled(models.runs_of(emb(spark, sf).select("id", "v"), models.split(lab, PROBE_SEEDS), ("embedding",))), "runs")
+    return models.loss_history(runs, models.FeedForward(), EPOCHS, 1, RATE, L2)
 
 
 MATRIX = """SELECT cohort, ablation, b.baseline AS baseline, replicate::INT AS replicate, seed FROM (SELECT unnest(['default']) AS cohort), (SELECT unnest(['embedding', 'random_embedding', 'label_shuffle']) AS ablation),
