@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nan_to_null, normal_id
-from .groups import components, stash
+from .groups import components, discard, stash
 from .ordered import qcut, running_sums
 
 CLASSES = ["ad_ad_edges", "ad_control_edges", "control_control_edges"]
@@ -101,6 +101,53 @@ def largest_component(edges: DataFrame, labels: DataFrame, by: list[str] | None
     return wide.select(*by, F.coalesce("top", "any").cast("long").alias("lcc"))
 
 
+def spanning_forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(src, dst, score) of a maximum spanning forest of scored edges, of any number of components: Boruvka rounds.
+
+    In each round every group of nodes keeps its best edge to another group (by score, then ends, so that no two are equal) and groups that edges join
+    become one; a grouped maximum and two joins, whatever the degrees. Groups at least halve, so rounds go with the logarithm of the number of nodes.
+    Repeated edges count once, by their best score; loops, and edges without an end or score, are left out.
+    """
+    own = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "score").where("src <> dst and score is not null")
+    own = own.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    open_ = stash(own.select("src", "dst", "score", F.col("src").alias("a"), F.col("dst").alias("b")), "open")
+    forest = None
+    for _ in range(most_rounds):
+        if open_.isEmpty():
+            return forest if forest is not None else open_.select("src", "dst", "score")
+        edge = F.struct("score", "src", "dst", "a", "b").alias("e")
+        ends = open_.select(F.col("a").alias("group"), edge).union(open_.select(F.col("b").alias("group"), edge))
+        best = stash(ends.groupBy("group").agg(F.max("e").alias("e")).select("e.*").distinct(), "best")
+        chosen = best.select("src", "dst", "score")
+        forest = chosen if forest is None else forest.union(chosen)
+        merged = stash(components(best), "merged")
+        to = lambda c: merged.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))  # noqa: B023, E731
+        joined = open_.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        moved = joined.select("src", "dst", "score", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b")).where("a <> b")
+        after = stash(moved, "open")
+        discard(open_, merged)
+        open_ = after
+    raise RuntimeError(f"the forest did not settle in {most_rounds} rounds")
+
+
+def threshold_sweep(edges: DataFrame, labels: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, n_components, lcc) of the positives over edges of at least each threshold, isolated positives being components; lcc is 0 without positives.
+
+    A maximum spanning forest has the same groups as the graph at any threshold, and fewer edges than nodes; so all thresholds are one job over it.
+    """
+    ad = stash(labels.where("y = 1").select("node"), "positives")
+    inside = edges.join(ad.select(F.col("node").alias("src")), "src", "left_semi").join(ad.select(F.col("node").alias("dst")), "dst", "left_semi")
+    cut = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("score"))).alias("threshold")
+    kept = spanning_forest(inside).select("src", "dst", cut)
+    key = lambda c: F.struct("threshold", F.col(c).alias("node"))
+    groups = components(kept.select(key("src").alias("a"), key("dst").alias("b"))).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    found = groups.groupBy(F.col("component.threshold").alias("threshold")).agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("in_groups"), F.max("size").alias("top"))
+    n = ad.agg(F.count(F.lit(1)).alias("n"))
+    rows = ad.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double").crossJoin(F.broadcast(n)).join(found, "threshold", "left")
+    alone = F.col("n") - F.coalesce("in_groups", F.lit(0))
+    return rows.select("threshold", (F.coalesce("groups", F.lit(0)) + alone).alias("n_components"), F.coalesce("top", (F.col("n") > 0).cast("long")).alias("lcc"))
+
+
 def bfs(edges: DataFrame, sources: DataFrame, allowed: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(source, node, dist): hops from every source within the allowed nodes; unreachable nodes are left out."""
     adj = stash(adjacency(edges).join(allowed.select(F.col("node").alias("u")), "u", "left_semi").join(allowed.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"), "adjacency")

@@ -244,7 +244,7 @@ def loss_history(runs: DataFrame, model: Logistic | FeedForward, epochs: int, ev
     """(epoch, train_loss, test_loss), averaged over runs, after each ``every`` epochs; the penalty counts in both."""
     if _small(runs):
         points = trained(runs, model, epochs, rate, l2, every).select(F.explode("history").alias("h")).select("h.*")
-        return points.groupBy("epoch").agg(F.avg("train_loss").alias("train_loss"), F.avg("test_loss").alias("test_loss"))
+        return points.groupBy("epoch").agg(F.avg("train_loss").alias("train_loss"), F.avg("test_loss").alias("test_loss")).orderBy("epoch")  # a row per epoch
     rows, weights = [], {r["run"]: model.start(r["d"]) for r in runs.groupBy("run").agg(F.first(F.size("x")).alias("d")).collect()}
     for epoch in range(every, epochs + 1, every):
         weights = descend(runs, model, every, rate, l2, weights)

@@ -2,25 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import stash
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Add to each row the sums over it and the rows before it, by ``order`` (which must be total for a repeatable result).
+#: Aggregates that can run along an order, and how two results of one are put together.
+RUNNING = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
 
-    Rows are dealt out by ranges of the order; sums run within a range, and the totals of the ranges before, one row each, are added.
+def running(df: DataFrame, order: list[Column], values: dict[str, tuple[str, Column]], by: list[str] | None = None) -> DataFrame:
+    """Add to each row running aggregates over it and the rows before it, by ``order`` (which must be total for a repeatable result), within each ``by`` if given.
+
+    ``values``: of each new column, an aggregate of RUNNING and what it takes. Rows are dealt out by ranges of the order; aggregates run within a range, and
+    the results of the ranges before, one row for each range and key in it, are put to them; so neither a table nor a key meets in one task.
     """
-    dealt = df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    by = by or []
+    dealt = df.withColumns({f"__{k}": v for k, (_, v) in values.items()}).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__range", F.spark_partition_id())
     dealt = stash(dealt, "ranges")
-    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("__range").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
-    totals = totals.select("__range", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums])
-    out = dealt.withColumns({k: F.sum(f"__{k}").over(within) for k in sums}).join(F.broadcast(totals), "__range")  # a row per partition
-    return out.withColumns({k: F.col(k) + F.col(f"__b_{k}") for k in sums}).drop("__range", *[f"__{k}" for k in sums], *[f"__b_{k}" for k in sums])
+    within = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range", *by).agg(*[RUNNING[how][0](f"__{k}").alias(f"__t_{k}") for k, (how, _) in values.items()])
+    keys = [F.col(c).alias(f"__k_{c}") for c in by]
+    totals = totals.select(F.col("__range").alias("__r"), *keys, *[RUNNING[how][0](f"__t_{k}").over(before).alias(f"__b_{k}") for k, (how, _) in values.items()])
+    if by:
+        totals = stash(totals, "totals")
+    if not by or totals.count() <= MOST_TOTALS:
+        totals = F.broadcast(totals)  # a row per partition, or a number that was checked
+    same = F.col("__range") == F.col("__r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    out = dealt.withColumns({k: RUNNING[how][0](f"__{k}").over(within) for k, (how, _) in values.items()}).join(totals, same)
+    out = out.withColumns({k: RUNNING[how][1](F.col(k), F.col(f"__b_{k}")) for k, (how, _) in values.items()})
+    return out.drop("__range", "__r", *[f"__{k}" for k in values], *[f"__b_{k}" for k in values], *[f"__k_{c}" for c in by])
+
+
+#: Rows of a table of totals that is broadcast.
+MOST_TOTALS = 100_000
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``running`` with sums over the whole table."""
+    return running(df, order, {k: ("sum", v) for k, v in sums.items()})
+
+
+def fdr(tests: DataFrame, p: str, tie: str, by: list[str] | None = None) -> DataFrame:
+    """``tests`` with rank, n_tests and q: Benjamini-Hochberg adjusted p-values within each family ``by``; equal p-values get ranks by ``tie``, a unique column.
+
+    q is the least of p * n / rank over the tests from this one to the largest p, and 1 at most. Tests without a p-value (null or NaN) have no rank and no q,
+    and don't count.
+    """
+    by = by or []
+    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+    ranked = running(tests.where(known), [F.col(p).asc(), F.col(tie).asc()], {"rank": ("sum", F.lit(1))}, by)
+    n = tests.where(known).groupBy(*by).agg(F.count(F.lit(1)).alias("n_tests"))
+    if by:
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__f_{c}")) for c in by])
+        sized = ranked.join(n.withColumnsRenamed({c: f"__f_{c}" for c in by}), same).drop(*[f"__f_{c}" for c in by])
+    else:
+        sized = ranked.crossJoin(F.broadcast(n))  # one row
+    raw = F.least(F.lit(1.0), F.col(p).cast("double") * F.col("n_tests") / F.col("rank"))
+    out = running(sized, [F.col("rank").desc()], {"q": ("min", raw)}, by)
+    return out.unionByName(tests.where(~known | F.col(p).isNull()), allowMissingColumns=True)
 
 
 def quantiles(df: DataFrame, value: str, probabilities: list[float], weight: str | None = None) -> list[float | None]:

@@ -6,7 +6,7 @@ in one task, which returns only its best neighbours or its counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,13 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import binary_entropy
-from .groups import stash
-from .ordered import running_sums
 
 #: Rows of a block, and decimals to which similarities are compared, so that ties don't hang on the order of summation.
 BLOCK, DECIMALS = 2000, 9
-#: Decimals of distances, whose counts by value replace the list of all pairs.
-GRID = 6
 
 
 def _blocks(vectors: DataFrame, block: int) -> DataFrame:
@@ -80,53 +76,109 @@ def purity(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("id", "y", "knn_purity", binary_entropy(F.col("p")).alias("knn_entropy"))
 
 
-def distance_counts(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(pair_type, d, n): number of pairs by class and cosine distance, on a grid of 1e-6. ``vectors`` has y = 1 or 0."""
-    left, right = _block_pairs(vectors, block, True)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["kind", "cell", "n"]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=names)
-        b = b.rename(columns=lambda c: c.removesuffix("_r"))
-        cell = np.rint((1 - _unit(a["v"]) @ _unit(b["v"]).T) * 10**GRID).astype(np.int64)
-        kind = a["y"].to_numpy()[:, None] + b["y"].to_numpy()[None, :]
-        use = np.ones(cell.shape, bool)
-        if a["blk"].iloc[0] == b["blk"].iloc[0]:
-            use = a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]
-        span = 2 * 10**GRID + 1  # cosine distances are from 0 to 2
-        n = np.bincount(kind[use] * span + np.clip(cell[use], 0, span - 1))
-        code = np.flatnonzero(n)
-        return pd.DataFrame({"kind": code // span, "cell": code % span, "n": n[code]})
-
-    cols = ["pair", "blk", "id", "y", "v"]
-    out = left.select(cols).groupBy("pair").cogroup(_renamed(right, cols).groupBy("pair_r")).applyInPandas(run, "kind int, cell long, n long")
-    name = F.when(F.col("kind") == 2, "AD-AD").when(F.col("kind") == 1, "AD-control").otherwise("control-control")
-    return stash(out.groupBy(name.alias("pair_type"), "cell").agg(F.sum("n").alias("n")), "distance-counts")
-
-
-def distance_summary(counts: DataFrame) -> DataFrame:
+#: Classes of pairs by how many of the two are positive, and bins of a pass in the search for an order statistic.
+KINDS, FINE = ("control-control", "AD-control", "AD-AD"), 4096
+
+
+class Distances:
+    """Cosine distances of all pairs of rows of ``vectors`` (id, v, y), by class. Each pass over them is one job, whose tasks return a few numbers for a pair of blocks."""
+
+    def __init__(self, vectors: DataFrame, block: int = BLOCK):
+        cols = ["pair", "blk", "id", "y", "v"]
+        left, right = _block_pairs(vectors, block, True)
+        self.left, self.right = left.select(cols), _renamed(right, cols)
+        rows = self._pass(lambda kind, d: [(k, len(x), x.sum(), x.min(), x.max()) for k in range(3) for x in [d[kind == k]] if len(x)], "kind int, n long, total double, lo double, hi double")
+        found = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+        #: By class: number, sum, least and largest.
+        self.ends = {r["kind"]: (r["n"], r["total"], r["lo"], r["hi"]) for r in found}
+
+    def _pass(self, of: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame(columns=names)
+            b = b.rename(columns=lambda c: c.removesuffix("_r"))
+            d = 1 - _unit(a["v"]) @ _unit(b["v"]).T
+            kind = a["y"].to_numpy()[:, None] + b["y"].to_numpy()[None, :]
+            if a["blk"].iloc[0] == b["blk"].iloc[0]:
+                use = a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]
+                d, kind = d[use], kind[use]
+            return pd.DataFrame(of(kind.ravel(), d.ravel()), columns=names)
+
+        return self.left.groupBy("pair").cogroup(self.right.groupBy("pair_r")).applyInPandas(run, schema)
+
+    def binned(self, targets: list[tuple[int, list[tuple[float, float, int]]]], bins: int) -> DataFrame:
+        """(target, bin, n, lo, hi): a target is a class and steps (lo, hi, bin), the last without a bin yet; values are those of all bins before it."""
+
+        def place(d: np.ndarray, lo: float, hi: float) -> np.ndarray:
+            return np.clip(((d - lo) * bins / (hi - lo)).astype(np.int64), 0, bins - 1) if hi > lo else np.zeros(len(d), np.int64)
+
+        def count(kind: np.ndarray, d: np.ndarray) -> list[tuple]:
+            out = []
+            for t, (k, steps) in enumerate(targets):
+                x = d[kind == k]
+                for lo, hi, b in steps[:-1]:
+                    x = x[place(x, lo, hi) == b]
+                at = place(x, *steps[-1][:2])
+                order = np.lexsort((x, at))
+                used, first = np.unique(at[order], return_index=True)
+                last = np.append(first[1:], len(x)) - 1
+                out += [(t, int(u), int(j - i + 1), float(x[order[i]]), float(x[order[j]])) for u, i, j in zip(used, first, last)]
+            return out
+
+        rows = self._pass(count, "target int, bin int, n long, lo double, hi double")
+        return rows.groupBy("target", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def at_ranks(self, asked: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+        """The distances of a class and rank, exactly: each pass divides the bin that holds the rank, until all that it holds are equal."""
+        out, open_ = {}, {}
+        for kind, rank in asked:
+            _, _, lo, hi = self.ends[kind]
+            open_[kind, rank] = (rank, [(lo, hi, -1)])
+        while open_:
+            for key in [k for k, (_, steps) in open_.items() if steps[-1][0] == steps[-1][1]]:
+                out[key] = open_.pop(key)[1][-1][0]
+            keys = list(open_)
+            found = self.binned([(kind, open_[kind, rank][1]) for kind, rank in keys], FINE).collect() if keys else []  # FINE rows for each
+            for t, key in enumerate(keys):
+                rank, steps = open_[key]
+                for r in sorted((r for r in found if r["target"] == t), key=lambda r: r["bin"]):
+                    if rank < r["n"]:
+                        break
+                    rank -= r["n"]
+                open_[key] = (rank, [*steps[:-1], (*steps[-1][:2], r["bin"]), (r["lo"], r["hi"], -1)])
+        return out
+
+
+def distance_counts(vectors: DataFrame, block: int = BLOCK) -> Distances:
+    """The distances of all pairs, for ``distance_summary`` and ``histogram``."""
+    return Distances(vectors, block)
+
+
+def distance_summary(pairs: Distances) -> DataFrame:
     """(pair_type, n_pairs, mean_cosine_distance, median_cosine_distance); all three classes, nulls for an empty one."""
-    spark = counts.sparkSession
-    kinds = spark.createDataFrame([("AD-AD",), ("AD-control",), ("control-control",)], "pair_type string")
-    means = counts.groupBy("pair_type").agg(F.sum("n").alias("n_pairs"), (F.sum(F.col("n") * F.col("cell")) / F.sum("n") / 10**GRID).alias("mean_cosine_distance"))
-    out = running_sums(counts.withColumn("t", F.col("pair_type")), [F.col("t"), F.col("cell")], {"upto": F.col("n")})
-    totals = counts.groupBy("pair_type").agg(F.sum("n").alias("n_pairs"))
-    first = out.groupBy("pair_type").agg(F.min(F.col("upto") - F.col("n")).alias("base"))
-    at = out.join(F.broadcast(totals.join(first, "pair_type")), "pair_type").withColumn("upto", F.col("upto") - F.col("base"))  # three rows
-    lo, hi = F.floor((F.col("n_pairs") - 1) / 2), F.floor(F.col("n_pairs") / 2)
-    inside = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
-    med = at.groupBy("pair_type").agg(((F.max(F.when(inside(lo), F.col("cell"))) + F.max(F.when(inside(hi), F.col("cell")))) / 2 / 10**GRID).alias("median_cosine_distance"))
-    return kinds.join(means, "pair_type", "left").join(med, "pair_type", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
-
-
-def histogram(counts: DataFrame, bins: int = 40) -> DataFrame:
-    """(pair_type, bin, n, density): equal bins between a class's extremes, the last closed."""
-    ends = counts.groupBy("pair_type").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.sum("n").alias("all"))
-    width = F.col("hi") - F.col("lo")
-    at = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("cell") - F.col("lo")) * bins / width), F.lit(bins - 1)))
-    g = counts.join(F.broadcast(ends), "pair_type").groupBy("pair_type", at.cast("int").alias("bin"), "lo", "hi", "all").agg(F.sum("n").alias("n"))
-    return g.select("pair_type", "bin", "n", F.when(width == 0, None).otherwise(F.col("n") / (F.col("all") * width / bins / 10**GRID)).alias("density"))
+    middle = {k: ((n - 1) // 2, n // 2) for k, (n, *_) in pairs.ends.items()}
+    found = pairs.at_ranks(sorted({(k, r) for k, own in middle.items() for r in own}))
+    rows = []
+    for k, name in enumerate(KINDS):
+        n, total, *_ = pairs.ends.get(k, (0, None))
+        rows.append((name, n, total / n, (found[k, middle[k][0]] + found[k, middle[k][1]]) / 2) if n else (name, 0, None, None))
+    return pairs.left.sparkSession.createDataFrame(rows, "pair_type string, n_pairs long, mean_cosine_distance double, median_cosine_distance double")
+
+
+def histogram(pairs: Distances, bins: int = 40) -> DataFrame:
+    """(pair_type, bin, n, density): equal bins between a class's extremes, the last closed; the density is null where they are equal."""
+    known = sorted(pairs.ends)
+    rows = pairs.binned([(k, [(*pairs.ends[k][2:], -1)]) for k in known], bins)
+    one = F.lit(None).cast("string")
+    density = F.lit(None).cast("double")
+    for t, k in enumerate(known):
+        n, _, lo, hi = pairs.ends[k]
+        one = F.when(F.col("target") == t, KINDS[k]).otherwise(one)
+        if hi > lo:
+            density = F.when(F.col("target") == t, F.col("n") / (n * (hi - lo) / bins)).otherwise(density)
+    return rows.select(one.alias("pair_type"), "bin", "n", density.alias("density"))
 
 
 def mean_by(vectors: DataFrame, key: str) -> DataFrame:

@@ -5,13 +5,18 @@ Parts stand for genes; the first two words of a part's name are its symbol, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bits, cohort, experiment, graph, matrix, models, permute, vectors
-from ..operators.groups import stash
-from .signal import BINS, ENR, HOPS, NN, PERMS, SEED, G, edges, emb, labels, matched, perm, table
-from .tabular import EPOCHS, L2, RATE, SEEDS
+from ..operators import bits, cohort, experiment, graph, matrix, models, ordered, permute, vectors
+from ..operators.groups import shared_dir, stash
+from ..sources import npy
+from ..sources.store import Store, cohort_tables
+from .signal import BINS, ENR, HOPS, NN, PERMS, SEED, G, edges, emb, labels, matched, perm, scored_edges, table
+from .tabular import EPOCHS, L2, RATE, SEEDS, expression
+from .tabular import SQL as TABULAR_SQL
 
 QUERIES, SQL = {}, {}
 #: Number of accessions that parts are mapped to; more than there are vectors in the smallest tables, so that some have none.
@@ -139,6 +144,66 @@ def prediction_table(spark, sf):
     return models.held_out_predictions(p, rows.select("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("uniprot_accession"), "label"))
 
 
+@query(
+    "WITH t AS (SELECT event_type, event_id, exp(-value / 20) AS p FROM events WHERE event_id % 11 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM t), "
+    "f AS (SELECT event_type, event_id, k, n, least(1, min(p * n / k) OVER (PARTITION BY event_type ORDER BY k DESC)) AS q FROM r) "
+    "SELECT event_type, event_id, k::BIGINT AS rank, n AS n_tests, round(q, 9) AS q FROM f UNION ALL SELECT event_type, event_id, NULL, NULL, NULL FROM events WHERE event_id % 11 = 0"
+)
+def fdr_qvalues(spark, sf):
+    """Adjusted p-values of one test for each event, by type; values are exponential under the null, and an eleventh has no test."""
+    p = F.when(F.col("event_id") % 11 != 0, F.exp(-F.col("value") / 20)).alias("p")
+    tests = table(spark, sf, "events").select("event_type", "event_id", p)
+    return ordered.fdr(tests, "p", "event_id", ["event_type"]).select("event_type", "event_id", "rank", "n_tests", F.round("q", 9).alias("q"))
+
+
+COHORT = {"name": "default", "controls_per_ad": 2, "min_global_expression": 10.0}
+
+
+def cohort_of(spark, sf, kept: Store) -> dict[str, DataFrame]:
+    p = table(spark, sf, "part")
+    cases = p.where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("gene"))
+    mapping = p.select(F.col("p_partkey").cast("string").alias("symbol"), F.concat_ws("; ", "p_type", "p_name").alias("accessions"), F.col("p_partkey").alias("pos"))
+    counts = p.select(F.col("p_partkey").cast("string").alias("gene_symbol"), F.col("p_size").alias("annotation_count"), F.col("p_partkey").alias("pos"))
+    return cohort_tables(kept, COHORT, stash(expression(spark, sf), "expression"), cases, mapping, counts)
+
+
+@query(
+    TABULAR_SQL["label_table"][: TABULAR_SQL["label_table"].index(" SELECT gene, CASE")]
+    + r", lt AS (SELECT gene, y, s FROM ch JOIN iscore USING (gene)) SELECT gene::VARCHAR AS gene_symbol, y::INT AS y, upper(string_split(trim(regexp_replace(p_type || '; ' || p_name, '[|;,\s]+', ' ', 'g')), ' ')[1]) AS uniprot_accession, p_size::DOUBLE AS annotation_count "
+    "FROM lt JOIN part ON p_partkey = gene"
+)
+def cohort_store(spark, sf):
+    """A cohort's tables, made once and kept; read back by a second call, and joined."""
+    kept = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    cohort_of(spark, sf, kept)
+    t = cohort_of(spark, sf, kept)
+    if kept.made != 3 or kept.manifest().count() != 3:
+        raise RuntimeError("a kept table was made again")
+    return t["labels"].select("gene_symbol", "y").join(t["mapping"], "gene_symbol").join(t["annotation_counts"], "gene_symbol", "left")
+
+
+THRESHOLDS = [1, 2, 3, 4, 5]
+
+
+@query(
+    f"WITH RECURSIVE {G}, ad AS (SELECT node FROM lab WHERE y = 1), x AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold), e2 AS (SELECT threshold, src AS u, dst AS v FROM g, x WHERE score >= threshold AND src IN (FROM ad) AND dst IN (FROM ad)), "
+    "e3 AS (SELECT * FROM e2 UNION ALL SELECT threshold, v, u FROM e2), rc(h, s, t) AS (SELECT threshold, node, node FROM ad, x UNION SELECT h, s, v FROM rc JOIN e3 ON h = threshold AND t = u), "
+    "r AS (SELECT h AS threshold, s, min(t) AS root, count(*) AS size FROM rc GROUP BY ALL) SELECT threshold, count(DISTINCT root) AS n_components, max(size) AS lcc FROM r GROUP BY threshold"
+)
+def threshold_sweep(spark, sf):
+    """Components of the positives at every threshold of the score, from one spanning forest."""
+    return graph.threshold_sweep(scored_edges(spark, sf), labels(spark, sf), THRESHOLDS)
+
+
+@query("SELECT vec_id AS id, unnest(range(0, len(embedding)))::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings")
+def npy_vectors(spark, sf):
+    """Vectors written as parts of .npy arrays, with their ids in front, and read back by ranges of rows."""
+    path = f"{shared_dir(spark)}/npy-{uuid.uuid4().hex}"
+    npy.write_npy(emb(spark, sf).select(F.concat(F.array(F.col("id").cast("double")), "v").alias("v")), path)
+    back = npy.read_npy(spark, path)
+    return back.select(F.col("v")[0].cast("long").alias("id"), F.posexplode(F.slice("v", 2, 1 << 30)).alias("pos", "x"))
+
+
 # --- The experiment matrix: 3 ablations, 41 baseline replicates and 10 seeds
 
 MATRIX_SEEDS = list(range(42, 52))

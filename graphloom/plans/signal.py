@@ -43,7 +43,7 @@ def edges(spark: SparkSession, sf_dir: str, least: float = 0) -> DataFrame:
 E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label, (label <= 2)::INT AS y FROM embeddings)"
 NN = E + ", nn AS (SELECT a.id, b.id AS nb, a.y, b.y AS nby, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) AS rk FROM e a JOIN e b ON a.id <> b.id)"
 PUR = NN + ", pur AS (SELECT id, y, avg((nby = y)::INT) AS knn_purity, avg(nby) AS p FROM nn WHERE rk <= 10 GROUP BY id, y), pe AS (SELECT id, y, knn_purity, (CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) + (CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END) AS knn_entropy FROM pur)"
-D = E + ", d AS (SELECT CASE a.y + b.y WHEN 2 THEN 'AD-AD' WHEN 1 THEN 'AD-control' ELSE 'control-control' END AS pair_type, round((1 - list_cosine_similarity(a.v, b.v)) * 1000000)::BIGINT AS cell FROM e a JOIN e b ON a.id < b.id)"
+D = E + ", d AS (SELECT CASE a.y + b.y WHEN 2 THEN 'AD-AD' WHEN 1 THEN 'AD-control' ELSE 'control-control' END AS pair_type, 1 - list_cosine_similarity(a.v, b.v) AS d FROM e a JOIN e b ON a.id < b.id)"
 G = """lp AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem WHERE l_partkey IN (SELECT vec_id FROM embeddings)),
 sc AS (SELECT a.p, b.p AS q, count(*) AS score FROM lp a JOIN lp b USING (l_orderkey) WHERE a.p < b.p GROUP BY a.p, b.p),
 g AS (SELECT least(p::VARCHAR, q::VARCHAR) AS src, greatest(p::VARCHAR, q::VARCHAR) AS dst, score FROM sc),
@@ -98,15 +98,15 @@ def nearest_k(spark, sf):
     return vectors.nearest(emb(spark, sf), 5).select("id", "neighbour", "rank")
 
 
-@query(f"WITH {D} SELECT pair_type, count(*) AS n_pairs, round(avg(cell) / 1000000, 6) AS mean_cosine_distance, round(median(cell) / 1000000, 7) AS median_cosine_distance FROM d GROUP BY pair_type")
+@query(f"WITH {D} SELECT pair_type, count(*) AS n_pairs, round(avg(d), 9) AS mean_cosine_distance, round(median(d), 9) AS median_cosine_distance FROM d GROUP BY pair_type")
 def pairwise_distance_summary(spark, sf):
     s = vectors.distance_summary(vectors.distance_counts(emb(spark, sf)))
-    return s.select("pair_type", "n_pairs", F.round("mean_cosine_distance", 6).alias("mean_cosine_distance"), F.round("median_cosine_distance", 7).alias("median_cosine_distance"))
+    return s.select("pair_type", "n_pairs", F.round("mean_cosine_distance", 9).alias("mean_cosine_distance"), F.round("median_cosine_distance", 9).alias("median_cosine_distance"))
 
 
 @query(
-    f"WITH {D}, r AS (SELECT pair_type, min(cell) AS lo, max(cell) AS hi, count(*) AS n_all FROM d GROUP BY pair_type) "
-    "SELECT pair_type, least(39, floor((cell - lo) * 40 / (hi - lo)))::INT AS bin, count(*) AS n, round(count(*) / (n_all * (hi - lo) / 40 / 1000000), 6) AS density FROM d JOIN r USING (pair_type) GROUP BY 1, 2, lo, hi, n_all"
+    f"WITH {D}, r AS (SELECT pair_type, min(d) AS lo, max(d) AS hi, count(*) AS n_all FROM d GROUP BY pair_type) "
+    "SELECT pair_type, least(39, floor((d - lo) * 40 / (hi - lo)))::INT AS bin, count(*) AS n, round(count(*) / (n_all * (hi - lo) / 40), 6) AS density FROM d JOIN r USING (pair_type) GROUP BY 1, 2, lo, hi, n_all"
 )
 def distance_histogram(spark, sf):
     h = vectors.histogram(vectors.distance_counts(emb(spark, sf)))

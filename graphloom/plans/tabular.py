@@ -5,12 +5,15 @@ Parts stand for genes, line items for expression samples (supplier, quantity), a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cohort, experiment, graph, models, ordered
-from ..operators.groups import stash
+from ..operators.groups import shared_dir, stash
+from ..sources.store import Store, kept_split
 from .signal import E, G, edges, emb, labels, table
 
 QUERIES, SQL = {}, {}
@@ -252,10 +255,14 @@ def stratified_split(spark, sf):
 
 @query(f"WITH {SPLIT} SELECT seed, node FROM sp WHERE is_test AND node::INT IN (SELECT l_partkey FROM lineitem)")
 def split_reuse(spark, sf):
-    """A written split, restricted to the nodes at hand."""
-    kept = stash(models.split(labels(spark, sf), SEEDS).where("is_test").select("seed", "node"), "split")
-    here = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("node"))
-    return kept.join(here, "node", "left_semi").select("seed", "node")
+    """A kept split, restricted to the nodes at hand: made at the first call, read back at the second."""
+    kept = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept_split(kept, "default", labels(spark, sf), SEEDS)
+    here = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("node")).distinct()
+    again = kept_split(kept, "default", labels(spark, sf).join(here, "node", "left_semi"), SEEDS)
+    if kept.made != len(SEEDS):
+        raise RuntimeError("a kept split was made again")
+    return again.where("is_test").select("seed", "node")
 
 
 def run_probe(spark, sf, ablations, model) -> DataFrame:

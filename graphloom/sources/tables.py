@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import na_to_null
+from .npy import BYTES, headers, read_named, read_npy
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -56,26 +57,17 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return clean(spark.read.option("header", True).option("sep", sep).csv(path))
 
 
-def read_vectors(spark: SparkSession, matrix: str, names: list[str] | None = None, rows: int = 4096) -> DataFrame:
-    """(row_idx, name, v) from a .npy matrix on a path that all executors see: tasks map their own rows; nothing passes the driver."""
-    import numpy as np
-
-    shape = np.load(matrix, mmap_mode="r").shape
-    if names is not None and len(names) != shape[0]:
-        raise ValueError(f"{len(names)} names for {shape[0]} rows")
-
-    def load(batches):
-        import pandas as pd
-
-        m = np.load(matrix, mmap_mode="r", allow_pickle=False)
-        for b in batches:
-            for k in b["id"]:
-                part = np.asarray(m[k * rows : (k + 1) * rows], dtype=np.float32)
-                yield pd.DataFrame({"row_idx": range(k * rows, k * rows + len(part)), "v": list(part)})
-
-    out = spark.range(-(-shape[0] // rows)).mapInPandas(load, "row_idx long, v array<float>")
+def read_vectors(spark: SparkSession, matrix: str, names: list[str] | str | None = None, rows: int | None = None) -> DataFrame:
+    """(row_idx, v, name) from a .npy matrix, by ranges of ``rows``. ``names``: a short list, or the path of a .npy list; without it there is no name."""
+    found = headers(matrix)
+    most = BYTES if rows is None else rows * max([h.row_bytes for h in found], default=1)
+    if isinstance(names, str):
+        return read_named(spark, matrix, names, most).select("row_idx", "v", "name")
+    out, n = read_npy(spark, matrix, most), sum(h.rows for h in found)
     if names is None:
         return out
+    if len(names) != n:
+        raise ValueError(f"{len(names)} names for {n} rows")
     return out.join(spark.createDataFrame(list(enumerate(names)), "row_idx long, name string"), "row_idx")
 
 

@@ -319,3 +319,92 @@ def test_loss_history_goes_on_from_its_weights(spark):
     last = models.loss_history(runs, models.Logistic(), 6, 2, 0.5, 1e-3).collect()[-1]
     once = models.loss_history(runs, models.Logistic(), 6, 6, 0.5, 1e-3).collect()[-1]
     assert tuple(last) == pytest.approx(tuple(once))
+
+
+def test_distances_are_exact(spark):
+    """Mean, median and bins of all pairs against numpy; three blocks, equal rows, and fine bins few enough to need several passes."""
+    rng = np.random.default_rng(8)
+    m = np.vstack([rng.normal(size=(30, 3)), np.ones((6, 3)), np.zeros((2, 3))])
+    y = rng.integers(0, 2, len(m))
+    v = frame(spark, [(f"g{i:02d}", r.tolist(), int(k)) for i, (r, k) in enumerate(zip(m, y))], "id string, v array<double>, y int")
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    i, j = np.triu_indices(len(m), 1)
+    d, kind = (1 - u @ u.T)[i, j], y[i] + y[j]
+    pairs = vectors.distance_counts(v, block=15)
+    got = {r["pair_type"]: r for r in vectors.distance_summary(pairs).collect()}
+    bins = {(r["pair_type"], r["bin"]): (r["n"], r["density"]) for r in vectors.histogram(pairs, 7).collect()}
+    for k, name in enumerate(vectors.KINDS):
+        x = d[kind == k]
+        assert got[name]["n_pairs"] == len(x)
+        assert (got[name]["mean_cosine_distance"], got[name]["median_cosine_distance"]) == pytest.approx((x.mean(), np.median(x)), abs=1e-12)
+        n, density = np.histogram(x, 7)[0], np.histogram(x, 7, density=True)[0]
+        assert {b: bins[name, b][0] for b in range(7) if (name, b) in bins} == {b: c for b, c in enumerate(n) if c}
+        assert all(bins[name, b][1] == pytest.approx(density[b]) for b, c in enumerate(n) if c)
+
+
+def test_order_statistics_by_few_bins(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FINE", 3)
+    v = frame(spark, [(i, [1.0, float(i)], 0) for i in range(9)], "id long, v array<double>, y int")
+    m = np.array([[1.0, i] for i in range(9)])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    i, j = np.triu_indices(9, 1)
+    d = np.sort((1 - u @ u.T)[i, j])
+    got = vectors.Distances(v, 4).at_ranks([(0, r) for r in (0, 17, 35)])
+    assert [got[0, r] for r in (0, 17, 35)] == pytest.approx([d[0], d[17], d[35]], abs=1e-15)
+
+
+def test_nearest_of_text_ids(spark):
+    v = frame(spark, [("BRCA1", [1.0, 0.0]), ("APP", [1.0, 0.1]), ("APOE", [0.0, 1.0])], "id string, v array<double>")
+    assert [(r["neighbour"], r["rank"]) for r in vectors.nearest(v, 2, block=2).where("id = 'BRCA1'").orderBy("rank").collect()] == [("APP", 1), ("APOE", 2)]
+
+
+def test_adjusted_p_values_are_those_of_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, float(rng.choice([rng.random(), 0.01, 0.5]))) for i in range(120)] + [(200, "a", None), (201, "b", float("nan")), (202, "c", 1.0)]
+    got = {r["id"]: (r["rank"], r["n_tests"], r["q"]) for r in ordered.fdr(frame(spark, rows, "id int, fam string, p double"), "p", "id", ["fam"]).collect()}
+    want = {200: (None, None, None), 201: (None, None, None)}
+    for fam in ("a", "b", "c", None):
+        own = sorted((p, i) for i, f, p in rows if f == fam and p is not None and p == p)
+        least = 1.0
+        for k in range(len(own), 0, -1):
+            least = min(least, own[k - 1][0] * len(own) / k)
+            want[own[k - 1][1]] = (k, len(own), pytest.approx(least))
+    assert got == want
+    assert ordered.fdr(frame(spark, [(i, p) for i, _, p in rows[:9]], "id int, p double"), "p", "id").count() == 9
+
+
+def test_running_aggregates_within_keys(spark):
+    rows = [(k, i, float((i * 7) % 11)) for k in ("a", None, "b") for i in range(40)]
+    got = ordered.running(frame(spark, rows, "k string, i int, x double"), [F.col("i")], {"s": ("sum", F.col("x")), "lo": ("min", F.col("x")), "hi": ("max", F.col("x"))}, ["k"])
+    for r in got.collect():
+        own = [float((i * 7) % 11) for i in range(r["i"] + 1)]
+        assert (r["s"], r["lo"], r["hi"]) == (sum(own), min(own), max(own))
+
+
+def test_spanning_forest_and_sweep(spark):
+    """Weight of the forest against Kruskal's, and components at every threshold against a search; equal scores, repeated edges, loops."""
+    rng = np.random.default_rng(3)
+    rows = [(f"n{a}", f"n{b}", int(s)) for a, b, s in zip(rng.integers(0, 30, 70), rng.integers(0, 30, 70), rng.integers(1, 5, 70))] + [("n1", "n1", 9), ("n2", None, 3), ("x", "y", 2)]
+    edges = frame(spark, rows, "src string, dst string, score int")
+    root = {n: n for r in rows for n in r[:2] if n}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    want = []
+    for a, b, s in sorted((r for r in rows if r[1] and r[0] != r[1]), key=lambda r: -r[2]):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append(s)
+    forest = graph.spanning_forest(edges).collect()
+    assert sorted(r["score"] for r in forest) == sorted(want)
+    labels = frame(spark, [(f"n{i}", int(i % 5 > 0)) for i in range(30)], "node string, y int")
+    got = {r["threshold"]: (r["n_components"], r["lcc"]) for r in graph.threshold_sweep(edges, labels, [1, 2, 3, 4, 9]).collect()}
+    for t in (1, 2, 3, 4, 9):
+        kept = edges.where(F.col("score") >= t).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        assert got[t][1] == graph.largest_component(kept, labels).first()["lcc"]
+    assert got[9] == (24, 1)
+    none = graph.threshold_sweep(edges.where("score > 99"), labels.where("y = 0"), [1]).first()
+    assert (none["n_components"], none["lcc"]) == (0, 0)
