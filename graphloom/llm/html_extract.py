@@ -4,9 +4,10 @@ A page is cut into blocks at block-level tags. The first pass labels blocks by c
 stop-word density; short blocks, and long ones of an article that the words don't decide, stay open. The second pass gives
 an open block the label of its nearest decided neighbours within its region (an article, or what is outside of articles).
 
-What is outside of articles goes only if the articles hold at least as many words of good blocks; else they are mere parts
-of the page, such as cards of a list, and only blocks of their own merit stay. Stop words are those of four languages.
-Text in other scripts than Latin is decided by its length and links alone.
+What is outside of an article goes. Several articles that hold fewer words of good blocks than the rest, or one that holds none, are mere parts of the
+page, such as cards of a list, and only blocks of their own merit stay. An article in another, or one whose marks say so, may be a reader's comment. Stop words are those of
+four languages. Where they decide for no block of a page, as in other languages or on short pages, blocks that neither marks nor links speak against are
+its text. Text in other scripts than Latin is decided by its length and links alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import filled_id, true_id
 
-# Frequent function words.
+# Frequent function words.
 STOP_WORDS = frozenset(
     # English
     "the of and to in is that it for was on are as with be by this at from or an have not but had his they you which were all we there can "
@@ -45,19 +46,27 @@ HOLDERS_NOT = frozenset("p h1 h2 h3 h4 h5 h6 caption dd dt figcaption legend opt
 # Elements that hold no main text; the last two do inside an article.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button label fieldset head".split())
 OUTER_TAGS = frozenset("header".split())
-# Words of class and id attributes that mark boilerplate; the last ones only outside of articles.
+# Words of class and id attributes that mark boilerplate; the last ones only outside of articles.
 BOILER_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent notice notices banner popup modal comment comments reply replies respond disqus share sharing social related newsletter subscribe signup login form pagination pager widget".split()
+    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent notice notices banner popup modal comment comments reply replies respond disqus review reviews share sharing social related newsletter subscribe signup login form pagination pager widget".split()
 )
 OUTER_WORDS = frozenset("header masthead top".split())
-# Those of them that name a subject as well, as in share-price. In an article, long blocks there decide themselves.
+# Those of them that name a subject as well, as in share-price. In an article, long blocks there decide themselves, unless the name has nothing but such
+# words and those of mere layout.
 SUBJECT_WORDS = frozenset("share sharing social related form pager login promotion widget".split())
+LAYOUT_WORDS = frozenset("post posts article articles story stories link links list box block wrapper wrap container section bar button buttons item items icons area inner outer row col".split())
+# Those that mark readers' comments, also on an article.
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus review reviews".split())
 
 #: A quote counts in a tag only after an equals sign; elsewhere it is a character like others.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?/][^>]*>", re.S | re.I
 )
 ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+UNSEEN = re.compile(r"(?<![\w-])(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)display\s*:\s*none)", re.I)
 LINK = re.compile(r"(?<![\w-])href\s*=", re.I)
 OTHER_SCRIPT = re.compile(r"[^\x00-\u02af\u1e00-\u2bff]+")
 EDGE = re.compile(r"^\W+|\W+$")
@@ -91,13 +100,19 @@ class Element:
 OUTSIDE = Element("", False, 0, 0, False)
 
 
-def marks_of(name: str, attributes: str, region: int) -> tuple[bool, bool]:
-    """Whether an element's tag and words mark boilerplate, and whether they may name a subject in place of it."""
+def marks_of(name: str, attributes: str, region: int, outermost: bool = False) -> tuple[bool, bool]:
+    """Whether an element's tag and words mark boilerplate, and whether they may name a subject in place of it. ``outermost``: an article or main in no other."""
     sure, subject = name in BOILER_TAGS or not region and name in OUTER_TAGS, False
-    if attributes and name not in ("html", "body", "article", "main"):
-        words = {w for x in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())}
-        sure |= bool(words & (BOILER_WORDS - SUBJECT_WORDS)) or not region and bool(words & OUTER_WORDS)
-        subject = bool(words & SUBJECT_WORDS)
+    if attributes and name not in ("html", "body"):
+        names = [[w.lower() for w in NAME_WORD.findall(part)] for x in ATTRIBUTE.finditer(attributes) for part in (x[1] or x[2] or x[3] or "").split()]
+        words = {w for own in names for w in own}
+        if outermost:
+            sure |= bool(words & COMMENT_WORDS)
+        else:
+            plain = any(set(own) & SUBJECT_WORDS and set(own) <= SUBJECT_WORDS | LAYOUT_WORDS for own in names)
+            sure |= plain or bool(words & (BOILER_WORDS - SUBJECT_WORDS)) or not region and bool(words & OUTER_WORDS)
+            subject = bool(words & SUBJECT_WORDS)
+        sure |= bool(UNSEEN.search(attributes) or HIDDEN.search(QUOTED.sub("", attributes)))
     return sure, subject
 
 
@@ -156,10 +171,11 @@ def blocks(page: str) -> list[Block]:
                 continue
             e = stack[-1]
             region = e.region
-            if name in ("article", "main") and not region:
+            outermost = name in ("article", "main") and not region
+            if outermost:
                 articles += 1
                 region = articles
-            sure, subject = marks_of(name, m[4], region)
+            sure, subject = marks_of(name, m[4], region, outermost)
             opened += 1
             stack.append(Element(name, e.boiler or sure, region, e.parent if name in HOLDERS_NOT else opened, e.subject or subject))
             open_names[name] += 1
@@ -182,8 +198,10 @@ def size(text: str) -> int:
 def merit(b: Block) -> tuple[int, int]:
     """Size and label of a block by its links, length and words."""
     n = size(b.text)
-    if b.linked > MAX_LINKS * n or b.boiler and not (b.subject and b.region):
+    if b.boiler and not (b.subject and b.region):
         return n, BAD
+    if b.linked > MAX_LINKS * n:
+        return n, OPEN if b.region and n >= LONG else BAD
     if n < LONG:
         return n, BAD if b.boiler else OPEN
     if other_letters(b.text):
@@ -196,16 +214,23 @@ def merit(b: Block) -> tuple[int, int]:
 
 
 def first_pass(own: list[Block]) -> list[int]:
-    """Labels of blocks by themselves. Articles stand for all of the main text if they hold at least as many words of good blocks as the rest."""
+    """Labels of blocks by themselves. Articles stand for all of the main text, unless they hold fewer words of good blocks than the rest, and are several or hold none."""
     found = [merit(b) for b in own]
     inside, outside = (sum(n for b, (n, label) in zip(own, found) if label == GOOD and (b.region > 0) == side) for side in (True, False))
-    if inside < outside:  # mere parts of the page
+    articles = {b.region for b in own if b.region and not b.boiler}
+    if inside < outside and (len(articles) > 1 or not inside):  # mere parts
         for b in own:
             b.region = 0
         found = [merit(b) for b in own]
-    elif any(b.region and not b.boiler for b in own):
-        return [label if b.region else BAD for b, (_, label) in zip(own, found)]
-    return [label for _, label in found]
+        articles = set()
+    labels = [label if b.region or not articles else BAD for b, (_, label) in zip(own, found)]
+    if GOOD not in labels:  # words decide nothing: what nothing speaks against, long blocks first
+        free = [not b.boiler and b.linked <= MAX_LINKS * n and (b.region > 0 or not articles) for b, (n, _) in zip(own, found)]
+        long = [ok and n >= LONG for ok, (n, _) in zip(free, found)]
+        keep = long if any(long) else free
+        if sum(n for ok, (n, _) in zip(keep, found) if ok) > 1:  # a single word is no text
+            labels = [GOOD if ok else label for ok, label in zip(keep, labels)]
+    return labels
 
 
 def second_pass(own: list[Block], labels: list[int]) -> list[int]:

@@ -1,6 +1,7 @@
 """Each operator on a fixture of awkward rows, against a plain version in Python, and its docstring's special cases."""
 
 import hashlib
+import random
 import re
 import string
 import zlib
@@ -576,3 +577,66 @@ def test_line_dedup_finds_every_pair_within_the_edit_limit(spark):
     want = {k for k in range(len(lines)) if u.find(k) == k}
     df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in line_dedup.line_dedup(df).where("n_dropped = 0").collect()} == want
+
+
+CAT = "The cat is on the roof of the house and it looks at the moon."
+GATTO = "Il gatto guarda la luna che sorge lenta sopra i campi mentre tutti dormono."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p>{CAT}</p><article class='comment-body'><p>{CAT}</p></article></article>", CAT),
+        (f"<article><p>{CAT}</p></article><article class='comment'><p>{CAT} {CAT} {CAT}</p></article>", CAT),
+        (f"<article><p>{CAT}</p></article><div class='reviews'><p>{CAT} {CAT}</p></div>", CAT),
+        (f"<article><p>{CAT}</p></article><div class='x'><p>{CAT} {CAT}</p></div>", CAT),
+        (f"<article><p>{CAT}</p><div class='related'><p>{CAT}</p></div><form-x class='login form'>a</form-x></article>", f"{CAT} a"),
+        (f"<article><p>{CAT}</p><div class='login form'><p>{CAT}</p></div><p class='share-price'>{CAT}</p></article>", f"{CAT} {CAT}"),
+        (f"<div class='siteFooter'>{CAT}</div><p>{CAT}</p><div id=cookieBanner>{CAT}</div>", CAT),
+        (f"<p hidden>{CAT}</p><p style='color: red; display:none'>{CAT}</p><p aria-hidden=true>{CAT}</p><p title='hidden display:none'>{CAT}</p>", CAT),
+        (f"<div><p>{GATTO}</p><p>{GATTO}</p></div><nav>{GATTO}</nav><p><a href=x>{GATTO}</a></p>", f"{GATTO} {GATTO}"),
+        ("<body><p>Hello world</p></body>", "Hello world"),
+        (f"<article><p>{CAT}</p><p><a href=x>{CAT}</a></p></article>", f"{CAT} {CAT}"),
+    ],
+)
+def test_html_marks_and_pages_without_stop_words(page, want):
+    assert html_extract.main_text(page) == want
+
+
+#: Two paragraphs each; the last two languages share no word with the stop words.
+SPOKEN = {
+    "en": "The wind came over the hills and it was cold in all of the rooms of the old house.",
+    "de": "Der Wind kam über die Berge und es war kalt in allen Zimmern von dem alten Haus.",
+    "fr": "Le vent est venu sur les collines et il fait froid dans toutes les chambres de la maison.",
+    "es": "El viento bajó por las colinas y era una noche muy fría en todas las casas del pueblo.",
+    "it": "Vento freddo scende dalle colline mentre nessuno nelle case riesce ancora a dormire bene stanotte.",
+    "pl": "Zimny wiatr wieje znad gór, dlatego wszyscy mieszkańcy siedzą dzisiaj wieczorem cicho przy piecach.",
+    "fi": "Kylmä tuuli puhaltaa vuorilta, joten kaikki kylän asukkaat istuvat tänään hiljaa uuniensa ääressä.",
+}
+PARTS = {"nav": "<nav><a href=a>{0}</a></nav>", "footer": "<footer>{0}</footer>", "aside": "<aside><p>{0}</p></aside>", "ad": "<div class='ad-slot'><p>{0}</p></div>", "form": "<form><label>{0}</label></form>", "comments": "<section id=comments><article class=comment><p>{0}</p></article></section>"}
+PARTS |= {"links": "<ul><li><a href=a>One two</a></li><li><a href=b>Three</a></li></ul>", "script": "<script>var a = '<p>{0}</p>';</script>", "hidden": "<div hidden>{0}</div>", "notice": "<div class=cookieNotice>{0}</div>"}
+
+
+def test_html_pages_built_from_known_parts():
+    """Random pages of seven languages: paragraphs in an article, a main, or a div, among boilerplate before, between and after."""
+    rng = random.Random(12)
+    hit = found = wanted = 0
+    for _ in range(600):
+        own = rng.choice(list(SPOKEN.values())).split()
+        sentence = lambda own=own: " ".join(rng.sample(own, len(own)))
+        text = [sentence() for _ in range(rng.randint(1, 5))]
+        boiler = lambda k, sentence=sentence: "".join(PARTS[p].format(sentence()) for p in rng.sample(list(PARTS), k))
+        holder = rng.choice(["article", "main", "div"])
+        body = boiler(rng.randint(0, 2)).join(f"<p>{t}</p>" for t in text) if holder != "div" else "".join(f"<p>{t}</p>" for t in text)
+        got = html_extract.main_text(f"<html><body>{boiler(3)}<{holder}>{body}</{holder}>{boiler(3)}</body></html>").split()
+        want = " ".join(text).split()
+        hit += sum((Counter(got) & Counter(want)).values())
+        found, wanted = found + len(got), wanted + len(want)
+    assert hit / found >= 0.98 and hit / wanted >= 0.98
+
+
+def test_numerals_are_no_letters(spark):
+    """A text of digits, fractions and Roman numeral signs has no language."""
+    rows = [(i, f"{SPOKEN['en' if i % 2 else 'de']} {i}", "en" if i % 2 else "de") for i in range(12)] + [(100, "\u00b2 \u00bd \u2167 12 _ \u0663", "en"), (101, "\u2167 a", "en")]
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == "und" and got[101] != "und"
