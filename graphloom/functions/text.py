@@ -35,6 +35,16 @@ def accession_of_name(c: Column, pattern: str = "AF-([A-Z0-9]+)-F1") -> Column:
     return F.nullif(F.upper(F.regexp_extract(c, pattern, 1)), F.lit(""))
 
 
+def file_name(c: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(c, "/", -1)
+
+
+def file_stem(c: Column) -> Column:
+    """The file name without what follows its last point."""
+    return F.regexp_replace(file_name(c), r"(?<=.)\.[^.]*$", "")
+
+
 def region(main: Column, sub: Column, acronym: Column, fix_case: bool = False) -> Column:
     """Region of a sample: hippocampus, entorhinal, temporal or null, in this order of priority.
 

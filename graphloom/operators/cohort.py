@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import accession_of_name, first_accession, is_positive, nan_to_null, normal_id
+from ..sources.tables import require_rows
 from .matching import matched
 from .ordered import keep_first, zscore
 from .vectors import mean_vectors
@@ -17,22 +18,28 @@ def gene_set(genes: DataFrame, column: str) -> DataFrame:
 
 
 def region_expression(samples: DataFrame) -> DataFrame:
-    """(gene, region, expr, global_mean): mean of a gene's samples in each region; the mean of its region means, equally weighted."""
-    per = samples.where("region is not null").groupBy("gene", "region").agg(F.avg(F.nanvl("tpm", F.lit(None).cast("double"))).alias("expr"))
+    """(gene, region, expr, global_mean): mean of a gene's samples in each region; the mean of its region means, equally weighted.
+    It is an error if no sample has a region."""
+    per = require_rows(samples.where("region is not null"), "sample has a region").groupBy("gene", "region").agg(F.avg(F.nanvl("tpm", F.lit(None).cast("double"))).alias("expr"))
     return per.withColumn("global_mean", F.avg("expr").over(Window.partitionBy("gene")))  # a gene has a row per region
 
 
-def integrated_scores(regions: DataFrame) -> DataFrame:
+def integrated_scores(regions: DataFrame, network: DataFrame | None = None) -> DataFrame:
     """(gene, integrated_score): 0.7 of the z-score of expression and 0.3 of that of specificity, by region, averaged over regions.
 
     Specificity is expression less the mean of the gene's other regions; with a single region it is unknown, and its z-score 0.
+    With ``network`` (gene, value) it is 0.4 and 0.3, and 0.3 of the z-score of the value over the genes that have one; that of the others is 0.
     """
     g = Window.partitionBy("gene")
     n = F.count("expr").over(g)
     spec = F.when(n > 1, F.col("expr") - (F.sum("expr").over(g) - F.col("expr")) / (n - 1))
     z = zscore(zscore(regions.withColumn("spec", spec), "expr", "z_expr", ["region"]), "spec", "z_spec", ["region"])
-    fused = 0.7 * F.col("z_expr") + 0.3 * F.coalesce("z_spec", F.lit(0.0))
-    return z.groupBy("gene").agg(F.avg(fused).alias("integrated_score"))
+    expr, other = F.col("z_expr"), F.coalesce("z_spec", F.lit(0.0))
+    if network is None:
+        return z.groupBy("gene").agg(F.avg(0.7 * expr + 0.3 * other).alias("integrated_score"))
+    own = z.groupBy("gene").agg(F.avg(0.4 * expr + 0.3 * other).alias("own"))
+    known = zscore(network.where("value is not null").join(own.select("gene"), "gene", "left_semi"), "value", "z")
+    return own.join(known.select("gene", "z"), "gene", "left").select("gene", (F.col("own") + 0.3 * F.coalesce("z", F.lit(0.0))).alias("integrated_score"))
 
 
 def matched_greedy(features: DataFrame, per_case: int, stratum: str | None = "stratum") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
@@ -94,6 +94,17 @@ def run_id(runs: DataFrame) -> DataFrame:
     return runs.withColumn("run_id", F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in runs.columns]), 256), 1, 12))
 
 
+def canonical(columns: list[str]) -> Column:
+    """The row's columns as JSON with sorted names and the separators of ``json.dumps``, of which ``stable_hash`` is the hash; texts of ASCII."""
+    parts = [F.concat(F.lit(json.dumps(c) + ": "), F.regexp_replace(F.to_json(F.array(F.col(c))), r"^\[|\]$", "")) for c in sorted(columns)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def signature_id(runs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Add run_id: ``stable_hash`` of each row as a dictionary of its columns."""
+    return runs.withColumn("run_id", F.substring(F.sha2(canonical(columns or runs.columns), 256), 1, 12))
+
+
 def wide_hops(significance: DataFrame, key: str) -> DataFrame:
     """One row for each key: hops_<metric>_k<k>_delta and _pvalue_right."""
     name = lambda end: F.concat(F.lit("hops_"), "metric", F.lit("_k"), F.col("k").cast("string"), F.lit(end))

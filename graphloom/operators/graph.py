@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nan_to_null, normal_id
 from .groups import components, discard, stash
-from .ordered import qcut, running_sums
+from .ordered import qcut, running, running_sums
 
 CLASSES = ["ad_ad_edges", "ad_control_edges", "control_control_edges"]
 
@@ -180,6 +180,11 @@ def shortest_paths_by(edges: DataFrame, labels: DataFrame, by: list[str]) -> Dat
     return keys.join(means, "idx").select(*by, F.col("mean_shortest_path").alias("mean_ad_shortest_path"))
 
 
+def nodes_by_class(labels: DataFrame) -> DataFrame:
+    """(y, rank, node): the nodes of each class in the order of their ids."""
+    return running(labels.select("y", "node"), [F.col("node")], {"rank": ("sum", F.lit(1))}, ["y"])
+
+
 def within_graph(labels: DataFrame, edges: DataFrame, least: int = 20) -> DataFrame:
     """The labelled nodes that the graph has; an error if there are fewer than ``least``."""
     found = stash(labels.join(adjacency(edges).select(F.col("u").alias("node")), "node", "left_semi"), "labels")

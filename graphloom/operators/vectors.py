@@ -76,6 +76,15 @@ def purity(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("id", "y", "knn_purity", binary_entropy(F.col("p")).alias("knn_entropy"))
 
 
+def purity_sweep(neighbours: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, id, y, knn_purity, knn_entropy) for several k, from neighbours ranked once to the largest."""
+    each = neighbours.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))))
+    nb = labels.select(F.col("id").alias("neighbour"), F.col("y").alias("ny"))
+    g = each.join(nb, "neighbour").join(labels, "id").groupBy("k", "id", "y")
+    out = g.agg(F.avg((F.col("ny") == F.col("y")).cast("int")).alias("knn_purity"), F.avg("ny").alias("p"))
+    return out.select("k", "id", "y", "knn_purity", binary_entropy(F.col("p")).alias("knn_entropy"))
+
+
 #: Classes of pairs by how many of the two are positive, and bins of a pass in the search for an order statistic.
 KINDS, FINE = ("control-control", "AD-control", "AD-AD"), 4096
 

@@ -141,7 +141,8 @@ def prediction_table(spark, sf):
     rows = emb(spark, sf)
     runs = stash(models.scaled(models.runs_of(rows.select("id", "v"), models.split(rows.select(F.col("id").alias("node"), "y"), SEEDS), ("embedding",))), "runs")
     p = models.predictions(runs, models.FeedForward(), models.descend(runs, models.FeedForward(), EPOCHS, RATE, L2))
-    return models.held_out_predictions(p, rows.select("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("uniprot_accession"), "label"))
+    scores = cohort.integrated_scores(expression(spark, sf)).withColumnRenamed("gene", "id")
+    return models.held_out_predictions(p, rows.select("id", F.concat(F.lit("P"), F.col("id").cast("string")).alias("uniprot_accession"), "label").join(scores, "id", "left"))
 
 
 @query(

@@ -93,6 +93,20 @@ def knn_summary_by_label(spark, sf):
     return p.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("knn_purity"), 9).alias("mean_purity"), F.round(F.avg("knn_entropy"), 9).alias("mean_entropy"))
 
 
+KS = [10, 25, 50]
+
+
+@query(
+    f"WITH {NN}, s AS (SELECT k, id, y, avg((nby = y)::INT) AS pu, avg(nby) AS p FROM nn, (SELECT unnest({KS}) AS k) WHERE rk <= k GROUP BY ALL) SELECT k, y, count(*) AS n, round(avg(pu), 9) AS mean_purity, "
+    "round(avg((CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) + (CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END)), 9) AS mean_entropy FROM s GROUP BY k, y"
+)
+def knn_k_sweep(spark, sf):
+    """Purity and entropy by label for several numbers of neighbours."""
+    e = emb(spark, sf)
+    p = vectors.purity_sweep(vectors.nearest(e, max(KS)), e.select("id", "y"), KS)
+    return p.groupBy("k", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("knn_purity"), 9).alias("mean_purity"), F.round(F.avg("knn_entropy"), 9).alias("mean_entropy"))
+
+
 @query(f"WITH {NN} SELECT id, nb AS neighbour, rk AS rank FROM nn WHERE rk <= 5")
 def nearest_k(spark, sf):
     return vectors.nearest(emb(spark, sf), 5).select("id", "neighbour", "rank")

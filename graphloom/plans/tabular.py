@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cohort, experiment, graph, models, ordered
+from ..operators import cohort, coverage, experiment, graph, models, ordered
 from ..operators.groups import shared_dir, stash
 from ..sources.store import Store, kept_split
 from .signal import E, G, edges, emb, labels, table
@@ -300,27 +300,36 @@ def loss_history(spark, sf):
     return models.loss_history(runs, models.FeedForward(), EPOCHS, 1, RATE, L2)
 
 
-MATRIX = """SELECT cohort, ablation, b.baseline AS baseline, replicate::INT AS replicate, seed FROM (SELECT unnest(['default']) AS cohort), (SELECT unnest(['embedding', 'random_embedding', 'label_shuffle']) AS ablation),
+MATRIX = """SELECT cohort, ablation, b.baseline AS baseline, replicate::INT AS replicate, seed FROM (SELECT r_name AS cohort FROM region), (SELECT unnest(['embedding', 'random_embedding', 'label_shuffle']) AS ablation),
 (VALUES ('observed_ad', 1), ('permute_labels', 20), ('random_matched_set', 20)) b(baseline, n), range(0, 20) r(replicate), (SELECT unnest([42, 43, 44, 45, 46, 47, 48, 49, 50, 51])::INT AS seed) WHERE replicate < n"""
 
 
-def runs(spark) -> DataFrame:
-    return experiment.matrix(spark, ["default"], ["embedding", "random_embedding", "label_shuffle"], [("observed_ad", 5), ("permute_labels", 20), ("random_matched_set", 20)], list(range(42, 52)))
+def runs(spark, sf) -> DataFrame:
+    """The matrix of a cohort for each region."""
+    cohorts = sorted(r["r_name"] for r in table(spark, sf, "region").select("r_name").distinct().collect())  # a configuration's
+    return experiment.matrix(spark, cohorts, ["embedding", "random_embedding", "label_shuffle"], [("observed_ad", 5), ("permute_labels", 20), ("random_matched_set", 20)], list(range(42, 52)))
 
 
 @query(MATRIX)
 def experiment_matrix(spark, sf):
-    return runs(spark)
+    return runs(spark, sf)
 
 
 @query(f"SELECT *, substr(sha256(cohort || '|' || ablation || '|' || baseline || '|' || replicate || '|' || seed), 1, 12) AS run_id FROM ({MATRIX})")
 def run_ids(spark, sf):
-    return experiment.run_id(runs(spark))
+    return experiment.run_id(runs(spark, sf))
+
+
+@query(
+    "SELECT n_nationkey, n_name, n_regionkey, substr(sha256(concat('{\"n_name\": \"', n_name, '\", \"n_nationkey\": ', n_nationkey, ', \"n_regionkey\": ', n_regionkey, '}')), 1, 12) AS run_id FROM nation"
+)
+def signature_ids(spark, sf):
+    return experiment.signature_id(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
 @query(f"SELECT DISTINCT cohort, baseline, replicate, seed FROM ({MATRIX})")
 def distinct_label_sets(spark, sf):
-    return experiment.label_sets(runs(spark))
+    return experiment.label_sets(runs(spark, sf))
 
 
 @query(f"WITH {G}, h AS (SELECT node, y, md5('4200001:0:' || node) AS h FROM lab), a AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM h), b AS (SELECT y, row_number() OVER (ORDER BY h, node) AS k FROM h) SELECT node, y FROM a JOIN b USING (k)")
@@ -363,3 +372,54 @@ def summary_pivot(spark, sf):
 @query()
 def file_manifest(spark, sf):
     return experiment.file_manifest(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "sha256")
+
+
+@query("SELECT DISTINCT upper(trim(split_part(p_name, ' ', 1))) AS gene_symbol FROM part WHERE p_size % 5 > 0")
+def gene_set(spark, sf):
+    """Distinct symbols, some rows being empty or missing."""
+    word = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit(" "), F.split("p_name", " ")[0])).when(F.col("p_size") % 2 > 0, F.lit("  "))
+    return cohort.gene_set(table(spark, sf, "part").select(word.alias("symbol")), "symbol")
+
+
+@query("SELECT event_id, greatest(value - 50, 0) AS x FROM events")
+def relu_values(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.relu(F.col("value") - 50).alias("x"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '[^/]*$') AS name, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1') AS stem FROM pages WHERE url IS NOT NULL")
+def path_parts(spark, sf):
+    p = table(spark, sf, "pages").where("url is not null")
+    return p.select("page_id", text.file_name(F.col("url")).alias("name"), text.file_stem(F.col("url")).alias("stem"))
+
+
+@query(f"WITH {G} SELECT y, row_number() OVER (PARTITION BY y ORDER BY node) AS rank, node FROM lab")
+def nodes_by_class(spark, sf):
+    return graph.nodes_by_class(labels(spark, sf))
+
+
+SCORE3 = SCORE.replace("avg(0.7 * ze + 0.3 * zs)", "avg(0.4 * ze + 0.3 * zs)")
+
+
+@query(
+    f"WITH {SCORE3}, net AS (SELECT l_partkey AS gene, count(*)::DOUBLE AS v FROM lineitem WHERE l_partkey IN (SELECT gene FROM iscore) AND l_partkey % 7 > 0 GROUP BY 1), "
+    "nz AS (SELECT gene, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM net) SELECT gene, round(s + 0.3 * coalesce(z, 0), 7) AS integrated_score FROM iscore LEFT JOIN nz USING (gene)"
+)
+def integrated_score_network(spark, sf):
+    """The score of three terms; a seventh of the genes has no place in the network."""
+    net = table(spark, sf, "lineitem").where("l_partkey % 7 > 0").groupBy(F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return cohort.integrated_scores(expression(spark, sf), net).select("gene", F.round("integrated_score", 7).alias("integrated_score"))
+
+
+COVER = 20
+
+
+@query(
+    "WITH RECURSIVE pr AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS i FROM lineitem WHERE l_quantity >= 30 AND l_discount <= 0.05), "
+    "pick(rank, candidate, gain, own) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, []::BIGINT[] UNION ALL "
+    "SELECT p.rank + 1, b.c, b.n, list_concat(p.own, b.items) FROM pick p, LATERAL (SELECT c, count(*) AS n, list(i) AS items FROM pr WHERE NOT list_contains(p.own, i) GROUP BY c ORDER BY n DESC, c LIMIT 1) b "
+    f"WHERE p.rank < {COVER}) SELECT rank, candidate, gain, len(own)::BIGINT AS covered FROM pick WHERE rank > 0"
+)
+def coverage_ranking(spark, sf):
+    """The suppliers that cover most parts, with items of a large quantity and small discount."""
+    li = table(spark, sf, "lineitem").where("l_quantity >= 30 and l_discount <= 0.05")
+    return coverage.coverage(li.select(F.col("l_suppkey").alias("candidate"), F.col("l_partkey").alias("item")), COVER)

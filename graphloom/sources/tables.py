@@ -37,12 +37,15 @@ def read_text_table(spark: SparkSession, path: str, schema: str, sep: str = ",",
 
 
 def read_wide(spark: SparkSession, path: str, names: list[str], key: str = "gene_symbol") -> DataFrame:
-    """A headerless matrix, a row for each key and a column for each of ``names``, as (key, sample_name, tpm). Widths are checked."""
+    """A headerless matrix, a row for each key and a column for each of ``names``, as (key, sample_name, tpm). Cells may be quoted; cells that are no numbers
+    are null. The width of the first row is checked at once, that of the others when they are read; a row of another width is an error."""
     first = spark.read.text(path).first()
     if first is not None and len(next(csv.reader([first[0]]))) != len(names) + 1:
         raise ValueError(f"expected {len(names) + 1} columns")
-    whole = spark.read.text(path).select(F.split("value", ",", 2).alias("p")).select(F.trim(F.col("p")[0]).alias(key), F.col("p")[1].alias("values"))
-    cells = whole.select(key, F.posexplode(F.split("values", ",")).alias("pos", "tpm"))
+    columns = [f"c{k}" for k in range(len(names) + 1)]
+    rows = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("mode", "FAILFAST").option("escape", '"').csv(path)
+    # All columns are asked for, as widths are only checked of rows that are parsed whole.
+    cells = rows.select(F.trim("c0").alias(key), F.posexplode(F.array(*columns[1:])).alias("pos", "tpm"))
     samples = F.array(*[F.lit(n) for n in names])
     return cells.select(key, F.get(samples, F.col("pos")).alias("sample_name"), F.col("tpm").try_cast("double").alias("tpm"))
 
@@ -54,7 +57,8 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     if not stem.endswith((".tsv", ".txt")):
         head = spark.read.text(path).first()
         sep = csv.Sniffer().sniff(head[0], delimiters=",;\t |").delimiter if head else ","
-    return clean(spark.read.option("header", True).option("sep", sep).csv(path))
+    out = clean(spark.read.option("header", True).option("sep", sep).csv(path))
+    return out.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else out  # one task reads a compressed file
 
 
 def read_vectors(spark: SparkSession, matrix: str, names: list[str] | str | None = None, rows: int | None = None) -> DataFrame:
@@ -100,8 +104,41 @@ def read_config(path: str) -> dict:
     return cfg
 
 
+def _exists(path: str) -> bool:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return os.path.exists(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def missing_inputs(paths: list[str]) -> list[str]:
-    return [p for p in paths if not os.path.exists(p)]
+    """Those of the paths, in any store that Spark reads, where nothing is."""
+    return [p for p in paths if not _exists(p)]
+
+
+def first_existing(paths: list[str]) -> str:
+    """The first path where something is; an error that names all of them if nothing is anywhere."""
+    for p in paths:
+        if _exists(p):
+            return p
+    raise FileNotFoundError("none of these exists: " + ", ".join(paths))
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def snapshot_config(spark: SparkSession, cfg: dict, path: str) -> None:
+    """Write a configuration as it was used: JSON, which YAML readers take too, in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray((json.dumps(cfg, indent=2) + "\n").encode()))
+    finally:
+        out.close()
 
 
 def parse_ints(text: str) -> list[int]:
