@@ -15,30 +15,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import binary_entropy
 
-#: Rows of a block, and decimals to which similarities are compared, so that ties don't hang on the order of summation.
-BLOCK, DECIMALS = 2000, 9
+#: Bytes of a block's vectors, cells of a product that are held at a time, rows below which a block isn't divided, parts that are asked for at least.
+BLOCK_BYTES, CELLS, FEW, PARTS = 32 << 20, 4 << 20, 250, 8
+#: Decimals to which similarities are compared, so that ties don't hang on the order of summation.
+DECIMALS = 9
 
 
-def _blocks(vectors: DataFrame, block: int) -> DataFrame:
+def _block_rows(vectors: DataFrame, block: int | None, least: int) -> int:
+    """Rows of a block: as many as fit into BLOCK_BYTES, but no fewer blocks than ``least`` if there are rows for them."""
+    n, d = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return block or max(1, min(BLOCK_BYTES // (8 * (d or 1)), max(FEW, -(-n // least))))
+
+
+def _blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
     """``vectors`` with a block number by hash, blocks holding ``block`` rows on average."""
     n = max(1, -(-vectors.count() // block))
     return vectors.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
+def _chunks(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows``, of which each is at most CELLS cells of ``width``."""
+    step = max(1, CELLS // max(1, width))
+    for at in range(0, rows, step):
+        yield slice(at, at + step)
+
+
 def _unit(x: pd.Series) -> np.ndarray:
     m = np.array(x.tolist(), dtype=np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _block_pairs(vectors: DataFrame, block: int, triangle: bool) -> tuple[DataFrame, DataFrame]:
-    """The table twice, each row copied to every pair of blocks it takes part in."""
+def _block_pairs(vectors: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The table twice, each row copied to every pair of blocks it takes part in, each pair once."""
     dealt, n = _blocks(vectors, block)
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = dealt.withColumn("other", others).withColumn("pair", F.concat_ws(":", "blk", "other"))
     right = dealt.withColumn("other", others).withColumn("pair", F.concat_ws(":", "other", "blk"))
-    if triangle:
-        left, right = left.where("blk <= other"), right.where("other <= blk")
-    return left, right
+    return left.where("blk <= other"), right.where("other <= blk")
 
 
 def _renamed(right: DataFrame, names: list[str]) -> DataFrame:
@@ -46,24 +59,43 @@ def _renamed(right: DataFrame, names: list[str]) -> DataFrame:
     return right.select(*[F.col(n).alias(f"{n}_r") for n in names])
 
 
-def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour, sim, rank): the ``k`` other rows of the largest cosine, ties by id; fewer if there are fewer rows."""
-    left, right = _block_pairs(vectors, block, False)
+def nearest(vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """(id, neighbour, sim, rank): the ``k`` other rows of the largest cosine, ties by id; fewer if there are fewer rows.
+
+    Rows are asked for in parts and looked for in blocks, as large as a task's memory takes (or of ``block`` rows): a row is copied once for each block,
+    and once for each part. A task returns the best of a block for each row of its part; the best of all blocks follow.
+    """
     kind = vectors.schema["id"].dataType.simpleString()
+    asked, parts = _blocks(vectors, _block_rows(vectors, block, PARTS))
+    dealt, blocks = _blocks(vectors, _block_rows(vectors, block, 1))
+    left = asked.select(F.col("blk").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("in"), "id", "v")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_r"), F.col("blk").alias("in_r"), F.col("id").alias("id_r"), F.col("v").alias("v_r"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "neighbour", "sim"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=names)
-        b = b.rename(columns=lambda c: c.removesuffix("_r")).sort_values("id", ignore_index=True)
-        sims = np.round(_unit(a["v"]) @ _unit(b["v"]).T, DECIMALS)
-        ids, own = b["id"].to_numpy(), a["id"].to_numpy()
-        sims[own[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(own, best.shape[1]), "neighbour": ids[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()})
-        return out[np.isfinite(out["sim"])]
-
-    cands = left.select("pair", "id", "v").groupBy("pair").cogroup(_renamed(right, ["pair", "id", "v"]).groupBy("pair_r")).applyInPandas(run, f"id {kind}, neighbour {kind}, sim double")
+        b = b.sort_values("id_r", ignore_index=True)
+        ids, own, x, y = b["id_r"].to_numpy(), a["id"].to_numpy(), _unit(a["v"]), _unit(b["v_r"])
+        out = []
+        for at in _chunks(len(a), len(b)):
+            sims = np.round(x[at] @ y.T, DECIMALS)
+            sims[own[at, None] == ids[None, :]] = -np.inf
+            # The k-th best decides; what is equal to it stays in the order of ids.
+            if len(ids) > k:
+                least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                row, col = np.nonzero(sims >= least)
+            else:
+                row, col = np.nonzero(np.isfinite(sims))
+            sim = sims[row, col]
+            order = np.lexsort((col, -sim, row))
+            row, col, sim = row[order], col[order], sim[order]
+            first = np.searchsorted(row, row)
+            keep = (np.arange(len(row)) - first < k) & np.isfinite(sim)
+            out.append(pd.DataFrame({"id": own[at][row[keep]], "neighbour": ids[col[keep]], "sim": sim[keep]}))
+        return pd.concat(out)
+
+    cands = left.groupBy("part", "in").cogroup(right.groupBy("part_r", "in_r")).applyInPandas(run, f"id {kind}, neighbour {kind}, sim double")
     order = Window.partitionBy("id").orderBy(F.col("sim").desc(), F.col("neighbour"))
     return cands.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -92,9 +124,9 @@ KINDS, FINE = ("control-control", "AD-control", "AD-AD"), 4096
 class Distances:
     """Cosine distances of all pairs of rows of ``vectors`` (id, v, y), by class. Each pass over them is one job, whose tasks return a few numbers for a pair of blocks."""
 
-    def __init__(self, vectors: DataFrame, block: int = BLOCK):
+    def __init__(self, vectors: DataFrame, block: int | None = None):
         cols = ["pair", "blk", "id", "y", "v"]
-        left, right = _block_pairs(vectors, block, True)
+        left, right = _block_pairs(vectors, _block_rows(vectors, block, 4))
         self.left, self.right = left.select(cols), _renamed(right, cols)
         rows = self._pass(lambda kind, d: [(k, len(x), x.sum(), x.min(), x.max()) for k in range(3) for x in [d[kind == k]] if len(x)], "kind int, n long, total double, lo double, hi double")
         found = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
@@ -108,12 +140,16 @@ class Distances:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=names)
             b = b.rename(columns=lambda c: c.removesuffix("_r"))
-            d = 1 - _unit(a["v"]) @ _unit(b["v"]).T
-            kind = a["y"].to_numpy()[:, None] + b["y"].to_numpy()[None, :]
-            if a["blk"].iloc[0] == b["blk"].iloc[0]:
-                use = a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]
-                d, kind = d[use], kind[use]
-            return pd.DataFrame(of(kind.ravel(), d.ravel()), columns=names)
+            x, y, same = _unit(a["v"]), _unit(b["v"]), a["blk"].iloc[0] == b["blk"].iloc[0]
+            ya, yb, ia, ib = (c.to_numpy() for c in (a["y"], b["y"], a["id"], b["id"]))
+            out = []
+            for at in _chunks(len(a), len(b)):
+                d, kind = 1 - x[at] @ y.T, ya[at, None] + yb[None, :]
+                if same:
+                    use = ia[at, None] < ib[None, :]
+                    d, kind = d[use], kind[use]
+                out += of(kind.ravel(), d.ravel())
+            return pd.DataFrame(out, columns=names)
 
         return self.left.groupBy("pair").cogroup(self.right.groupBy("pair_r")).applyInPandas(run, schema)
 
@@ -160,7 +196,7 @@ class Distances:
         return out
 
 
-def distance_counts(vectors: DataFrame, block: int = BLOCK) -> Distances:
+def distance_counts(vectors: DataFrame, block: int | None = None) -> Distances:
     """The distances of all pairs, for ``distance_summary`` and ``histogram``."""
     return Distances(vectors, block)
 

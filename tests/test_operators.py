@@ -408,3 +408,16 @@ def test_spanning_forest_and_sweep(spark):
     assert got[9] == (24, 1)
     none = graph.threshold_sweep(edges.where("score > 99"), labels.where("y = 0"), [1]).first()
     assert (none["n_components"], none["lcc"]) == (0, 0)
+
+
+def test_nearest_is_that_of_a_plain_search(spark, monkeypatch):
+    """Ties across blocks and at the k-th place, a few cells at a time."""
+    monkeypatch.setattr(vectors, "CELLS", 40)
+    rng = np.random.default_rng(5)
+    m = np.vstack([rng.integers(-1, 2, (50, 3)), rng.normal(size=(20, 3))]).astype(float)
+    v = frame(spark, [(i, r.tolist()) for i, r in enumerate(m)], "id long, v array<double>")
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    sims = np.round(u @ u.T, 9)
+    want = {(i, j, r) for i in range(70) for r, j in enumerate(sorted((j for j in range(70) if j != i), key=lambda j: (-sims[i, j], j))[:4], 1)}
+    for block in (None, 9):
+        assert {(r["id"], r["neighbour"], r["rank"]) for r in vectors.nearest(v, 4, block).collect()} == want
