@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bits, cohort, experiment, graph, matrix, models, ordered, permute, vectors
+from ..operators import bits, cohort, experiment, graph, linear, matrix, models, neighbourhoods, ordered, permute, vectors
 from ..operators.groups import shared_dir, stash
 from ..sources import npy
 from ..sources.store import Store, cohort_tables
@@ -183,6 +183,49 @@ def cohort_store(spark, sf):
     return t["labels"].select("gene_symbol", "y").join(t["mapping"], "gene_symbol").join(t["annotation_counts"], "gene_symbol", "left")
 
 
+BUDGET, DRAWS, FOLDS = 25, 50, 5
+
+
+@query(
+    f"WITH {NN}, k AS (SELECT id, nb, round(list_cosine_similarity(x.v, z.v), 9) AS sim FROM nn JOIN e x USING (id) JOIN e z ON z.id = nb WHERE rk <= 10), "
+    "t AS (SELECT a.id, b.nb AS node, count(*) AS paths, round(max(a.sim * b.sim), 9) AS best FROM k a JOIN k b ON b.id = a.nb WHERE b.nb <> a.id GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY paths DESC, best DESC, node) AS rank FROM t WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.id = t.id AND k.nb = t.node)) "
+    f"SELECT id, node, paths, rank FROM r WHERE rank <= {BUDGET}"
+)
+def two_hop_neighbours(spark, sf):
+    return neighbourhoods.two_hop(vectors.nearest(emb(spark, sf), 10), BUDGET).select("id", "node", "paths", "rank")
+
+
+@query(
+    f"WITH {BINS}, dr AS (SELECT k AS draw, node, bin, row_number() OVER (PARTITION BY k, bin ORDER BY md5('{SEED}:' || k || ':' || node), node) - 1 AS place FROM bins, range(0, {DRAWS}) t(k)), "
+    "sz AS (SELECT bin, count(*) AS size FROM bins GROUP BY bin), wa AS (SELECT u, b.bin, count(*) AS m FROM adj JOIN lab ON lab.node = u AND y = 1 JOIN bins b ON b.node = v GROUP BY ALL), "
+    f"wd AS (SELECT wa.*, size, draw, ('0x' || substr(md5('{SEED}:' || draw || ':' || bin || ':' || u), 1, 8))::BIGINT % size AS f FROM wa JOIN sz USING (bin), range(0, {DRAWS}) t(draw)), "
+    "wo AS (SELECT wd.*, (place - f + size) % size AS own FROM wd LEFT JOIN dr ON dr.draw = wd.draw AND dr.bin = wd.bin AND dr.node = u), "
+    "st AS (SELECT u, wo.draw, wo.bin, (f + i) % size AS place FROM wo, LATERAL (SELECT unnest(range(0, m + 1)) AS i) x WHERE (i < m OR own < m) AND (own IS NULL OR i <> own)), "
+    "sm AS (SELECT u AS node, st.draw, round(avg(y), 9) AS x FROM st JOIN dr USING (draw, bin, place) JOIN lab ON lab.node = dr.node GROUP BY ALL), "
+    "ob AS (SELECT a.node, count(*) AS degree, round(avg(b.y), 9) AS observed FROM lab a JOIN adj ON u = a.node JOIN lab b ON b.node = v WHERE a.y = 1 GROUP BY a.node) "
+    f"SELECT node, degree, observed, round(avg(x), 9) AS null_mean, round((count(*) FILTER (x >= observed) + 1) / {DRAWS + 1}::DOUBLE, 9) AS pvalue_right FROM ob JOIN sm USING (node) GROUP BY ALL"
+)
+def neighbourhood_tests(spark, sf):
+    """Positives around each positive, against random neighbourhoods of nodes of like degrees."""
+    g, lab = edges(spark, sf), labels(spark, sf)
+    t = neighbourhoods.neighbourhood_tests(g, lab, stash(graph.degree_bins(lab, g).select("node", "bin"), "bins"), DRAWS, SEED)
+    return t.withColumns({c: F.round(c, 9) for c in ("null_mean", "pvalue_right")})
+
+
+@query(f"WITH {G} SELECT node, y, ((row_number() OVER (PARTITION BY y ORDER BY md5('{SEED}:' || node), node) - 1) % {FOLDS})::INT AS fold FROM lab")
+def stratified_folds(spark, sf):
+    return linear.folds(labels(spark, sf).withColumnRenamed("node", "id"), FOLDS, SEED).withColumnRenamed("id", "node")
+
+
+@query()
+def cross_validation(spark, sf):
+    """Held-out scores of logistic regression and of a linear SVM, fold by fold."""
+    rows = emb(spark, sf).select(F.col("id").cast("string").alias("id"), "v", "y")
+    _, scored = linear.cross_validated(rows.select("id", "v"), linear.folds(rows, FOLDS, SEED), FOLDS, L2)
+    return linear.fold_scores(scored)
+
+
 THRESHOLDS = [1, 2, 3, 4, 5]
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 
-from graphloom.operators import bits, cohort, graph, matching, permute
+from graphloom.operators import bits, cohort, graph, matching, neighbourhoods, permute
 
 from .test_operators import frame
 
@@ -134,3 +134,45 @@ def test_label_table_without_cases_is_an_error(spark):
     r = frame(spark, [("g", "a", 1.0, 1.0)], "gene string, region string, expr double, global_mean double")
     with pytest.raises(ValueError):
         cohort.label_table(r, frame(spark, [("h",)], "gene string"), 1, 0.0)
+
+
+# --- neighbourhoods
+
+
+@pytest.mark.parametrize("hub_rows", [1000, 3])
+def test_two_steps_with_and_without_hubs(spark, monkeypatch, hub_rows):
+    monkeypatch.setattr(neighbourhoods, "HUB_ROWS", hub_rows)
+    rng = random.Random(6)
+    own = {i: rng.sample([j for j in range(30) if j != i and (j < 4 or rng.random() < 0.3)], 3) for i in range(30)}
+    sim = {(i, j): rng.choice([0.25, 0.5, 1.0]) for i in own for j in own[i]}
+    d = frame(spark, [(f"n{i:02d}", f"n{j:02d}", s) for (i, j), s in sim.items()], "id string, neighbour string, sim double")
+    want = set()
+    for i in own:
+        far = {}
+        for m in own[i]:
+            for j in own[m]:
+                if j != i and j not in own[i]:
+                    far.setdefault(j, []).append(sim[i, m] * sim[m, j])
+        best = sorted((-len(x), -max(x), j) for j, x in far.items())[:4]
+        want |= {(f"n{i:02d}", f"n{j:02d}", -n, -x, r) for r, (n, x, j) in enumerate(best, 1)}
+    assert {tuple(r) for r in neighbourhoods.two_hop(d, 4).select("id", "node", "paths", "best", "rank").collect()} == want
+
+
+def test_samples_match_degrees_and_leave_the_node_out(spark, case):
+    _, nodes, sets, labels, edges, _ = case
+    lab = labels.where("idx = 20").select("node", "y")
+    bins = graph.degree_bins(lab, edges, 3).select("node", "bin")
+    bin_of = {r["node"]: r["bin"] for r in bins.collect()}
+    ad = {n for n in sets[20]}
+    near = {}
+    for r in graph.adjacency(edges).collect():
+        if r["u"] in ad and r["v"] in bin_of:
+            near.setdefault(r["u"], []).append(bin_of[r["v"]])
+    got = {}
+    for r in neighbourhoods.matched_samples(edges, lab, bins, 6, 1).collect():
+        got.setdefault((r["node"], r["draw"]), []).append(r["other"])
+    assert got.keys() == {(u, d) for u in near for d in range(6)}
+    for (u, _), others in got.items():
+        assert u not in others and len(set(others)) == len(others)
+        assert sorted(bin_of[o] for o in others) == sorted(near[u])
+    assert len({tuple(sorted(x)) for (u, _), x in got.items() if u == max(near, key=lambda n: len(near[n]))}) > 1

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import bits, experiment, graph, matrix, models, permute
+from graphloom.operators import bits, experiment, graph, linear, matrix, models, permute
 
 from .test_operators import frame, reference_logistic
 
@@ -159,3 +159,47 @@ def test_probe_with_ids_of_text(spark):
     lab = frame(spark, [(f"GENE{i}", i % 2) for i in range(60)], "node string, y int")
     p = models.probe(v, lab, [1], ("validation_oracle",), models.Logistic(), 12, 1.0, 0.0).first()
     assert p["test_auroc"] == pytest.approx(1) and p["test_accuracy"] == 1
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_folds_of_both_losses_are_at_their_minimum(spark, monkeypatch, small):
+    """Weights of all folds against a plain Newton solver for each, and held-out scores against those weights."""
+    if not small:
+        monkeypatch.setattr(models, "FIT_BYTES", 0)
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=(80, 2)) * [1, 30], np.full(80, 3.0)])
+    y = (x[:, 0] + rng.normal(size=80) > 0).astype(int)
+    k, l2 = (3 if small else 2), 0.05
+    v = frame(spark, [(f"g{i:02d}", r.tolist()) for i, r in enumerate(x)], "id string, v array<double>")
+    folded = linear.folds(frame(spark, [(f"g{i:02d}", int(c)) for i, c in enumerate(y)], "id string, y int"), k, 1)
+    fold = {r["id"]: r["fold"] for r in folded.collect()}
+    f = np.array([fold[f"g{i:02d}"] for i in range(80)])
+    for c in (0, 1):
+        n = np.bincount(f[y == c], minlength=k)
+        assert n.max() - n.min() <= 1
+    kinds = linear.LOSSES if small else ("svm",)
+    w, scored = linear.cross_validated(v, folded, k, l2, kinds)
+    sd = x.std(0)
+    z = np.column_stack([(x - x.mean(0)) / np.where(sd == 0, 1, sd), np.ones(80)])
+    free = np.diag([1.0, 1, 1, 0])
+    for i, kind in enumerate(kinds):
+        for j in range(k):
+            a, s = z[f != j], 2.0 * y[f != j] - 1
+            u = np.zeros(4)
+            for _ in range(60):
+                m = s * (a @ u)
+                if kind == "logistic":
+                    p = 1 / (1 + np.exp(m))
+                    g, h = a.T @ (-s * p), (a * (p * (1 - p))[:, None]).T @ a
+                else:
+                    on = m < 1
+                    g, h = a.T @ (-2 * s * np.maximum(0, 1 - m)), 2 * a[on].T @ a[on]
+                u -= np.linalg.pinv(h / len(a) + l2 * free) @ (g / len(a) + l2 * free @ u)
+            assert w[:, i * k + j] == pytest.approx(u, abs=1e-6)
+    got = {(r["loss"], r["id"]): r["score"] for r in scored.collect()}
+    assert len(got) == 80 * len(kinds)
+    for (kind, g), score in got.items():
+        r = int(g[1:])
+        assert score == pytest.approx(z[r] @ w[:, kinds.index(kind) * k + f[r]])
+    table = linear.fold_scores(scored).collect()
+    assert len(table) == k * len(kinds) and all(r["auroc"] > 0.7 and r["n"] == (f == r["fold"]).sum() for r in table)
