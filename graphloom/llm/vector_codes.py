@@ -39,7 +39,7 @@ def cells(vectors: DataFrame) -> DataFrame:
 
 def _parts(q: Column, width: int) -> Column:
     """The parts of a vector, which zeros lengthen to PARTS * width."""
-    full = F.concat(q, F.array_repeat(F.lit(0).cast("long"), F.lit(PARTS * width) - F.size(q)))
+    full = F.concat(q, F.array_repeat(F.lit(0).cast("byte"), F.lit(PARTS * width) - F.size(q)))
     return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.slice(full, k * width + 1, F.lit(width)))
 
 
@@ -70,7 +70,7 @@ def nearest(parts: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _by_position(batch: pd.DataFrame, books: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(position, its rows, their parts, codes, distances)."""
     for pos, at in batch.groupby("pos").indices.items():
-        parts = np.stack(batch["part"].to_numpy()[at])
+        parts = np.stack(batch["part"].to_numpy()[at]).astype(np.int64)
         yield pos, at, parts, *nearest(parts, books[pos])
 
 
@@ -111,7 +111,7 @@ def assigned(distinct: DataFrame, books: Books) -> DataFrame:
                 code[at], error[at] = codes, [min(int(x), MAX_LONG) for x in d]
             yield batch.assign(code=code, error=error.astype(np.int64))
 
-    return distinct.mapInPandas(run, "pos int, part array<long>, n long, code int, error long")
+    return distinct.mapInPandas(run, f"pos int, part {distinct.schema['part'].dataType.simpleString()}, n long, code int, error long")
 
 
 def digest(books: Books) -> str:
@@ -144,8 +144,10 @@ def compress(vectors: DataFrame) -> tuple[DataFrame, Books]:
     multiple of the number of parts, are lengthened with zeros, empty ones too. With fewer vectors than entries, codebooks are shorter. Components
     beyond 2^62 steps count as that, errors beyond 64 bits as the largest number. An empty table, or one without a whole vector, gives no rows and no codebooks.
     """
-    kept = stash(cells(vectors).withColumn("row", F.monotonically_increasing_id()), "cells")
-    total, longest = kept.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    written = stash(cells(vectors).withColumn("row", F.monotonically_increasing_id()), "cells")
+    total, longest, least, most = written.agg(F.count(F.lit(1)), F.max(F.size("q")), F.min(F.array_min("q")), F.max(F.array_max("q"))).first()
+    kind = next((k for k, b in (("smallint", 15), ("int", 31)) if -(1 << b) <= (least or 0) and (most or 0) < 1 << b), "bigint")
+    kept = written.withColumn("q", F.col("q").cast(f"array<{kind}>"))  # parts are shuffled as small as they are
     if not total:
         return kept.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error")), []
     width = max(1, -(-longest // PARTS))
@@ -161,7 +163,7 @@ def compress(vectors: DataFrame) -> tuple[DataFrame, Books]:
     whole = joined.groupBy("row").agg(F.first("vec_id").alias("vec_id"), F.first("label").alias("label"), *words, _limited(F.sum(F.col("error").cast("decimal(38,0)"))).alias("error"))
     code = F.lower(F.concat(*[F.lpad(F.hex(f"w{w}"), 16, "0") for w in range(PARTS // 8)]))
     out = stash(whole.select("vec_id", "label", code.alias("code"), "error"), "vector-codes")
-    discard(distinct, coded, kept)
+    discard(distinct, coded, written)
     by_label = stash(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), _limited(F.sum(F.col("error").cast("decimal(38,0)"))).alias("label_error")), "label-errors")
     return join_weighted(out, by_label, ["label"], total).select("vec_id", "label", "code", "error", "label_error"), books
 
