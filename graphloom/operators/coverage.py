@@ -12,35 +12,33 @@ from .ordered import running
 def coverage(pairs: DataFrame, most: int, loss: float = 0.0) -> DataFrame:
     """(rank, candidate, gain, covered) of the first ``most`` candidates of a greedy ranking. ``pairs``: (candidate, item).
 
-    Each round takes, of the candidates whose gain is within ``loss`` of the best one's, in the order of gain and id, those that keep such a gain after
-    all before them in the round; their items go from the table, and the next round counts anew. Without a loss that is plain greedy, equal gains by id;
-    with one, a round takes many at a time, and each pick's gain is at least 1 - loss of the best there was. Rounds are a count, a grouped minimum
-    and joins, whatever the size of candidates. Repeated pairs count once; pairs without a candidate or item, and candidates that add nothing, are left out.
+    Without a ``loss`` each round picks the candidate of the largest gain, the smallest id of equal ones: plain greedy, a count and a join for each pick. With
+    one, a round takes, of the candidates whose gain is within it of the best one's, in the order of gain and id, all that keep such a gain after those before
+    them in the round; so each pick's gain is at least 1 - loss of the best there was, and rounds go with the logarithm of the gains rather than the number of
+    picks. The items of what is picked go from the table, and the next round counts anew.
+    Repeated pairs count once; pairs without a candidate or item, and candidates that add nothing, are left out.
     """
     left = stash(pairs.select("candidate", "item").where("candidate is not null and item is not null").distinct(), "pairs")
     picked, n, covered = None, 0, 0
     while n < most:
-        gains = stash(left.groupBy("candidate").agg(F.count(F.lit(1)).alias("gain")), "gains")
-        best = gains.agg(F.max("gain")).first()[0]
-        if not best:
-            discard(gains)
+        gains = left.groupBy("candidate").agg(F.count(F.lit(1)).alias("gain"))
+        if loss:
+            gains = stash(gains, "gains")
+        best = gains.orderBy(F.col("gain").desc(), F.col("candidate").asc()).first()
+        if best is None:
             break
-        least = (1 - loss) * best
-        top = gains.where(F.col("gain") >= least).limit(2).collect()
-        if len(top) == 1:  # nothing to put in order
-            after = stash(left.join(left.where(F.col("candidate") == F.lit(top[0]["candidate"])).select("item"), "item", "left_anti").select("candidate", "item"), "pairs")
-            discard(left, gains)
-            left, n, covered = after, n + 1, covered + top[0]["gain"]
-            picked = [*(picked or []), (n, top[0]["candidate"], top[0]["gain"], covered)]
+        if not loss:
+            items = left.where(F.col("candidate") == F.lit(best["candidate"])).select("item")
+            after = stash(left.join(items, "item", "left_anti").select("candidate", "item"), "pairs")
+            discard(left)
+            left, n, covered = after, n + 1, covered + best["gain"]
+            picked = [*(picked or []), (n, best["candidate"], best["gain"], covered)]
             continue
+        least = (1 - loss) * best["gain"]
         batch = stash(running(gains.where(F.col("gain") >= least), [F.col("gain").desc(), F.col("candidate").asc()], {"turn": ("sum", F.lit(1))}), "batch")
         first = lambda rows: rows.groupBy("item").agg(F.min("turn").alias("turn")).groupBy("turn").agg(F.count(F.lit(1)).alias("own"))
         owned = left.join(batch.select("candidate", "turn"), "candidate")
         kept = batch.join(first(owned), "turn").where(F.col("own") >= least)
-        if not loss:  # up to the first that loses something: after it another order may be the greedy one
-            whole = stash(batch.join(first(owned), "turn", "left"), "whole")
-            end = whole.where("own is null or own < gain").agg(F.min("turn")).first()[0]
-            kept = whole.where(F.col("turn") < end) if end else whole
         place = running(kept.select("turn", "candidate"), [F.col("turn")], {"place": ("sum", F.lit(1))})
         taken = stash(place.where(F.col("place") <= most - n), "taken")
         items = stash(left.join(taken.select("candidate", "turn"), "candidate").groupBy("item").agg(F.min("turn").alias("turn")), "items")

@@ -172,9 +172,9 @@ def set_intersect(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k")).intersect(table(spark, sf, "embeddings").select("vec_id"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice >= 300000")
 def set_except(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf, "orders").select("o_custkey").distinct())
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf, "orders").where("o_totalprice >= 300000").select("o_custkey").distinct())
 
 
 @query("WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), k AS (SELECT c_custkey, CASE WHEN n > 0 THEN n END AS n FROM c) SELECT c_custkey, coalesce(n, (SELECT median(n) FROM k))::DOUBLE AS n FROM k")
