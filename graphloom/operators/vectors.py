@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import binary_entropy
@@ -21,16 +21,21 @@ BLOCK_BYTES, CELLS, FEW, PARTS = 32 << 20, 4 << 20, 250, 8
 DECIMALS = 9
 
 
-def _block_rows(vectors: DataFrame, block: int | None, least: int) -> int:
-    """Rows of a block: as many as fit into BLOCK_BYTES, but no fewer blocks than ``least`` if there are rows for them."""
+def _sizes(vectors: DataFrame) -> tuple[int, int]:
+    """Number of rows, and length of the longest."""
     n, d = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    return block or max(1, min(BLOCK_BYTES // (8 * (d or 1)), max(FEW, -(-n // least))))
+    return n, max(1, d or 1)
 
 
-def _blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """``vectors`` with a block number by hash, blocks holding ``block`` rows on average."""
-    n = max(1, -(-vectors.count() // block))
-    return vectors.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+def _number(sizes: tuple[int, int], block: int | None, least: int) -> int:
+    """Of blocks: of ``block`` rows, or as large as fit into BLOCK_BYTES, but no fewer than ``least`` if there are rows for them."""
+    n, d = sizes
+    rows = block or max(1, min(BLOCK_BYTES // (8 * d), max(FEW, -(-n // least))))
+    return max(1, -(-n // rows))
+
+
+def _block(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
 
 def _chunks(rows: int, width: int) -> Iterator[slice]:
@@ -45,9 +50,9 @@ def _unit(x: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _block_pairs(vectors: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """The table twice, each row copied to every pair of blocks it takes part in, each pair once."""
-    dealt, n = _blocks(vectors, block)
+def _block_pairs(vectors: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The table twice, each row copied to every pair of ``n`` blocks it takes part in, each pair once."""
+    dealt = vectors.withColumn("blk", _block(n))
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = dealt.withColumn("other", others).withColumn("pair", F.concat_ws(":", "blk", "other"))
     right = dealt.withColumn("other", others).withColumn("pair", F.concat_ws(":", "other", "blk"))
@@ -66,10 +71,10 @@ def nearest(vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
     and once for each part. A task returns the best of a block for each row of its part; the best of all blocks follow.
     """
     kind = vectors.schema["id"].dataType.simpleString()
-    asked, parts = _blocks(vectors, _block_rows(vectors, block, PARTS))
-    dealt, blocks = _blocks(vectors, _block_rows(vectors, block, 1))
-    left = asked.select(F.col("blk").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("in"), "id", "v")
-    right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_r"), F.col("blk").alias("in_r"), F.col("id").alias("id_r"), F.col("v").alias("v_r"))
+    sizes = _sizes(vectors)
+    parts, blocks = _number(sizes, block, PARTS), _number(sizes, block, 1)
+    left = vectors.select(_block(parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("in"), "id", "v")
+    right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_r"), _block(blocks).alias("in_r"), F.col("id").alias("id_r"), F.col("v").alias("v_r"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "neighbour", "sim"]
@@ -126,7 +131,7 @@ class Distances:
 
     def __init__(self, vectors: DataFrame, block: int | None = None):
         cols = ["pair", "blk", "id", "y", "v"]
-        left, right = _block_pairs(vectors, _block_rows(vectors, block, 4))
+        left, right = _block_pairs(vectors, _number(_sizes(vectors), block, 4))
         self.left, self.right = left.select(cols), _renamed(right, cols)
         rows = self._pass(lambda kind, d: [(k, len(x), x.sum(), x.min(), x.max()) for k in range(3) for x in [d[kind == k]] if len(x)], "kind int, n long, total double, lo double, hi double")
         found = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()

@@ -119,11 +119,8 @@ def graph_metric_bundle(spark, sf):
 def graph_perm_components_paths(spark, sf):
     """Nulls of the largest component, right-tailed, over pairs of a score of 2, and of the shortest path, left-tailed, over all pairs."""
     g, strong = edges(spark, sf), edges(spark, sf, 2)
-    lab = bits.of_labels(labels(spark, sf))
-    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
-    # The observed labels are one more set after the permutations, in a word of their own.
-    both = stash(perms.join(lab.withColumnRenamed("bits", "own"), "node").select("node", F.concat("bits", "own").alias("bits")), "sets")
-    own = bits.WORD * bits.words(PERMS)
+    both, own = bits.with_labels(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), PERMS, labels(spark, sf))
+    both = stash(both, "sets")
     number = F.when(F.col("idx") == own, -1).otherwise(F.col("idx")).alias("perm_idx")
     lcc = bits.component_sizes(strong, both, own + 1).where(f"idx < {PERMS} or idx = {own}").select(number, "lcc")
     paths = bits.mean_paths(g, both, own + 1).where(f"idx < {PERMS} or idx = {own}").select(number, F.round("mean_shortest_path", 12).alias("mean_ad_shortest_path"))

@@ -265,10 +265,10 @@ ml AS (SELECT * FROM (UNPIVOT pm ON ad_ad_edges, enrichment, mean_ad_neighbor_fr
 def graph_perm_pvalues(spark, sf):
     lab, g = labels(spark, sf), edges(spark, sf)
     names = ["ad_ad_edges", "enrichment", "mean_ad_neighbor_fraction"]
-    cut = lambda df: df.withColumns({n: F.round(F.col(n).cast("double"), 12) for n in names})
-    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
-    null = cut(bits.metrics(g, perms, PERMS, lcc=False))
-    out = permute.null_summary(null, cut(graph.metrics(g, lab, lcc=False)), names)
+    both, own = bits.with_labels(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), PERMS, lab)
+    found = bits.metrics(g, stash(both, "sets"), own + 1, lcc=False)
+    found = stash(found.select("idx", *[F.round(F.col(n).cast("double"), 12).alias(n) for n in names]), "found")
+    out = permute.null_summary(found.where(f"idx < {PERMS}"), found.where(f"idx = {own}"), names)
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("observed", "perm_mean", "perm_std", "pvalue")])
 
 
@@ -278,9 +278,9 @@ def graph_perm_pvalues(spark, sf):
 )
 def pvalue_left_right(spark, sf):
     g = edges(spark, sf)
-    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
-    observed = graph.edge_classes(g, labels(spark, sf)).select(F.col("ad_ad_edges").alias("o"))
-    null = bits.metrics(g, perms, PERMS, lcc=False).crossJoin(F.broadcast(observed))  # one row
+    both, own = bits.with_labels(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), PERMS, labels(spark, sf))
+    found = stash(bits.metrics(g, stash(both, "sets"), own + 1, lcc=False).select("idx", "ad_ad_edges"), "found")
+    null = found.where(f"idx < {PERMS}").crossJoin(F.broadcast(found.where(f"idx = {own}").select(F.col("ad_ad_edges").alias("o"))))  # one row
     return null.agg(F.round(permute.p_right("ad_ad_edges", F.col("o")), 9).alias("p_right"), F.round(permute.p_left("ad_ad_edges", F.col("o")), 9).alias("p_left"))
 
 
@@ -297,9 +297,9 @@ FROM nn JOIN (VALUES (1), (2), (5)) t(k) ON rk <= k LEFT JOIN adj ON adj.u = id:
 hr AS (SELECT id::VARCHAR AS seed, seed_y, k, r1 AS seed_neighbor_ppi_rate, r2 AS neighbor_ad_fraction, r3 AS neighbor_to_any_ad_ppi_rate FROM hk)"""
 
 
-def hops(spark, sf):
+def hops(spark, sf, g=None):
     nn = vectors.nearest(emb(spark, sf), max(HOPS)).select(F.col("id").cast("string").alias("id"), F.col("neighbour").cast("string").alias("neighbour"), "rank")
-    return stash(permute.hop_rows(nn, labels(spark, sf), edges(spark, sf), HOPS), "hops")
+    return stash(permute.hop_rows(nn, labels(spark, sf), g or edges(spark, sf), HOPS), "hops")
 
 
 @query(f"WITH {HOP} SELECT seed, seed_y, k, round(seed_neighbor_ppi_rate, 9) AS seed_neighbor_ppi_rate, round(neighbor_ad_fraction, 9) AS neighbor_ad_fraction, round(neighbor_to_any_ad_ppi_rate, 9) AS neighbor_to_any_ad_ppi_rate FROM hr")
@@ -330,5 +330,6 @@ def hop_delta(spark, sf):
     f"SELECT k, metric, round(delta, 9) AS delta, round((count(*) FILTER (d >= delta) + 1) / {PERMS + 1}::DOUBLE, 9) AS pvalue_right FROM ob JOIN nu USING (k, metric) GROUP BY k, metric, delta"
 )
 def hop_significance(spark, sf):
-    perms = stash(bits.shuffled(matched(spark, sf), PERMS, SEED, "bin"), "perms")
-    return permute.hop_significance(hops(spark, sf), perms, PERMS).select("k", "metric", F.round("delta", 9).alias("delta"), F.round("pvalue_right", 9).alias("pvalue_right"))
+    g = edges(spark, sf)
+    perms = stash(bits.shuffled(matched(spark, sf, g), PERMS, SEED, "bin"), "perms")
+    return permute.hop_significance(hops(spark, sf, g), perms, PERMS).select("k", "metric", F.round("delta", 9).alias("delta"), F.round("pvalue_right", 9).alias("pvalue_right"))
