@@ -1,10 +1,11 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
 Every document has a digest (SHA-256 of its text after white space is normalised) and belongs to one of ``fan ** levels``
-runs. A run is sorted by digest and holds each text once, with the smallest identifier and the number of rows behind it.
-In each round, groups of ``fan`` runs exchange their entries lane by lane (a lane is a range of digests, so that one
-round's merge is spread over all tasks), merge them, and keep the smallest identifier: after the last round every text
-has one entry. The answers then descend the same tree. A text that makes up a third of all rows is never gathered: a
+runs. A run holds each text once, with the smallest identifier and the number of rows behind it, and is written in pieces
+sorted by digest. In each round, groups of ``fan`` runs exchange their entries lane by lane (a lane is a range of digests, so
+that one round's merge is spread over all tasks); the sort within a task is the merge of the pieces that meet in it, and a
+scan keeps the smallest identifier of equal entries: after the last round every text has one entry. The answers then
+descend the same tree. A text that makes up a third of all rows is never gathered: a
 round brings together at most ``fan`` entries of it for every parent run.
 
 Entries count as equal only if digest, length and a second hash agree at every level.
@@ -65,7 +66,8 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _merge_runs(entries: DataFrame, tasks: int) -> DataFrame:
     """Exchange entries by run and lane, merge what meets, keep the smallest identifier of each text."""
-    lanes = F.pmod(F.col("check"), F.lit(max(16, tasks)))
+    high = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long")
+    lanes = F.floor(high * max(16, tasks) / (1 << 24))
     return (
         entries.withColumn("lane", lanes)
         .repartition(tasks, "run", "lane")
@@ -98,7 +100,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", fan
     )
     marked = stash(marked, "digests")
     runs = marked.groupBy(*KEY).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
-    tree = [stash(runs, "run")]
+    tree = [stash(runs.sortWithinPartitions(*KEY), "run")]
     for _ in range(levels):
         up = tree[-1].withColumn("run", F.floor(F.col("run") / fan))
         tree.append(stash(_merge_runs(up, tasks), "run"))

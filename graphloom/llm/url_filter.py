@@ -12,7 +12,7 @@ from .common import stash
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Expected number of labelled rows that the trees are fitted on, at most.
 FIT_ROWS = 20_000
-# Words of host names that label a URL as unwanted.
+# Words of host names that label a URL as unwanted.
 UNWANTED = ("adult", "bets", "bet", "casino", "loan", "loans", "pills", "poker", "porn", "viagra", "xxx")
 #: How strongly a suffix's share of unwanted URLs is drawn to the share among all.
 PRIOR_ROWS = 20.0
