@@ -60,9 +60,9 @@ def crosswalk(symbols: DataFrame, mapping: DataFrame, symbol: str, accessions: s
     return symbols.select("gene_symbol").distinct().join(own, "gene_symbol", "left")
 
 
-def label_table(regions: DataFrame, cases: DataFrame, per_case: int, least_mean: float) -> DataFrame:
+def label_table(regions: DataFrame, cases: DataFrame, per_case: int, least_mean: float, ids: DataFrame | None = None) -> DataFrame:
     """(gene, label, y, integrated_score) of cases and their matched controls, of all genes of a mean of at least ``least_mean``. ``regions``: ``region_expression``;
-    ``cases``: (gene). It is an error if none of them is among those genes."""
+    ``cases``: (gene). It is an error if none of them is among those genes. With ``ids`` (gene, gene_id), the smallest gene_id of each gene is in front."""
     genes = regions.groupBy("gene").agg(F.first("global_mean").alias("value")).where(F.col("value") >= least_mean)
     marked = genes.join(cases.withColumn("is_case", F.lit(1)), "gene", "left").withColumn("is_case", F.coalesce("is_case", F.lit(0)))
     if marked.where("is_case = 1").isEmpty():
@@ -70,7 +70,10 @@ def label_table(regions: DataFrame, cases: DataFrame, per_case: int, least_mean:
     controls = matched_greedy(marked.withColumnRenamed("gene", "id"), per_case, None).select(F.col("control_id").alias("gene"), F.lit(0).alias("y")).distinct()
     chosen = marked.where("is_case = 1").select("gene", F.lit(1).alias("y")).union(controls)
     scores = integrated_scores(regions.join(chosen, "gene", "left_semi"))
-    return chosen.join(scores, "gene").select("gene", F.when(F.col("y") == 1, "AD").otherwise("control").alias("label"), "y", "integrated_score")
+    out = chosen.join(scores, "gene").select("gene", F.when(F.col("y") == 1, "AD").otherwise("control").alias("label"), "y", "integrated_score")
+    if ids is None:
+        return out
+    return out.join(ids.groupBy("gene").agg(F.min("gene_id").alias("gene_id")), "gene", "left").select("gene_id", *out.columns)
 
 
 def label_schema(labels: DataFrame) -> DataFrame:

@@ -176,3 +176,10 @@ def test_samples_match_degrees_and_leave_the_node_out(spark, case):
         assert u not in others and len(set(others)) == len(others)
         assert sorted(bin_of[o] for o in others) == sorted(near[u])
     assert len({tuple(sorted(x)) for (u, _), x in got.items() if u == max(near, key=lambda n: len(near[n]))}) > 1
+
+
+def test_label_table_with_gene_ids(spark):
+    r = frame(spark, [(g, "a", x, x) for g, x in (("g", 2.0), ("h", 2.5), ("i", 9.0), ("j", 0.5))], "gene string, region string, expr double, global_mean double")
+    ids = frame(spark, [("g", 7), ("g", 5), ("i", 3)], "gene string, gene_id long")
+    got = cohort.label_table(r, frame(spark, [("g",), ("j",)], "gene string"), 1, 1.0, ids)
+    assert [tuple(x)[:4] for x in got.orderBy("gene").collect()] == [(5, "g", "AD", 1), (None, "h", "control", 0)]
