@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import bits, cohort, experiment, graph, linear, matrix, models, neighbourhoods, ordered, permute, vectors
 from ..operators.groups import shared_dir, stash
 from ..sources import npy
-from ..sources.store import Store, cohort_tables
+from ..sources.store import Store, cohort_tables, run_manifests
 from .signal import BINS, ENR, HOPS, NN, PERMS, SEED, G, edges, emb, labels, matched, perm, scored_edges, table
 from .tabular import EPOCHS, L2, RATE, SEEDS, expression
 from .tabular import SQL as TABULAR_SQL
@@ -335,6 +335,14 @@ def matrix_hops(spark, sf):
     return found.select("baseline", "replicate", "seed", "k", "metric", F.round("delta", 9).alias("delta"), F.round("pvalue_right", 9).alias("pvalue_right"))
 
 
+@query()
+def run_manifest(spark, sf):
+    """What each run of the matrix is made from: its entry, the settings, and a hash over the input files."""
+    entries = experiment.signature_id(experiment.matrix(spark, ["default"], MATRIX_ABLATIONS, BASELINES, MATRIX_SEEDS))
+    files = experiment.file_manifest(spark, [f"{sf}/{t}.parquet" for t in ("embeddings", "lineitem")])
+    return run_manifests(entries, {"epochs": EPOCHS, "rate": RATE, "l2": L2, "permutations": PERMS, "hops": HOPS}, files)
+
+
 @query()
 def run_summary(spark, sf):
     """One row for each of the 1,230 runs of the matrix: probe, graph and hop results."""

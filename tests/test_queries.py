@@ -37,6 +37,6 @@ def test_same_rows(spark, sf, db, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["pca_spectrum", "pca_scores", "graph_perm_lcc", "matched_controls_greedy", "label_table", "file_manifest", "prediction_table", "run_summary"])
+@pytest.mark.parametrize("name", ["pca_spectrum", "pca_scores", "graph_perm_lcc", "matched_controls_greedy", "label_table", "file_manifest", "prediction_table", "run_summary", "run_manifest", "cross_validation"])
 def test_without_sql(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
