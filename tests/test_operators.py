@@ -165,6 +165,13 @@ def test_shuffles_keep_counts_by_bin(spark):
     assert out.where("node = 'only' and y = 1").count() == 3
 
 
+def test_a_shuffle_broadcasts_no_repeated_table(spark):
+    """A table repeated for all permutations keeps the size of its file in the planner's eyes; broadcast, it went through the driver whole."""
+    lab = frame(spark, [(str(i), int(i % 3 == 0)) for i in range(20)], "node string, y int")
+    plan = permute.shuffle(lab, 50, 1)._jdf.queryExecution().optimizedPlan()
+    assert "Generate" not in plan.toString()
+
+
 def test_p_values(spark):
     d = frame(spark, [(1.0,), (2.0,), (3.0,)], "x double")
     r = d.agg(permute.p_right("x", F.lit(2.0)).alias("r"), permute.p_left("x", F.lit(0.0)).alias("l")).first()
