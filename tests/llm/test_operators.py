@@ -1,6 +1,7 @@
 """Each operator on a fixture of awkward rows, against a plain version in Python, and its docstring's special cases."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -640,3 +641,12 @@ def test_numerals_are_no_letters(spark):
     rows = [(i, f"{SPOKEN['en' if i % 2 else 'de']} {i}", "en" if i % 2 else "de") for i in range(12)] + [(100, "\u00b2 \u00bd \u2167 12 _ \u0663", "en"), (101, "\u2167 a", "en")]
     got = {r["doc_id"]: r["lang_pred"] for r in lang_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[100] == "und" and got[101] != "und"
+
+
+def test_word_ranks_count_every_text(spark):
+    """One text in eight was counted, so a word's rank hung on which texts it stood in."""
+    docs = spark.createDataFrame([(i, f"w{i} the the the the") for i in range(40)], "doc_id long, text string")
+    ranks = line_dedup.word_ranks(docs)
+    words = docs.select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    got = {r["w"]: r["k"] for r in words.select("w", F.shiftrightunsigned(line_dedup._rank(ranks, F.xxhash64("w")), line_dedup.RANK_AT).alias("k")).collect()}
+    assert got.pop("the") == round(2 * math.log2(160)) and len(got) == 40
