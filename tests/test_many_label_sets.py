@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 
-from graphloom.operators import bits, cohort, graph, matching, neighbourhoods, permute
+from graphloom.operators import bits, cohort, graph, matching, neighbourhoods, permute, pieces
 
 from .test_operators import frame
 
@@ -183,3 +183,31 @@ def test_label_table_with_gene_ids(spark):
     ids = frame(spark, [("g", 7), ("g", 5), ("i", 3)], "gene string, gene_id long")
     got = cohort.label_table(r, frame(spark, [("g",), ("j",)], "gene string"), 1, 1.0, ids)
     assert [tuple(x)[:4] for x in got.orderBy("gene").collect()] == [(5, "g", "AD", 1), (None, "h", "control", 0)]
+
+
+@pytest.mark.parametrize("most", [0, 3, pieces.MOST_EDGES])
+def test_pieces_of_any_size_give_the_same_paths(spark, monkeypatch, most):
+    """Held by tasks, left to joins, or both; sources stay in their pieces, in blocks of fewer sources than a piece has."""
+    monkeypatch.setattr(pieces, "MOST_EDGES", most)
+    monkeypatch.setattr(pieces, "LISTED", 4)
+    pairs = random_graph(random.Random(7), 40, 26)
+    nodes = [f"n{i:03d}" for i in range(36)]
+    edges, allowed = frame(spark, pairs, "src string, dst string"), frame(spark, [(n,) for n in nodes], "node string")
+    plain = plain_paths(pairs, set(nodes))
+    got = graph.bfs(edges, allowed.where("node < 'n020' or node = 'n039'"), allowed).collect()
+    assert len(got) == len({(r["source"], r["node"]) for r in got})
+    assert {(r["source"], r["node"]): r["dist"] for r in got} == {k: d for k, d in plain.items() if k[0] < "n020"}
+    labels = frame(spark, [(n, int(i % 3 > 0)) for i, n in enumerate(nodes)], "node string, y int")
+    want = [d for (s, t), d in plain.items() if s < t and nodes.index(s) % 3 and nodes.index(t) % 3]
+    assert graph.mean_shortest_path(edges, labels).first()[0] == pytest.approx(np.mean(want), abs=1e-12)
+    inside = bits.ends(edges, bits.of_labels(labels))
+    assert bits.largest_components(inside).first()["lcc"] == graph.largest_component(edges, labels).first()["lcc"]
+
+
+def test_a_search_joins_no_frontier(spark, monkeypatch):
+    """All sources of all pieces advanced by joins, a written table and an anti join with all found so far at each hop."""
+    monkeypatch.setattr(graph, "_open_bfs", None)
+    edges = frame(spark, [("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string")
+    allowed = frame(spark, [(n,) for n in "abcxyz"], "node string")
+    got = sorted(tuple(r) for r in graph.bfs(edges, allowed.where("node in ('a', 'z')"), allowed).collect())
+    assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("z", "z", 0)]
