@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -428,3 +429,32 @@ def test_nearest_is_that_of_a_plain_search(spark, monkeypatch):
     want = {(i, j, r) for i in range(70) for r, j in enumerate(sorted((j for j in range(70) if j != i), key=lambda j: (-sims[i, j], j))[:4], 1)}
     for block in (None, 9):
         assert {(r["id"], r["neighbour"], r["rank"]) for r in vectors.nearest(v, 4, block).collect()} == want
+
+
+def test_medians_of_many_pairs_are_listed_after_bins(spark, monkeypatch):
+    """A guess from some rows, a wrong one, and none: the order statistics are those of numpy, and a class takes two passes where the guess holds."""
+    monkeypatch.setattr(vectors, "LISTED", 40)
+    rng = np.random.default_rng(4)
+    m, y = np.vstack([rng.normal(size=(150, 4)), np.ones((20, 4))]), rng.integers(0, 2, 170)
+    v = frame(spark, [(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(m, y))], "id long, v array<double>, y int")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    i, j = np.triu_indices(len(m), 1)
+    d, kind = (1 - u @ u.T)[i, j], y[i] + y[j]
+    passes = []
+    monkeypatch.setattr(vectors.Distances, "_pass", lambda self, *a, own=vectors.Distances._pass: passes.append(a) or own(self, *a))
+    for guess in (None, {0: (0.0, 1e-9), 1: (1.9, 2.0)}, {}):
+        if guess is not None:
+            monkeypatch.setattr(vectors.Distances, "_guess", staticmethod(lambda v, guess=guess: guess))
+        passes.clear()
+        got = [r["median_cosine_distance"] for r in vectors.distance_summary(vectors.distance_counts(v, block=60)).collect()]
+        assert got == pytest.approx([np.median(d[kind == k]) for k in range(3)], abs=1e-12)
+        assert len(passes) == (2 if guess is None else 3)
+
+
+def test_a_block_of_vectors_is_read_without_an_object_a_row(spark):
+    """Vectors stay in Arrow's memory: no list of arrays or numbers is made of a block; nulls and ragged rows are refused."""
+    column = pa.chunked_array([[[3.0, 4.0]], [[0.0, 0.0]]])
+    assert vectors._unit(column).tolist() == [[0.6, 0.8], [0.0, 0.0]]
+    for bad in ([[1.0], [1.0, 2.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            vectors._unit(pa.chunked_array([bad]))
