@@ -10,15 +10,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from ..functions.vectors import as_matrix
 from . import models
 from .groups import stash
 from .ordered import running
 
 LOSSES = ("logistic", "svm")
+#: Bytes of the rows up to which a task solves by itself: all models take up to hundreds of passes over them.
+SOLVE_BYTES = 4 << 20
 Evaluate = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -114,16 +118,16 @@ def cross_validated(vectors: DataFrame, folded: DataFrame, k: int, l2: float, ki
     kind = np.array([LOSSES.index(kinds[i]) for i in kind])
 
     def added(of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
                 if len(b):
-                    s = of(np.stack(b["x"].to_numpy()).astype(np.float64), b["y"].to_numpy(np.float64), b["fold"].to_numpy())
+                    s = of(as_matrix(b["x"]), b["y"].to_numpy(zero_copy_only=False).astype(np.float64), b["fold"].to_numpy(zero_copy_only=False))
                     total = s if total is None else total + s
             if total is not None:
-                yield pd.DataFrame({"i": range(len(total)), "g": list(total)})
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "g"])
 
-        cells = rows.select("x", "y", "fold").mapInPandas(add, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "g"))
+        cells = rows.select("x", "y", "fold").mapInArrow(add, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "g"))
         sums = cells.groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()  # as large as the models
         m = np.zeros((sums["i"].max() + 1, sums["j"].max() + 1))
         m[sums["i"], sums["j"]] = sums["g"]
@@ -136,7 +140,7 @@ def cross_validated(vectors: DataFrame, folded: DataFrame, k: int, l2: float, ki
     size = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     seen = np.maximum(np.array([n - size.get(int(f), 0) for f in out], dtype=float), 1)
     start = np.zeros((d + 1, len(kind)))
-    if n * d * 8 <= models.FIT_BYTES:
+    if n * d * 8 <= min(models.FIT_BYTES, SOLVE_BYTES):
 
         def solve(own: pd.DataFrame) -> pd.DataFrame:
             x, y, fold = (np.stack(own["x"].to_numpy()) - mean) / sd, own["y"].to_numpy(np.float64), own["fold"].to_numpy()

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from ..functions.vectors import as_matrix
 from .groups import stash
 from .ordered import running_sums
 
@@ -128,6 +129,12 @@ class FeedForward:
 
 #: Bytes of a run's rows up to which one task trains it by itself. Beyond it, rows stay dealt out and each epoch adds up gradients.
 FIT_BYTES = 64 << 20
+#: Rows whose activations are held at a time.
+ROWS = 8192
+
+
+def _gradient(model: Logistic | FeedForward, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return sum(model.gradient(w, x[at : at + ROWS], y[at : at + ROWS]) for at in range(0, len(x), ROWS))
 
 
 def _small(runs: DataFrame) -> bool:
@@ -138,25 +145,41 @@ def _small(runs: DataFrame) -> bool:
 def _loss(model: Logistic | FeedForward, w: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float) -> float | None:
     if not len(x):
         return None
-    p = model.predict(w, x)
-    return float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean() + 0.5 * l2 * (model.decay(w) ** 2).sum())
+    total = 0.0
+    for at in range(0, len(x), ROWS):
+        p, own = model.predict(w, x[at : at + ROWS]), y[at : at + ROWS]
+        total -= (own * np.log(p + 1e-12) + (1 - own) * np.log(1 - p + 1e-12)).sum()
+    return float(total / len(x) + 0.5 * l2 * (model.decay(w) ** 2).sum())
 
 
 def trained(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: float, l2: float, every: int = 0) -> DataFrame:
     """(run, w, history) of runs that fit in a task each: weights after the last epoch, and both losses after each ``every`` epochs (0: none)."""
 
-    def fit(own: pd.DataFrame) -> pd.DataFrame:
-        x, test = np.stack(own["x"].to_numpy()).astype(np.float64), own["is_test"].to_numpy()
-        a, ya, b, yb = x[~test], own["fit_y"].to_numpy(np.float64)[~test], x[test], own["y"].to_numpy(np.float64)[test]
-        w, history = model.start(x.shape[1]), []
+    schema = "run string, w array<double>, history array<struct<epoch int, train_loss double, test_loss double>>"
+    point = pa.struct([("epoch", pa.int32()), ("train_loss", pa.float64()), ("test_loss", pa.float64())])
+
+    def fit(own: pa.Table) -> pa.Table:
+        x, test = as_matrix(own["x"]), own["is_test"].to_numpy()
+        a, ya, b, yb = x[~test], own["fit_y"].to_numpy().astype(np.float64)[~test], x[test], own["y"].to_numpy().astype(np.float64)[test]
+        run, w, history = own["run"][0].as_py(), model.start(x.shape[1]), []
+        del x, own
         for epoch in range(1, epochs + 1):
             if len(a):
-                w = w - rate * (model.gradient(w, a, ya) / len(a) + l2 * model.decay(w))
+                w = w - rate * (_gradient(model, w, a, ya) / len(a) + l2 * model.decay(w))
             if every and epoch % every == 0:
                 history.append({"epoch": epoch, "train_loss": _loss(model, w, a, ya, l2), "test_loss": _loss(model, w, b, yb, l2)})
-        return pd.DataFrame({"run": [own["run"].iloc[0]], "w": [w], "history": [history]})
+        return pa.table({"run": [run], "w": pa.array([w], pa.list_(pa.float64())), "history": pa.array([history], pa.list_(point))})
+
+    return runs.select("run", "x", "y", "fit_y", "is_test").groupBy("run").applyInArrow(fit, schema)
+
 
-    return runs.select("run", "x", "y", "fit_y", "is_test").groupBy("run").applyInPandas(fit, "run string, w array<double>, history array<struct<epoch int, train_loss double, test_loss double>>")
+def _by_run(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Each run of a batch, with its x and the places of its rows. Runs may differ in the length of x."""
+    code = batch["run"].dictionary_encode()
+    place, x = code.indices.to_numpy(), batch["x"]
+    for i, run in enumerate(code.dictionary.to_pylist()):
+        at = np.flatnonzero(place == i)
+        yield run, as_matrix(x if len(at) == len(batch) else x.take(pa.array(at))), at
 
 
 def descend(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: float, l2: float, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
@@ -169,15 +192,15 @@ def descend(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: f
     for _ in range(epochs):
         now = dict(weights)
 
-        def add(batches: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
+        def add(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for batch in batches:
-                for run, own in batch.groupby("run"):
-                    g = model.gradient(now[run], np.array(own["x"].tolist(), dtype=float), own["y"].to_numpy())
+                for run, x, at in _by_run(batch):
+                    g = _gradient(model, now[run], x, batch["y"].to_numpy(zero_copy_only=False)[at])
                     total[run] = total[run] + g if run in total else g
-            yield pd.DataFrame({"run": list(total), "g": list(total.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["run", "g"])
 
-        cells = train.mapInPandas(add, "run string, g array<double>").select("run", F.posexplode("g").alias("pos", "g"))
+        cells = train.mapInArrow(add, "run string, g array<double>").select("run", F.posexplode("g").alias("pos", "g"))
         sums = cells.groupBy("run", "pos").agg(F.sum("g").alias("g")).toPandas().sort_values("pos")
         for run, own in sums.groupby("run"):
             weights[run] = weights[run] - rate * (own["g"].to_numpy() / shape[run][1] + l2 * model.decay(weights[run]))
@@ -188,14 +211,14 @@ def descend(runs: DataFrame, model: Logistic | FeedForward, epochs: int, rate: f
 def predictions(runs: DataFrame, model: Logistic | FeedForward, weights: dict[str, np.ndarray]) -> DataFrame:
     """(run, id, y, fit_y, is_test, prob, pred)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prob = np.zeros(len(batch))
-            for name, at in batch.groupby("run").indices.items():
-                prob[at] = model.predict(weights[name], np.array([batch["x"].iloc[i] for i in at], dtype=float))
-            yield batch.drop(columns="x").assign(prob=prob, pred=(prob >= 0.5).astype("int32"))
+            for name, x, at in _by_run(batch):
+                prob[at] = model.predict(weights[name], x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prob), pa.array((prob >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "prob", "pred"])
 
-    return runs.select("run", "id", "y", "fit_y", "is_test", "x").mapInPandas(run, f"run string, id {runs.schema['id'].dataType.simpleString()}, y int, fit_y int, is_test boolean, prob double, pred int")
+    return runs.select("run", "id", "y", "fit_y", "is_test", "x").mapInArrow(run, f"run string, id {runs.schema['id'].dataType.simpleString()}, y int, fit_y int, is_test boolean, prob double, pred int")
 
 
 def bce(p: Column, y: Column) -> Column:

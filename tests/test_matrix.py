@@ -203,3 +203,32 @@ def test_folds_of_both_losses_are_at_their_minimum(spark, monkeypatch, small):
         assert score == pytest.approx(z[r] @ w[:, kinds.index(kind) * k + f[r]])
     table = linear.fold_scores(scored).collect()
     assert len(table) == k * len(kinds) and all(r["auroc"] > 0.7 and r["n"] == (f == r["fold"]).sum() for r in table)
+
+
+def test_gradients_and_losses_in_pieces_are_those_of_all_rows(spark, monkeypatch):
+    """A task holds activations of a few rows at a time."""
+    rng = np.random.default_rng(3)
+    rows = [("r", k, rng.normal(size=3).tolist(), k % 2, k % 2, k % 5 == 0) for k in range(40)]
+    runs = frame(spark, rows, "run string, id long, x array<double>, y int, fit_y int, is_test boolean")
+    m, x, y = models.FeedForward(), np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
+    w, seen = m.start(3), []
+    monkeypatch.setattr(models, "ROWS", 7)
+    own = m.predict
+    monkeypatch.setattr(m, "predict", lambda w, x: seen.append(len(x)) or own(w, x))
+    loss, p = models._loss(m, w, x, y, 0.1), own(w, x)
+    assert max(seen) == 7 and sum(seen) == 40
+    assert loss == pytest.approx(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + 0.05 * (m.decay(w) ** 2).sum())
+    assert models._gradient(m, w, x, y) == pytest.approx(m.gradient(w, x, y))
+    assert models.trained(runs, models.FeedForward(), 2, 0.1, 0.1).first()["w"]
+
+
+def test_folds_of_more_rows_than_a_task_solves_stay_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = frame(spark, [(i, rng.normal(size=2).tolist(), i % 2) for i in range(40)], "id long, v array<double>, y int")
+    folded = linear.folds(v, 2, 1)
+    want, _ = linear.cross_validated(v.select("id", "v"), folded, 2, 0.1)
+    asked, own = [], linear.minimise
+    monkeypatch.setattr(linear, "SOLVE_BYTES", 40 * 2 * 8 - 1)
+    monkeypatch.setattr(linear, "minimise", lambda *a: asked.append(a) or own(*a))
+    got, _ = linear.cross_validated(v.select("id", "v"), folded, 2, 0.1)
+    assert len(asked) == 1 and got == pytest.approx(want, abs=1e-6)
