@@ -339,7 +339,7 @@ def matrix_hops(spark, sf):
 def run_manifest(spark, sf):
     """What each run of the matrix is made from: its entry, the settings, and a hash over the input files."""
     entries = experiment.signature_id(experiment.matrix(spark, ["default"], MATRIX_ABLATIONS, BASELINES, MATRIX_SEEDS))
-    files = experiment.file_manifest(spark, [f"{sf}/{t}.parquet" for t in ("embeddings", "lineitem")])
+    files = experiment.content_hashes(spark, [f"{sf}/{t}.parquet" for t in ("embeddings", "lineitem")])
     return run_manifests(entries, {"epochs": EPOCHS, "rate": RATE, "l2": L2, "permutations": PERMS, "hops": HOPS}, files)
 
 

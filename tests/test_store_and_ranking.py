@@ -1,6 +1,7 @@
 """The store of artefacts, greedy coverage, and small readers and expressions."""
 
 import gzip
+import hashlib
 import json
 import random
 
@@ -171,3 +172,24 @@ def test_network_term_of_the_score(spark):
     z = 1.5**0.5
     got = {x["gene"]: x["integrated_score"] for x in cohort.integrated_scores(r, net).collect()}
     assert got == pytest.approx({"g": -0.4 * z - 0.3, "h": 0.4 * z + 0.3, "i": 0})
+
+
+def test_large_files_are_hashed_in_splits(spark, tmp_path, monkeypatch):
+    """A file's hash is that of its content whatever the splits; a swap of two lines changes it; a small file's is the plain one."""
+    lines = [bytes([i % 256, 255, 13]) * (i % 7) for i in range(300)]
+    (tmp_path / "a.bin").write_bytes(b"\n".join(lines))
+    (tmp_path / "b.bin").write_bytes(b"\n".join([lines[2], *lines[1:2], lines[0], *lines[3:]]))
+    paths = [str(tmp_path / n) for n in ("a.bin", "b.bin")]
+    found = lambda: {r["path"].rsplit("/", 1)[-1]: (r["size"], r["sha256"]) for r in experiment.content_hashes(spark, paths).collect()}
+    plain = found()
+    assert plain["a.bin"][1] == hashlib.sha256((tmp_path / "a.bin").read_bytes()).hexdigest()
+    monkeypatch.setattr(experiment, "WHOLE", 100)
+    monkeypatch.setattr(experiment, "LINES", 16)
+    once = found()
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert found() == once
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert once["a.bin"][0] == plain["a.bin"][0] and once["a.bin"][1] not in (once["b.bin"][1], plain["a.bin"][1])
