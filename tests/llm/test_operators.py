@@ -580,6 +580,25 @@ def test_line_dedup_finds_every_pair_within_the_edit_limit(spark):
     assert {r["doc_id"] for r in line_dedup.line_dedup(df).where("n_dropped = 0").collect()} == want
 
 
+def test_lines_that_share_a_passage_only_are_not_paired(spark):
+    """40 lines of one long passage and 12 words of their own each (10 edits allowed) make no pair; every linked pair is made, once."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{j}" for j in range(40)]
+    lines = [[f"own{k}x{j}" for j in range(12)] + passage for k in range(40)]
+    near = rng.choice([f"v{j}" for j in range(50)], 30).tolist()
+    for _ in range(8):
+        own = list(near)
+        for at in rng.choice(30, 4, replace=False):
+            own[at] = f"v{rng.integers(50)}"
+        lines.append(own)
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "line long, norm string").repartition(3)
+    open_ = texts.select("line", F.col("line").alias("component"))
+    got = Counter((r["a"], r["b"]) for r in line_dedup.open_pairs(texts, open_, line_dedup.word_signs(texts), 0.2).collect())
+    linked = {(a, b) for b, y in enumerate(lines) for a, x in enumerate(lines[:b]) if distance(x, y) <= max(len(x), len(y)) // 5}
+    assert linked and linked <= set(got) and set(got.values()) == {1}
+    assert all(a >= 40 for a, _ in got)
+
+
 CAT = "The cat is on the roof of the house and it looks at the moon."
 GATTO = "Il gatto guarda la luna che sorge lenta sopra i campi mentre tutti dormono."
 
