@@ -10,6 +10,7 @@ running sum over groups. A group's last tokens, less than a window, are cut at p
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -28,12 +29,29 @@ GROUP_TOKENS = 1_000_000
 MIN_PIECE = 256
 #: Id after each document.
 END = 2
+#: What tokens that end a word end by, in tokenizers whose words of ASCII letters have a way of their own; and those tokenizers' steps.
+CLOSES = "</w>"
+LETTERS_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LETTERS_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: ASCII signs that, at the end of a word and after a letter, are a token of their own in those tokenizers.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words whose ids a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 1_000_000
 
 PIECE = "doc_row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
+def _latin_letter(sign: str) -> bool:
+    """Whether the character is a letter that stays one when normalised, whatever sign of SIGNS follows."""
+    return sign <= "\u024f" and sign.isalpha() and sign != "\u0130"
+
+
 class _WordIds(dict):
     """Ids of a word (UTF-8) as bytes. The tokenizer never joins letters across white space, so a text's ids are those of its words.
 
@@ -46,8 +64,35 @@ class _WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         #: Bytes of an id: two are enough for a small vocabulary.
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.letters, self.closing = self._of_letters(), np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if self.letters:
+            self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(CLOSES)]] = True
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _of_letters(self):
+        """The tokenizer without its steps that leave lower-case ASCII letters as they are; None if it has others, or doesn't close words by CLOSES."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        made = json.loads(self.tokenizer.to_str())
+        if made["model"]["type"] != "BPE" or made["model"].get("end_of_word_suffix") != CLOSES or made["post_processor"] is not None:
+            return None
+        if made["normalizer"] != LETTERS_NORMALIZER or made["pre_tokenizer"] != LETTERS_SPLIT:
+            return None
+        plain = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None}))
+        plain.pre_tokenizer = WhitespaceSplit()
+        return plain
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Words of ASCII letters, in either case: told apart by the ids that close a word, which costs less than offsets."""
+        found = self.letters.encode_batch_fast([b" ".join(words).lower().decode()], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype=f"<u{self.width}")
+        cuts = ((np.flatnonzero(self.closing[ids]) + 1) * self.width).tolist()
+        if len(cuts) != len(words):
+            raise RuntimeError(f"{len(words)} words gave {len(cuts)} closing ids")
+        ids = ids.tobytes()
+        self.update((w, ids[i:j]) for w, i, j in zip(words, [0, *cuts], cuts))
+
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}")
 
@@ -57,6 +102,18 @@ class _WordIds(dict):
         new = [w for w in words if w not in self]
         marked = b" ".join(new)
         marks = [m for m in self.marks if m in marked]
+        if self.letters and not marks:
+            ends = {w: core for w in new if (core := w.rstrip(SIGNS)) != w and core and _latin_letter(core.decode()[-1])}
+            parts = set(ends.values()).union([w[len(core) :] for w, core in ends.items()], [w for w in new if w not in ends])
+            new = [w for w in parts if w not in self]
+            if plain := [w for w in new if w.isalpha()]:  # of bytes: ASCII letters only
+                self._learn_letters(plain)
+            self._learn_offsets([w for w in new if not w.isalpha()], [])
+            self.update((w, self[core] + self[w[len(core) :]]) for w, core in ends.items())
+        else:
+            self._learn_offsets(new, marks)
+
+    def _learn_offsets(self, new: list[bytes], marks: list[bytes]) -> None:
         alone = [w for w in new if any(m in w for m in marks)] if marks else []
         self.update((w, self.encode(w.decode()).tobytes()) for w in alone)
         plain = [w for w in new if w not in self] if alone else new

@@ -506,6 +506,22 @@ def line_rows():
     return rows
 
 
+def test_words_in_parts_have_the_ids_of_whole_texts():
+    """Words of ASCII letters, and signs after a letter, are encoded apart: ids are those of the whole text all the same."""
+    from graphloom.llm.queries import tokenizer_path
+
+    known = packing.word_ids(tokenizer_path())
+    assert known.letters is not None
+    rng = np.random.default_rng(8)
+    cores = ["To", "thEr", "don't", "it's", "ciónón", "ÉÉa", "\u0130", "a\u0130", "e\u0301", "x2", "2", "ss\u00df", "\u01c5", "\u0958", "\u00a0", "a\u00a0b", "", "z" * 300]
+    ends = ["", ".", "'s", "'", ".'", "&&&", "|>", ".,\u0338", "\u0301", "7."]
+    words = [c + e for c in cores for e in ends]
+    texts = [" ".join(rng.permutation(words)) for _ in range(3)] + ["done<|endoftext|> end.", "<|ENDOFTEXT|>", None]
+    for ask in (texts, texts[:3], texts[3:]):
+        for text, ids in zip(ask, packing.token_ids(known, ask)):
+            assert np.frombuffer(ids, f"<u{known.width}").tolist() == known.encode(text or "").tolist() + [packing.END]
+
+
 def test_line_dedup(spark, no_docs):
     rows = line_rows()
     df = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({c: F.lit(1) for c in ("d", "t", "line", "sim", "key", "dropped_lines")})
