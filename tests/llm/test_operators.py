@@ -615,6 +615,22 @@ def test_lines_that_share_a_passage_only_are_not_paired(spark):
     assert all(a >= 40 for a, _ in got)
 
 
+def test_lines_of_small_keys_are_paired_at_the_key(spark):
+    """Every linked pair of different groups that shares a key, once, and no pair of one group; such lines were all dealt by their words before."""
+    rng = np.random.default_rng(17)
+    vocabulary = [f"u{j}" for j in range(25)]
+    lines = [rng.choice(vocabulary, int(rng.integers(6, 14))).tolist() for _ in range(60)]
+    lines += [[str(rng.choice(vocabulary)) if j == at else w for j, w in enumerate(x)] for x in lines for at in rng.choice(len(x), 2)]
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "line long, norm string").repartition(3)
+    code = {w: i for i, w in enumerate(vocabulary)}
+    keys = [{code[a] * 100 + code[b] for a, b in zip(x, x[1:])} for x in lines]
+    group = lambda k: k % 7
+    rows = spark.createDataFrame([(key, k, len(x), group(k)) for k, x in enumerate(lines) for key in keys[k]], "key long, line long, n int, component long")
+    got = Counter((r["a"], r["b"]) for r in line_dedup.key_pairs(rows, line_dedup.word_signs(texts), 0.2).collect())
+    want = {(a, b) for b, y in enumerate(lines) for a, x in enumerate(lines[:b]) if group(a) != group(b) and keys[a] & keys[b] and distance(x, y) <= max(len(x), len(y)) // 5}
+    assert len(want) > 60 and want <= set(got) and set(got.values()) == {1} and all(group(a) != group(b) for a, b in got)
+
+
 CAT = "The cat is on the roof of the house and it looks at the moon."
 GATTO = "Il gatto guarda la luna che sorge lenta sopra i campi mentre tutti dormono."
 
