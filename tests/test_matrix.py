@@ -96,6 +96,24 @@ def test_rows_that_stay_dealt_out_give_the_same(spark, case, probed, monkeypatch
         assert got[k] == pytest.approx(want[k], abs=1e-9)
 
 
+def test_probes_train_no_bits_without_a_set(spark, case, probed, monkeypatch):
+    """Seven sets of a seed made 64 probes, as many as a word has bits; and steps in pieces are those of all rows."""
+    sets, seeds, per, _, _, _ = case
+    seen, scored = [], matrix._scored
+    monkeypatch.setattr(matrix, "FIT_BYTES", 0)
+    monkeypatch.setattr(matrix, "_scored", lambda rows, fits, *rest: seen.extend(f.w.shape[1] for f in fits.values()) or scored(rows, fits, *rest))
+    got = matrix.probes(probed[2], sets, seeds, per, 1, 0.05, 1e-3)
+    assert seen and set(seen) == {7} and got.select("ablation", "idx").distinct().count() == 3 * 14
+
+    rng = np.random.default_rng(3)
+    x, y, train = rng.normal(size=(50, 4)), rng.integers(0, 2, (50, 5)).astype(float), (rng.random((50, 5)) < 0.8).astype(float)
+    f = matrix.Fits(4, 5)
+    f.standardise(f.sums(x, train))
+    whole = f.gradient(x, y, train)
+    monkeypatch.setattr(matrix, "STEP_ROWS", 7)
+    assert f.gradient(x, y, train) == pytest.approx(whole, abs=1e-12)
+
+
 def test_folded_standardising_is_that_of_numpy():
     """Weights of 200 epochs of several sets over one copy of x against each trained by itself on standardised rows; one column is constant."""
     rng = np.random.default_rng(5)
