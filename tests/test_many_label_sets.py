@@ -211,3 +211,32 @@ def test_a_search_joins_no_frontier(spark, monkeypatch):
     allowed = frame(spark, [(n,) for n in "abcxyz"], "node string")
     got = sorted(tuple(r) for r in graph.bfs(edges, allowed.where("node in ('a', 'z')"), allowed).collect())
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("z", "z", 0)]
+
+
+@pytest.mark.parametrize("n, m, hub, seed", [(300, 900, 1024, 1), (300, 320, 5, 2), (130, 200, 3, 3), (2, 1, 1024, 4)])
+def test_bits_of_distances_are_those_of_a_plain_search(monkeypatch, n, m, hub, seed):
+    """Nodes whose neighbours are taken rank by rank, and hubs by themselves; distances of several bits, nodes out of reach."""
+    monkeypatch.setattr(pieces, "HUB", hub)
+    monkeypatch.setattr(pieces, "CACHED", 1 << 12)
+    rng = random.Random(seed)
+    ends = [rng.sample(range(n), 2) for _ in range(m)]
+    at = sorted(rng.sample(range(n), max(1, n // 2)))
+    plain = plain_paths(ends, set(range(n)))
+    a, b = np.array(ends).T
+    got = pieces._lengths(pieces._planes(a, b, n, np.array(at)), slice(0, n), len(at), np.int32)
+    assert got.tolist() == [[plain.get((s, t), 0) for s in at] for t in range(n)]
+
+
+def test_distances_are_given_out_a_few_at_a_time(spark, monkeypatch):
+    """All pairs of a block of sources were one table in Python and one batch in the JVM, and edges were dealt row by row."""
+    monkeypatch.setattr(pieces, "CELLS", 8)
+    monkeypatch.setattr(pieces, "LISTED", 5)
+    monkeypatch.setattr(pieces, "PACKED", 3)
+    pairs = random_graph(random.Random(3), 30, 40)
+    nodes, held, open_ = pieces.pieces(frame(spark, pairs, "src string, dst string"))
+    packed = pieces.packed(held)
+    assert open_.isEmpty() and held.count() == len(pairs) == packed.selectExpr("sum(length(a)) / 8").first()[0]
+    plain = plain_paths(pairs, {x for p in pairs for x in p})
+    got = pieces.distances(nodes, packed, nodes.where("node < 'n020'")).collect()
+    assert {(r["source"], r["node"]): r["dist"] for r in got} == {k: d for k, d in plain.items() if d and k[0] < "n020"}
+    assert len(got) == len({(r["source"], r["node"]) for r in got})
