@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 
-from graphloom.operators import bits, cohort, graph, matching, neighbourhoods, permute, pieces
+from graphloom.operators import bits, cohort, graph, groups, matching, neighbourhoods, permute, pieces
 
 from .test_operators import frame
 
@@ -240,3 +240,16 @@ def test_distances_are_given_out_a_few_at_a_time(spark, monkeypatch):
     got = pieces.distances(nodes, packed, nodes.where("node < 'n020'")).collect()
     assert {(r["source"], r["node"]): r["dist"] for r in got} == {k: d for k, d in plain.items() if d and k[0] < "n020"}
     assert len(got) == len({(r["source"], r["node"]) for r in got})
+
+
+def test_groups_of_many_edges_a_node_are_those_of_rounds_over_edges(spark):
+    """Of a dense part, a path whose numbers fall and rise, a star, and loops and ends that are null."""
+    rng = random.Random(9)
+    dense = [tuple(rng.sample(range(100, 130), 2)) for _ in range(200)]
+    path = [(x, y) for x, y in zip([7, 3, 9, 1, 8, 2, 6], [3, 9, 1, 8, 2, 6, 4])]
+    star = [(900, x) for x in range(200, 220)]
+    edges = groups.stash(frame(spark, [*dense, *path, *star, (5, 5), (None, 3), (31, 30)], "a long, b long"))
+    want = {tuple(r) for r in groups.components(edges).select("node", "component").collect()}
+    got = [tuple(r) for r in groups.dense_components(edges).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {c for n, c in got if n < 100 or n >= 200} == {1, 30, 200}
