@@ -253,3 +253,22 @@ def test_groups_of_many_edges_a_node_are_those_of_rounds_over_edges(spark):
     got = [tuple(r) for r in groups.dense_components(edges).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {c for n, c in got if n < 100 or n >= 200} == {1, 30, 200}
+
+
+@pytest.mark.parametrize("most", [4, pieces.MOST_EDGES])
+def test_groups_of_sets_are_found_without_bits_of_edges(spark, monkeypatch, most):
+    """Sets of three words, two to a task; pieces held by tasks, or left to joins."""
+    monkeypatch.setattr(pieces, "MOST_EDGES", most)
+    rng = random.Random(11)
+    pairs = random_graph(rng, 40, 30)
+    sets = [{f"n{i:03d}" for i in range(40) if rng.random() < p} for p in [0.0, 1.0, *[rng.random() for _ in range(140)]]]
+    rows = [(f"n{i:03d}", k) for i in range(40) for k, own in enumerate(sets) if f"n{i:03d}" in own]
+    labelled = bits.pack(frame(spark, rows, "node string, idx int"), len(sets))
+    got = {r["idx"]: (r["lcc"], r["ad_ad_edges"]) for r in bits._groups(bits._split(frame(spark, pairs, "src string, dst string"), labelled), labelled, len(sets)).collect()}
+    want = {}
+    for k, own in enumerate(sets):
+        reached = [s for s, _ in plain_paths(pairs, own)]
+        inside = sum(a in own and b in own for a, b in pairs)
+        if inside:
+            want[k] = (max(reached.count(s) for s in set(reached)), inside)
+    assert got == want
